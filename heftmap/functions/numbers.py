@@ -14,11 +14,19 @@ def int_div(a: Column, b: Column | int) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    rules = [
-        (n >= F.lit(1024**power), F.format_string(f"%.2f {unit}", n / F.lit(float(1024**power))))
-        for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))
-    ]
-    return first_match(rules, F.format_string("%d B", n))
+    """Two decimals above bytes, exact with halves going to the even digit."""
+
+    def scaled(unit: int) -> Column:
+        hundredths, rest = int_div(n * 100, unit), F.pmod(n * 100, F.lit(unit))
+        up = (rest * 2 > unit) | ((rest * 2 == unit) & (F.pmod(hundredths, F.lit(2)) == 1))
+        return hundredths + F.when(up, 1).otherwise(0)
+
+    def text(power: int, name: str) -> Column:
+        value = scaled(1024**power)
+        return F.format_string(f"%d.%02d {name}", int_div(value, 100), F.pmod(value, F.lit(100)))
+
+    units = ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))
+    return first_match([(n >= F.lit(1024**p), text(p, name)) for p, name in units], F.format_string("%d B", n))
 
 
 def score_label(score: Column) -> Column:

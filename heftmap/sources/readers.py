@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heftmap import schemas
-from heftmap.functions import paths as P
 from heftmap.operators import manifest as M
 from heftmap.operators.entries import list_entries
 
@@ -152,13 +151,12 @@ def read_bench(spark: SparkSession, path: str) -> DataFrame:
     return latest.select("row.*")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Change manifests, one JSON document per file; ``manifest_id`` is the file name.
+def read_manifest(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Change manifests, one JSON document per file or per line; the root names the manifest.
 
     A document of another version stops the read.
     """
-    raw = spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(path)
-    versioned = raw.withColumn("manifest_id", P.file_name(F.col("_metadata.file_path")))
+    raw = spark.read.schema(schemas.MANIFEST).option("multiLine", not one_per_line).json(path)
     complaint = F.concat(F.lit("unsupported manifest version "), F.coalesce(F.col("version").cast("string"), F.lit("none")))
     checked = F.when(F.col("version") == M.VERSION, F.col("version")).otherwise(F.raise_error(complaint).cast("int"))
-    return versioned.withColumn("version", checked)
+    return raw.select(F.col("root").alias("manifest_id"), checked.alias("version"), "created_at", "root", "mode", "entries")
