@@ -14,19 +14,12 @@ def int_div(a: Column, b: Column | int) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """Two decimals above bytes, exact with halves going to the even digit."""
-
-    def scaled(unit: int) -> Column:
-        hundredths, rest = int_div(n * 100, unit), F.pmod(n * 100, F.lit(unit))
-        up = (rest * 2 > unit) | ((rest * 2 == unit) & (F.pmod(hundredths, F.lit(2)) == 1))
-        return hundredths + F.when(up, 1).otherwise(0)
-
-    def text(power: int, name: str) -> Column:
-        value = scaled(1024**power)
-        return F.format_string(f"%d.%02d {name}", int_div(value, 100), F.pmod(value, F.lit(100)))
-
+    """Two decimals above bytes; halves go to the even digit, as ``format_number`` rounds."""
     units = ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))
-    return first_match([(n >= F.lit(1024**p), text(p, name)) for p, name in units], F.format_string("%d B", n))
+    unit = first_match(((n >= F.lit(1024**p), float(1024**p)) for p, _ in units), 1.0)
+    name = first_match((n >= F.lit(1024**p), label) for p, label in units)
+    scaled = F.replace(F.format_number(n / unit, 2), F.lit(","), F.lit(""))
+    return F.when(name.isNull(), F.format_string("%d B", n)).otherwise(F.concat_ws(" ", scaled, name))
 
 
 def score_label(score: Column) -> Column:

@@ -54,9 +54,14 @@ def parent_dir(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def name_ext(name: Column) -> Column:
+    """Extension of a file name as written; empty when there is none (``.bak`` has none)."""
+    tail = F.substring_index(name, ".", -1)
+    return F.when(F.length(tail) < F.length(name) - 1, tail).otherwise(F.lit(""))
+
+
 def raw_ext(path: Column) -> Column:
-    """Extension as written; empty when there is none (``.bak`` has none)."""
-    return F.regexp_extract(file_name(path), r"^.+[.]([^.]*)$", 1)
+    return name_ext(file_name(path))
 
 
 def ext(path: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from heftmap.functions.numbers import format_bytes, score_label
 from heftmap.operators import detectors as D
 from heftmap.operators import inventory as I
+from heftmap.operators.staging import stage
 
 MARKDOWN_EVIDENCE = 5
 SCREEN_EVIDENCE = 8
@@ -79,7 +80,12 @@ def audit(files: DataFrame, detectors: Sequence[str] = D.ROSTER) -> DataFrame:
 
 
 def rank_evidence(shown: DataFrame, k: int) -> DataFrame:
-    """The k largest evidence rows of every finding and how many more there are."""
+    """The k largest evidence rows of every finding and how many more there are.
+
+    Evidence is written once: it is read for the ranking, which keeps only k rows per
+    finding and task before it shuffles, and again for the counts.
+    """
+    shown = stage(shown, "evidence")
     keys = ["root_id", "detector"]
     order = Window.partitionBy(*keys).orderBy(F.desc("size_bytes"), "path")
     top = shown.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -130,7 +136,7 @@ def report_rows(files: DataFrame, detectors: Sequence[str] = D.ROSTER, evidence_
     The nested arrays are small by construction: at most one finding per detector and
     ``evidence_rows`` rows per finding.  The complete evidence is ``D.evidence``.
     """
-    found = D.findings(files, detectors)
+    found = stage(D.findings(files, detectors), "findings")
     ranked = rank_evidence(D.evidence(files, detectors), evidence_rows)
     top = ranked.groupBy("root_id", "detector").agg(
         F.sort_array(F.collect_list(F.struct("rank", "path", "size_bytes", "note"))).alias("evidence"),

@@ -113,30 +113,33 @@ def _check(detectors: Sequence[str]) -> list[str]:
 # -- signals -------------------------------------------------------------------------
 
 
-def leftover_reason(path: Column) -> Column:
-    by_extension = rule_match(P.ext(path), LEFTOVER_EXTENSIONS, equals)
-    return F.coalesce(by_extension, rule_match(P.rooted(path), LEFTOVER_PARTS, contains))
+# These take columns that are already lower-cased, so that one conversion per file serves
+# all rules: ``rooted`` is paths.rooted(path), ``low_name`` the lower-case file name.
+
+
+def leftover_reason(extension: Column, rooted: Column) -> Column:
+    return F.coalesce(rule_match(extension, LEFTOVER_EXTENSIONS, equals), rule_match(rooted, LEFTOVER_PARTS, contains))
 
 
 def shader_family(name: Column) -> Column:
     return F.when(any_of(name, SHADER_HINTS, contains), rule_match(name, SHADER_FAMILIES, contains))
 
 
-def installer_reason(path: Column) -> Column:
-    name = F.lower(P.file_name(path))
-    placed = any_of(P.rooted(path), INSTALLER_PARTS, contains) | (
-        name.endswith(".exe") & (P.depth(path) <= MAX_INSTALLER_DEPTH)
-    )
-    return F.when(placed, rule_match(name, INSTALLER_NAMES, contains))
+def installer_reason(low_name: Column, rooted: Column) -> Column:
+    # A rooted path has one separator per level.
+    levels = F.length(rooted) - F.length(F.replace(rooted, F.lit("/"), F.lit("")))
+    placed = any_of(rooted, INSTALLER_PARTS, contains) | (low_name.endswith(".exe") & (levels <= MAX_INSTALLER_DEPTH))
+    named = rule_match(low_name, INSTALLER_NAMES, contains)
+    return F.when(named.isNotNull() & placed, named)
 
 
-def binary_platform(path: Column) -> Column:
+def binary_platform(rooted: Column) -> Column:
     folders = [(f"/binaries/{name.lower()}/", name) for name in PLATFORMS]
-    return rule_match(P.rooted(path), folders, contains)
+    return F.when(rooted.contains("/binaries/"), rule_match(rooted, folders, contains))
 
 
-def mod_suffix(path: Column) -> Column:
-    return rule_match(F.lower(P.file_name(path)), MOD_SUFFIXES, ends_with)
+def mod_suffix(low_name: Column) -> Column:
+    return rule_match(low_name, MOD_SUFFIXES, ends_with)
 
 
 def _signal(detector: str, parent: Column | str = "", unit: Column | str = "", mark: Column | bool = False,
@@ -156,18 +159,47 @@ def _one(condition: Column, signal: Column) -> Column:
     return F.when(condition, F.array(signal))
 
 
-def _folders(folders: Column, name_test, detector: str, mark) -> Column:
-    kept = F.filter(folders, lambda d: name_test(P.file_name(d)))
+def _folders(last: Column, name_test, detector: str, mark) -> Column:
+    """Signals for the folders on a path, up to segment ``last``, whose name passes the test."""
+    segments = F.col("segments")
+    chosen = F.filter(
+        F.sequence(F.lit(1), F.size(segments)),
+        lambda i: (i <= last) & name_test(F.element_at(segments, i)),
+    )
+    upto = lambda i: F.array_join(F.slice(segments, F.lit(1), i), "/")
     return F.transform(
-        kept, lambda d: _signal(detector, P.parent_dir(d), d, mark(d), note=P.file_name(d))
+        chosen,
+        lambda i: _signal(detector, upto(i - 1), upto(i), mark(i), note=F.element_at(segments, i)),
+    )
+
+
+# Cheap tests that keep the segment arrays from being built for most files.
+_MAY_HOLD_VERSION = r"(^|/)[+]?[0-9]+([.][+]?[0-9]+){0,3}(/|$)"
+_MAY_HOLD_LOCALE = r"(^|/)[a-z]{2,3}(-[A-Za-z0-9]{2,4})?/"
+
+
+def _prepared(files: DataFrame, chosen: list[str]) -> DataFrame:
+    path = F.col("path")
+    named = files.select(
+        "root_id", "path", "is_dir", F.coalesce(F.col("size_bytes"), F.lit(0)).alias("size_bytes"),
+        "content_sha256", "probe_error", P.file_name(path).alias("name"), P.rooted(path).alias("rooted"),
+    )
+    version = path.rlike(_MAY_HOLD_VERSION) if "stale_version_dir" in chosen else F.lit(False)
+    locale = path.rlike(_MAY_HOLD_LOCALE) if "launcher_satellite" in chosen else F.lit(False)
+    tested = named.select(
+        "*", P.name_ext(F.col("name")).alias("raw_ext"), F.lower("name").alias("low_name"),
+        version.alias("may_hold_version"), locale.alias("may_hold_locale"),
     )
+    return tested.withColumn("segments", F.when(F.col("may_hold_version") | F.col("may_hold_locale"), F.split("path", "/")))
 
 
 def _emitters(chosen: list[str]) -> list[Column]:
     """One nullable ARRAY<signal> column per chosen detector, over the prepared columns."""
     path, name, size = F.col("path"), F.col("name"), F.col("size_bytes")
-    extension, folder, is_file = F.col("raw_ext"), F.col("folder"), ~F.col("is_dir")
+    low_name, rooted = F.col("low_name"), F.col("rooted")
+    extension, is_file = F.col("raw_ext"), ~F.col("is_dir")
     is_pak = is_file & (extension == "pak")
+    folder = P.parent_dir(path)
     chunk = P.chunk_id(name)
     opened = P.container_status(F.col("probe_error"), F.lit(False))
     stem_bits = first_match(
@@ -177,29 +209,25 @@ def _emitters(chosen: list[str]) -> list[Column]:
         ],
         0,
     )
-    # The cheap pattern test keeps the folder arrays from being built for most rows.
-    may_hold_version = path.rlike(r"(^|/)[+]?[0-9]+([.][+]?[0-9]+){0,3}(/|$)")
-    own = F.when(F.col("is_dir"), F.array(path)).otherwise(F.array().cast("array<string>"))
-    may_hold_locale = path.rlike(r"(^|/)[a-z]{2,3}(-[A-Za-z0-9]{2,4})?/")
-    copies = F.concat_ws(":", size, F.col("content_sha256"))
-    browser_pak = any_of(P.rooted(path), P.EMBEDDED_BROWSER_PARTS, contains) & F.lower(name).endswith(".pak")
+    level_above = F.size("segments") - 1
+    is_version = lambda n: F.when(n.rlike(P.VERSION_NAME), P.parse_version(n).isNotNull()).otherwise(False)
 
     def optional(label: Column, detector: str, as_unit: bool = False) -> Column:
         return _one(is_file & label.isNotNull(), _signal(detector, unit=label if as_unit else "", note=label))
 
     emit = {
         "patch_overlay": lambda: _one(
-            is_file & chunk.isNotNull(),
+            is_file & name.startswith("pakchunk") & chunk.isNotNull(),
             _signal("patch_overlay", F.when(P.is_patch_chunk(name), "").otherwise(path), chunk,
                     P.is_patch_chunk(name)),
         ),
         "stale_version_dir": lambda: F.when(
-            may_hold_version,
-            _folders(F.concat(P.ancestors(path), own), lambda n: P.parse_version(n).isNotNull(),
-                     "stale_version_dir", lambda d: F.lit(False)),
+            F.col("may_hold_version"),
+            _folders(F.when(F.col("is_dir"), F.size("segments")).otherwise(level_above), is_version,
+                     "stale_version_dir", lambda i: F.lit(False)),
         ),
         "sharded_videos": lambda: _one(
-            is_pak & (folder != ""), _signal("sharded_videos", P.parent_dir(folder), folder)
+            is_pak & path.contains("/"), _signal("sharded_videos", P.parent_dir(folder), folder)
         ),
         "large_chunk": lambda: _one(
             is_pak & (size >= LARGE_CHUNK),
@@ -210,22 +238,22 @@ def _emitters(chosen: list[str]) -> list[Column]:
             is_file & extension.isin("pak", "sig", "utoc", "ucas"),
             _signal("encryption", unit=P.stem(path), mark=extension == "pak", bits=stem_bits),
         ),
-        "editor_leftovers": lambda: optional(leftover_reason(path), "editor_leftovers"),
+        "editor_leftovers": lambda: optional(leftover_reason(F.lower(extension), rooted), "editor_leftovers"),
         "launcher_satellite": lambda: F.when(
-            is_file & may_hold_locale,
-            _folders(P.ancestors(path), P.is_satellite_code, "launcher_satellite",
-                     lambda d: (d == folder) & (extension == "dll")),
+            is_file & F.col("may_hold_locale"),
+            _folders(level_above, P.is_satellite_code, "launcher_satellite",
+                     lambda i: (i == level_above) & (extension == "dll")),
         ),
         "shader_rhi_redundancy": lambda: optional(shader_family(name), "shader_rhi_redundancy", True),
-        "redist_installer": lambda: optional(installer_reason(path), "redist_installer"),
-        "platform_siblings": lambda: optional(binary_platform(path), "platform_siblings", True),
-        "mod_manager_artifacts": lambda: optional(mod_suffix(path), "mod_manager_artifacts"),
+        "redist_installer": lambda: optional(installer_reason(low_name, rooted), "redist_installer"),
+        "platform_siblings": lambda: optional(binary_platform(rooted), "platform_siblings", True),
+        "mod_manager_artifacts": lambda: optional(mod_suffix(low_name), "mod_manager_artifacts"),
         "duplicate_content": lambda: _one(
             is_file & (size >= MIN_DUPLICATE_SIZE) & F.col("content_sha256").isNotNull(),
-            _signal("duplicate_content", unit=copies),
+            _signal("duplicate_content", unit=F.concat_ws(":", size, F.col("content_sha256"))),
         ),
         "cef_locales": lambda: _one(
-            is_file & browser_pak,
+            is_file & low_name.endswith(".pak") & any_of(rooted, P.EMBEDDED_BROWSER_PARTS, contains),
             _signal("cef_locales", mark=P.is_keeper_locale(name), note=P.cef_locale(name)),
         ),
     }
@@ -234,19 +262,16 @@ def _emitters(chosen: list[str]) -> list[Column]:
 
 def signals(files: DataFrame, detectors: Sequence[str] = ROSTER) -> DataFrame:
     chosen = _check(detectors)
-    path = F.col("path")
-    prepared = files.select(
-        "root_id", "path", "is_dir", F.coalesce(F.col("size_bytes"), F.lit(0)).alias("size_bytes"),
-        "content_sha256", "probe_error", P.file_name(path).alias("name"), P.raw_ext(path).alias("raw_ext"),
-        P.parent_dir(path).alias("folder"),
-    )
     empty = F.array().cast(
         "array<struct<detector:string,parent:string,unit:string,mark:boolean,bits:int,note:string>>"
     )
     emitted = F.concat(*[F.coalesce(e, empty) for e in _emitters(chosen)])
-    return prepared.select(
-        "root_id", "path", "size_bytes", F.inline(emitted)
-    )
+    # The array gets a projection of its own: compiled there, interpreted inside a generator.
+    # From a plain inline the optimizer would infer a filter on the array's size and push it,
+    # with every rule written out again, down to the scan; inline_outer keeps one evaluation.
+    arrays = _prepared(files, chosen).select("root_id", "path", "size_bytes", emitted.alias("emitted"))
+    rows = arrays.select("root_id", "path", "size_bytes", F.inline_outer("emitted"))
+    return rows.where(F.col("detector").isNotNull())
 
 
 # -- rollups -------------------------------------------------------------------------
@@ -366,8 +391,8 @@ def places(rolled: DataFrame) -> DataFrame:
 
 def _title() -> Column:
     """Short report line per detector, made from the finding's own numbers."""
-    size, items, groups = format_bytes(F.col("total_bytes")), F.col("item_count"), F.col("group_count")
-    saved = format_bytes(F.coalesce(F.col("reclaimable_bytes"), F.lit(0)))
+    size, saved = F.col("total_text"), F.col("saved_text")
+    items, groups = F.col("item_count"), F.col("group_count")
     lines = {
         "patch_overlay": F.format_string("%s in %d overlay paks on %d chunks", size, items, groups),
         "stale_version_dir": F.format_string("%s in %d superseded version folders", saved, items),
@@ -431,11 +456,15 @@ def findings_from(at_places: DataFrame) -> DataFrame:
         F.when(_is("cef_locales"), F.col("bytes")).otherwise(total).alias("total_bytes"),
         reclaimable.alias("reclaimable_bytes"), detail.alias("detail"),
     )
-    return shaped.withColumns({
+    texts = shaped.withColumns({
+        "total_text": format_bytes(F.col("total_bytes")),
+        "saved_text": format_bytes(F.coalesce(F.col("reclaimable_bytes"), F.lit(0))),
+    })
+    return texts.withColumns({
         "detector_rank": first_match((_is(d), i) for i, d in enumerate(ROSTER)),
         "severity_rank": first_match((F.col("severity") == s, i) for i, s in enumerate(SEVERITIES)),
         "title": _title(),
-    })
+    }).drop("total_text", "saved_text")
 
 
 def findings(files: DataFrame, detectors: Sequence[str] = ROSTER) -> DataFrame:

@@ -54,7 +54,7 @@ def high_pass_energy(pixels: DataFrame, channels: Sequence[str] = COLOUR) -> Dat
     values = F.struct(*channels)
     tiles = pixels.select(
         "image_id", "x", "y", values.alias("v"), owner.alias("owner"),
-        F.explode(F.array_compact(F.array(owner, *guests))).alias("tile"),
+        F.explode_outer(F.array_compact(F.array(owner, *guests))).alias("tile"),
     ).repartition("image_id", "tile")
     along = Window.partitionBy("image_id", "tile", "y").orderBy("x")
     down = Window.partitionBy("image_id", "tile", "x").orderBy("y")
@@ -120,8 +120,8 @@ def average_hash(pixels: DataFrame) -> DataFrame:
     cy = F.when(whole, F.array(int_div(F.col("y") * g, h))).otherwise(cells(F.col("y"), h))
     placed = (
         with_size(pixels)
-        .select("image_id", luma(F.col("r"), F.col("g"), F.col("b")).alias("luma"), cx.alias("cx"), F.explode(cy).alias("cy"))
-        .select("image_id", "luma", "cy", F.explode("cx").alias("cx"))
+        .select("image_id", luma(F.col("r"), F.col("g"), F.col("b")).alias("luma"), cx.alias("cx"), F.explode_outer(cy).alias("cy"))
+        .select("image_id", "luma", "cy", F.explode_outer("cx").alias("cx"))
     )
     cell = (F.col("cy") * g + F.col("cx")).cast("int")
     means = placed.groupBy("image_id", cell.alias("cell")).agg(
@@ -221,8 +221,9 @@ def bilinear_upsample(low: DataFrame, scale: int, channels: Sequence[str] = COLO
             lambda t: F.floor(as_float(t) * ratio(extent)) == start,
         )
 
-    placed = squares.select("*", F.explode(targets(F.col("qx"), w)).alias("tx")).select(
-        "*", F.explode(targets(F.col("qy"), h)).alias("ty")
+    placed = (
+        squares.select("*", F.explode_outer(targets(F.col("qx"), w)).alias("tx")).where(F.col("tx").isNotNull())
+        .select("*", F.explode_outer(targets(F.col("qy"), h)).alias("ty")).where(F.col("ty").isNotNull())
     )
     fx, fy = as_float(F.col("tx")) * ratio(w), as_float(F.col("ty")) * ratio(h)
     weighted = placed.withColumns({"wx": fx - as_float(F.col("qx")), "wy": fy - as_float(F.col("qy"))})

@@ -33,7 +33,9 @@ def repeat_per_salt(groups: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.lit(SALTS - 1)),
         lambda i: F.call_function("shiftright", F.col(MASK), i).bitwiseAND(F.lit(1)) == 1,
     )
-    return groups.withColumn("salt", F.explode(used)).drop(MASK)
+    # A group has at least one salt; the outer form keeps the optimizer from adding a
+    # filter that evaluates the array a second time.
+    return groups.withColumn("salt", F.explode_outer(used)).drop(MASK)
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], salted_by: list[str], how: str = "inner") -> DataFrame:

@@ -112,10 +112,14 @@ def f8_parse_chunk(files):
 @query("files")
 def f9_rule_match(files):
     path = F.col("path")
-    return files.select(
-        "root_id", "path", D.leftover_reason(path).alias("leftover"), D.shader_family(P.file_name(path)).alias("family"),
-        D.installer_reason(path).alias("installer"), D.binary_platform(path).alias("platform"),
-        D.mod_suffix(path).alias("suffix"),
+    ready = files.select(
+        "root_id", "path", P.rooted(path).alias("rooted"), P.ext(path).alias("ext"), P.file_name(path).alias("name")
+    ).withColumn("low_name", F.lower("name"))
+    rooted, low_name = F.col("rooted"), F.col("low_name")
+    return ready.select(
+        "root_id", "path", D.leftover_reason(F.col("ext"), rooted).alias("leftover"),
+        D.shader_family(F.col("name")).alias("family"), D.installer_reason(low_name, rooted).alias("installer"),
+        D.binary_platform(rooted).alias("platform"), D.mod_suffix(low_name).alias("suffix"),
     )
 
 
