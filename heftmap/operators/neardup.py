@@ -5,9 +5,11 @@ each, so equal images never multiply.  Two values at distance <= r differ in at
 of r + k bands, hence agree on at least k bands: every value is filed under each
 choice of k bands, and only values of one drawer are compared.
 
-A drawer with many values is not compared as a whole: the same argument is applied to
-the bits its key leaves open, with a fresh set of bands, until its drawers are small
-or the bits run out.  No candidate is dropped at any point.
+A drawer with many values is filed again by the bits in which its values differ; the
+bits they share cannot tell them apart.  Drawers holding the same values are kept
+once.  Where so few bits differ that a good part of all pairs is close - the result
+itself is that large - the drawer is compared in blocks spread over many tasks.  No
+candidate is dropped at any point.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heftmap.operators import spread
@@ -25,7 +27,8 @@ from heftmap.operators.staging import stage
 RADIUS = 6
 AGREEING_BANDS = 3
 CROWDED = 512
-MAX_ROUNDS = 4
+REFILE_BITS = 24
+MAX_REFILES = 3
 WORD = 64
 
 
@@ -54,24 +57,55 @@ def _file(values: DataFrame, masks: list[int]) -> DataFrame:
     return values.select("ahash", "images", mask).withColumn("bits", F.col("ahash").bitwiseAND(F.col("mask")))
 
 
-def _refile(crowded: DataFrame, radius: int, agreeing: int, round_no: int) -> DataFrame:
-    """File values of crowded drawers again, by bits the drawer leaves open.
+def _drawers(filed: DataFrame) -> DataFrame:
+    """Size of every drawer, the bits its values differ in, and a mark of its membership."""
+    spreads = F.bit_or("ahash").bitwiseXOR(F.bit_and("ahash"))
+    mark = F.struct(F.count(F.lit(1)), F.bit_xor("ahash"), F.bit_xor(F.xxhash64("ahash")))
+    return filed.groupBy("mask", "bits").agg(
+        F.count(F.lit(1)).alias("n"), spreads.alias("differ"), mark.alias("members"), spread.salt_mask("ahash")
+    )
+
+
+def _bands_of(differ: Column, count: int) -> list[Column]:
+    """Masks of ``count`` bands that share out the set bits of a column."""
+    places = F.filter(
+        F.sequence(F.lit(0), F.lit(WORD - 1)),
+        lambda i: F.call_function("shiftright", differ, i).bitwiseAND(F.lit(1)) == 1,
+    )
+    width = F.ceil(F.size(places) / F.lit(count)).cast("int")
+    part = lambda j: F.slice(places, width * j + 1, width)
+    one = F.lit(1).cast("bigint")
+    return [
+        F.aggregate(part(j), F.lit(0).cast("bigint"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", one, i)))
+        for j in range(count)
+    ]
+
+
+def _refile(filed: DataFrame, drawers: DataFrame, radius: int, agreeing: int) -> DataFrame:
+    """File the values of the given drawers again, by bands of the bits they differ in."""
+    bands = _bands_of(F.col("differ"), radius + agreeing)
+    banded = drawers.select("mask", "bits", spread.MASK, F.array(*bands).alias("bands"))
+    picks = F.array(*[
+        reduce(Column.bitwiseOR, [F.get("bands", F.lit(i)) for i in chosen], F.col("mask"))
+        for chosen in combinations(range(radius + agreeing), agreeing)
+    ])
+    finer = banded.select("mask", "bits", spread.MASK, F.array_distinct(picks).alias("finer"))
+    members = spread.attach(filed, finer, ["mask", "bits"], ["ahash"])
+    mask = F.explode_outer("finer").alias("mask")
+    return (
+        members.select("ahash", "images", mask)
+        .withColumn("bits", F.col("ahash").bitwiseAND(F.col("mask"))).distinct()
+    )
 
-    The open bits differ from drawer to drawer, so bands are taken over the word in an
-    order that changes per round; bits already fixed by the drawer agree anyway.
-    """
-    stride = (5, 11, 23)[(round_no - 1) % 3]
-    order = [(i * stride + round_no) % WORD for i in range(WORD)]
-    more = F.explode(F.array(*[F.lit(_signed(m)).cast("bigint") for m in drawer_masks(radius, agreeing, order)]))
-    wider = crowded.select("ahash", "images", F.col("mask").alias("old"), more.alias("more"))
-    mask = F.col("old").bitwiseOR(F.col("more"))
-    return wider.select("ahash", "images", mask.alias("mask"), F.col("ahash").bitwiseAND(mask).alias("bits")).distinct()
+
+def _close(left: Column, right: Column) -> Column:
+    return F.bit_count(left.bitwiseXOR(right))
 
 
 def _pairs_in(filed: DataFrame, radius: int) -> DataFrame:
     left = filed.select("mask", "bits", F.col("ahash").alias("hash_a"), F.col("images").alias("images_a"))
     right = filed.select("mask", "bits", F.col("ahash").alias("hash_b"), F.col("images").alias("images_b"))
-    distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
+    distance = _close(F.col("hash_a"), F.col("hash_b"))
     return (
         left.join(right, ["mask", "bits"])
         .where((F.col("hash_a") < F.col("hash_b")) & (distance <= radius))
@@ -79,6 +113,32 @@ def _pairs_in(filed: DataFrame, radius: int) -> DataFrame:
     )
 
 
+def _pairs_in_blocks(filed: DataFrame, drawers: DataFrame, radius: int, block: int) -> DataFrame:
+    """Pairs of large drawers, block against block; every block pair is a join key of its own."""
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    sized = drawers.select("mask", "bits", spread.MASK, blocks.alias("blocks"))
+    members = spread.attach(filed, sized, ["mask", "bits"], ["ahash"]).withColumn(
+        "own", F.pmod(F.xxhash64("ahash"), F.col("blocks")).cast("int")
+    )
+    keys = ["mask", "bits", "low", "high"]
+    left = members.select(
+        "mask", "bits", F.col("own").alias("low"), F.explode_outer(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("high"),
+        F.col("ahash").alias("x"), F.col("images").alias("x_images"),
+    )
+    right = members.select(
+        "mask", "bits", F.explode_outer(F.sequence(F.lit(0), F.col("own"))).alias("low"), F.col("own").alias("high"),
+        F.col("ahash").alias("y"), F.col("images").alias("y_images"),
+    )
+    distance = _close(F.col("x"), F.col("y"))
+    once = (F.col("low") < F.col("high")) | (F.col("x") < F.col("y"))
+    ordered = F.col("x") < F.col("y")
+    pick = lambda a, b: F.when(ordered, F.col(a)).otherwise(F.col(b))
+    return left.join(right, keys).where(once & distance.between(1, radius)).select(
+        pick("x", "y").alias("hash_a"), pick("y", "x").alias("hash_b"), distance.cast("int").alias("distance"),
+        pick("x_images", "y_images").alias("images_a"), pick("y_images", "x_images").alias("images_b"),
+    )
+
+
 def near_hash_pairs(
     hashes: DataFrame, radius: int = RADIUS, agreeing: int = AGREEING_BANDS, crowded: int = CROWDED
 ) -> DataFrame:
@@ -89,20 +149,23 @@ def near_hash_pairs(
     """
     values = stage(distinct_hashes(hashes), "hashes")
     filed = _file(values, drawer_masks(radius, agreeing, range(WORD)))
-    ready = []
-    for round_no in range(1, MAX_ROUNDS + 1):
-        sizes = filed.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n"), spread.salt_mask("ahash"))
-        full = sizes.where((F.col("n") > crowded) & (F.bit_count("mask") < WORD - radius)).drop("n")
-        if round_no == MAX_ROUNDS or full.isEmpty():
+    found = []
+    for refiles in range(MAX_REFILES + 1):
+        drawers = _drawers(filed)
+        full = stage(drawers.where(F.col("n") > crowded), "drawers")
+        if full.isEmpty():
             break
-        full = stage(full, "drawers")
-        keys, salted_by = ["mask", "bits"], ["ahash"]
-        ready.append(spread.attach(filed, full, keys, salted_by, "left_anti"))
-        filed = _refile(spread.attach(filed, full, keys, salted_by, "left_semi"), radius, agreeing, round_no)
-        filed = stage(filed, "refiled")
-    ready.append(filed)
-    found = reduce(DataFrame.unionByName, [_pairs_in(part, radius) for part in ready])
-    return found.dropDuplicates(["hash_a", "hash_b"])
+        keys = ["mask", "bits"]
+        found.append(_pairs_in(spread.attach(filed, full.select(*keys, spread.MASK), keys, ["ahash"], "left_anti"), radius))
+        full = full.dropDuplicates(["members"])
+        dense = F.bit_count("differ") < REFILE_BITS if refiles < MAX_REFILES else F.lit(True)
+        found.append(_pairs_in_blocks(filed, full.where(dense), radius, crowded))
+        filed = stage(_refile(filed, full.where(~dense), radius, agreeing), "refiled")
+    else:
+        filed = None
+    if filed is not None:
+        found.append(_pairs_in(filed, radius))
+    return reduce(DataFrame.unionByName, found).dropDuplicates(["hash_a", "hash_b"])
 
 
 def near_duplicates(hashes: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -204,8 +204,9 @@ def bilinear_upsample(low: DataFrame, scale: int, channels: Sequence[str] = COLO
     one, one_i = F.lit(1.0).cast("float"), F.lit(1)
 
     def ratio(extent: Column) -> Column:
+        # Division of floats gives a double in Spark.
         wide = extent * scale
-        return (as_float(extent) - one) / F.greatest(as_float(wide) - one, one)
+        return as_float((as_float(extent) - one) / F.greatest(as_float(wide) - one, one))
 
     def targets(start: Column, extent: Column) -> Column:
         """Target positions whose sample falls into the square that begins at ``start``."""

@@ -156,8 +156,9 @@ def brute_pairs(hashes, radius):
     return found
 
 
-@pytest.mark.parametrize("crowded", [10_000, 20])
-def test_near_pairs_match_brute_force(spark, crowded):
+@pytest.mark.parametrize("crowded, refile_bits", [(10_000, 24), (20, 24), (20, 5)])
+def test_near_pairs_match_brute_force(spark, monkeypatch, crowded, refile_bits):
+    monkeypatch.setattr(ND, "REFILE_BITS", refile_bits)
     random.seed(3)
     bases = [random.getrandbits(64) for _ in range(40)]
     hashes = []
