@@ -40,6 +40,7 @@ from heftmap.functions.numbers import format_bytes, int_div
 from heftmap.functions.rules import any_of, contains, ends_with, equals, first_match, rule_match
 from heftmap.operators import spread
 from heftmap.operators.inventory import chunk_members
+from heftmap.operators.staging import stage
 from heftmap.schemas import GIB, MIB
 
 # The order of the roster is the order of the report.
@@ -260,8 +261,27 @@ def _emitters(chosen: list[str]) -> list[Column]:
     return [emit[d]() for d in chosen]
 
 
+def _could_match(chosen: list[str]) -> Column | None:
+    """A cheap condition no matching file can fail, for the scan; None where there is none."""
+    path, size = F.col("path"), F.col("size_bytes")
+    coarse = {
+        "patch_overlay": path.contains("pakchunk"),
+        "sharded_videos": path.endswith(".pak"),
+        "large_chunk": size >= LARGE_CHUNK,
+        "encryption": path.endswith(".pak") | path.endswith(".sig") | path.endswith(".utoc") | path.endswith(".ucas"),
+        "duplicate_content": size >= MIN_DUPLICATE_SIZE,
+    }
+    if any(d not in coarse for d in chosen):
+        return None
+    return reduce(lambda a, b: a | b, [coarse[d] for d in chosen])
+
+
 def signals(files: DataFrame, detectors: Sequence[str] = ROSTER) -> DataFrame:
+    """Matches of the chosen detectors: (detector, parent, unit, mark, bits, note) per file."""
     chosen = _check(detectors)
+    coarse = _could_match(chosen)
+    if coarse is not None:
+        files = files.where(coarse)
     empty = F.array().cast(
         "array<struct<detector:string,parent:string,unit:string,mark:boolean,bits:int,note:string>>"
     )
@@ -477,9 +497,12 @@ def findings(files: DataFrame, detectors: Sequence[str] = ROSTER) -> DataFrame:
 EVIDENCE = ("root_id", "detector", "path", "size_bytes", "note")
 
 
-def _chunk_evidence(files: DataFrame) -> DataFrame:
+def _chunk_evidence(found: DataFrame) -> DataFrame:
+    chunks = found.select(
+        "root_id", "path", "size_bytes", F.col("unit").alias("chunk_id"), F.col("mark").alias("is_patch")
+    )
     role = F.when(F.col("path") == F.col("base_path"), "base").otherwise("overlay")
-    return chunk_members(files).select(
+    return chunk_members(chunks).select(
         "root_id", F.lit("patch_overlay").alias("detector"), "path", "size_bytes", role.alias("note")
     )
 
@@ -534,34 +557,37 @@ def _counted_units(found: DataFrame, with_paths: bool) -> tuple[DataFrame, DataF
 
 
 def evidence(files: DataFrame, detectors: Sequence[str] = ROSTER) -> DataFrame:
-    """Every file or folder behind the findings of the chosen detectors."""
+    """Every file or folder behind the findings of the chosen detectors.
+
+    The signals are written once, in a folder per detector: rollups and the rows of the
+    groups that count are then read from there instead of testing every file again.
+    """
     chosen = _check(detectors)
+    found = stage(signals(files, chosen), "signals", ["detector"])
+    of = lambda names: found.where(_is(*names))
     pick = lambda *names: [d for d in chosen if d in names]
     parts = []
     listed = pick(*FILE_LISTING)
     if listed:
-        parts.append(signals(files, listed).select(*EVIDENCE))
+        parts.append(of(listed).select(*EVIDENCE))
     if "patch_overlay" in chosen:
-        parts.append(_chunk_evidence(files))
+        parts.append(_chunk_evidence(of(["patch_overlay"])))
     # (detectors shown by their files, detectors shown by folders, smallest path needed)
     for member_names, folder_names, with_paths in (
         (("shader_rhi_redundancy", "cef_locales"), ("stale_version_dir", "launcher_satellite"), False),
         (("duplicate_content",), ("platform_siblings",), True),
     ):
         members, folders = pick(*member_names), pick(*folder_names)
-        if members or folders:
-            found = signals(files, members + folders)
-            held, _ = _counted_units(found, with_paths)
-            if members:
-                parts.append(_member_evidence(found.where(_is(*members)), held.where(_is(*members))))
-            if folders:
-                parts.append(_folder_evidence(held.where(_is(*folders))))
+        if members:
+            held, _ = _counted_units(of(members), with_paths)
+            parts.append(_member_evidence(of(members), held))
+        if folders:
+            parts.append(_folder_evidence(_counted_units(of(folders), with_paths)[0]))
     if "encryption" in chosen:
-        parts.append(_container_evidence(_counted_units(signals(files, ["encryption"]), False)[0]))
+        parts.append(_container_evidence(_counted_units(of(["encryption"]), False)[0]))
     if "sharded_videos" in chosen:
-        at_places = places(units(signals(files, ["sharded_videos"])))
         parts.append(
-            at_places.select(
+            places(units(of(["sharded_videos"]))).select(
                 "root_id", "detector", F.col("place").alias("path"), F.col("total").alias("size_bytes"),
                 F.format_string("%d folders", F.col("unit_count")).alias("note"),
             )

@@ -78,13 +78,12 @@ def chunk_files(files: DataFrame) -> DataFrame:
     )
 
 
-def chunk_members(files: DataFrame) -> DataFrame:
-    """Files of every chunk that has a base and at least one more file.
+def chunk_members(chunks: DataFrame) -> DataFrame:
+    """Rows of ``chunk_files`` whose chunk has a base and at least one more file.
 
     The base is the chunk's smallest non-patch path; further non-patch files of the
     chunk count as overlays.
     """
-    chunks = chunk_files(files)
     base = F.min(F.when(~F.col("is_patch"), F.struct("path", "size_bytes")))
     bases = (
         chunks.groupBy("root_id", "chunk_id")
@@ -98,7 +97,7 @@ def chunk_members(files: DataFrame) -> DataFrame:
 
 def patch_to_base(files: DataFrame) -> DataFrame:
     """Every overlay file next to the base of its chunk."""
-    return chunk_members(files).where(F.col("path") != F.col("base_path")).select(
+    return chunk_members(chunk_files(files)).where(F.col("path") != F.col("base_path")).select(
         "root_id", "chunk_id", "base_path", "base_size",
         F.col("path").alias("patch_path"), F.col("size_bytes").alias("patch_size"),
     )

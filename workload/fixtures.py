@@ -134,6 +134,12 @@ _STORED = ("files", "after_files", "ent", "inv")
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _in_parallel(df: DataFrame) -> DataFrame:
+    """Tables of fewer files than cores are dealt out, or one task would do all later scans."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or one of the derived views, as a DataFrame."""
     if name not in _VIEWS:
@@ -147,7 +153,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         text = text.replace("{" + token + "}", value)
     derived = spark.sql(text, **frames)
     if name in _STORED:
-        derived = _stored[key] = stage(derived, name)
+        derived = _stored[key] = stage(_in_parallel(derived), name)
     return derived
 
 
