@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heftmap.llm import linededup, simhash, tokens
+from heftmap.llm import linededup, quality, sharding, simhash, tokens
 from heftmap.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,74 @@ FROM marked GROUP BY doc_id
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_quality_rules"] = r"""
+WITH texts AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), parts AS (
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), w -> w <> '') AS words,
+         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM parts)
+), repeats AS (
+  SELECT doc_id, count(*) AS n_repeat_words FROM (
+    SELECT DISTINCT doc_id, i + k AS at
+    FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows), range(8) AS r(k) WHERE n > 1)
+  GROUP BY doc_id
+), base AS (
+  SELECT doc_id, lang, source, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM parts LEFT JOIN repeats USING (doc_id)
+), measured AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed, 100 * word_chars // greatest(n_words, 1) AS word_length,
+         1000 * n_symbols // greatest(n_words, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines
+  FROM base
+), long AS (
+  SELECT lang, source, failed, r.rate, r.least, r.value
+  FROM (SELECT lang, source, failed, unnest([
+    {rate: 'word_length', least: 100, value: word_length}, {rate: 'symbols', least: 50, value: symbols}, {rate: 'dup_lines', least: 100, value: dup_lines}]) AS r
+    FROM measured)
+), sketch AS (
+  SELECT lang, source, rate, least, (value >> greatest(length(bin(value)) - 7, 0)) << greatest(length(bin(value)) - 7, 0) AS bin, count(*) AS n
+  FROM long WHERE NOT failed GROUP BY ALL
+), levels AS (
+  SELECT 0 AS level, lang, source, rate, least, bin, n FROM sketch
+  UNION ALL SELECT 1, lang, NULL, rate, least, bin, sum(n) FROM sketch GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, rate, least, bin, sum(n) FROM sketch GROUP BY ALL
+), running AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS docs FROM levels
+), quartiles AS (
+  SELECT level, lang, source, rate, least, docs, min(bin) FILTER (WHERE 4 * upto >= docs) AS q1, min(bin) FILTER (WHERE 4 * upto >= 3 * docs) AS q3
+  FROM running GROUP BY ALL
+), fences AS (
+  SELECT level, lang, source, rate, docs, q1 - 3 * greatest(q3 - q1, least) AS low, q3 + 3 * greatest(q3 - q1, least) AS high FROM quartiles
+), chosen AS (
+  SELECT g.lang, g.source, g.rate, CASE WHEN a.docs >= 50 THEN a.low WHEN b.docs >= 50 THEN b.low ELSE c.low END AS low,
+         CASE WHEN a.docs >= 50 THEN a.high WHEN b.docs >= 50 THEN b.high ELSE c.high END AS high
+  FROM (SELECT DISTINCT lang, source, rate FROM long) g
+  LEFT JOIN fences a ON a.level = 0 AND a.rate = g.rate AND a.lang IS NOT DISTINCT FROM g.lang AND a.source IS NOT DISTINCT FROM g.source
+  LEFT JOIN fences b ON b.level = 1 AND b.rate = g.rate AND b.lang IS NOT DISTINCT FROM g.lang
+  LEFT JOIN fences c ON c.level = 2 AND c.rate = g.rate
+), limits AS (
+  SELECT lang, source, max(low) FILTER (WHERE rate = 'word_length') AS length_low, max(high) FILTER (WHERE rate = 'word_length') AS length_high,
+         max(high) FILTER (WHERE rate = 'symbols') AS symbols_high, max(high) FILTER (WHERE rate = 'dup_lines') AS dup_high
+  FROM chosen GROUP BY ALL
+)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+       NOT failed AND coalesce(word_length BETWEEN length_low AND length_high AND symbols <= symbols_high AND dup_lines <= dup_high, FALSE) AS kept
+FROM measured m LEFT JOIN limits l ON m.lang IS NOT DISTINCT FROM l.lang AND m.source IS NOT DISTINCT FROM l.source
+"""
