@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heftmap.llm import linededup, quality, sharding, simhash, tokens
+from heftmap.llm import linededup, mixing, quality, sharding, simhash, tokens
 from heftmap.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,8 +73,8 @@ ORACLES["op9_quality_rules"] = r"""
 WITH texts AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
 ), parts AS (
-  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), w -> w <> '') AS words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM texts
 ), windows AS (
   SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS w
@@ -128,3 +128,8 @@ SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fa
        NOT failed AND coalesce(word_length BETWEEN length_low AND length_high AND symbols <= symbols_high AND dup_lines <= dup_high, FALSE) AS kept
 FROM measured m LEFT JOIN limits l ON m.lang IS NOT DISTINCT FROM l.lang AND m.source IS NOT DISTINCT FROM l.source
 """
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
