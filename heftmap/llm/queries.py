@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heftmap.llm import langid, linededup, mixing, quality, sharding, simhash, tokenfile, tokens
+from heftmap.llm import decontaminate, langid, linededup, mixing, quality, sharding, simhash, tokenfile, tokens
 from heftmap.llm.common import table
 from heftmap.operators.staging import fresh_path
 
@@ -149,3 +149,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenfile.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     back = tokenfile.read_ids(spark, path)
     return back.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
