@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heftmap.llm import decontaminate, langid, linededup, mixing, quality, sharding, simhash, tokenfile, tokens
+from heftmap.llm import decontaminate, htmltext, langid, linededup, mixing, quality, sharding, simhash, tokenfile, tokens
 from heftmap.llm.common import table
 from heftmap.operators.staging import fresh_path
 
@@ -154,3 +154,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = htmltext.extract_text(pages, htmltext.fit(pages))
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
