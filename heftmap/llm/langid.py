@@ -85,6 +85,8 @@ def packed(data: np.ndarray, order: int) -> np.ndarray:
 
 def train(texts: dict[str, list[bytes]], order: int = ORDER) -> Model:
     model = Model(sorted(texts))
+    if not texts:
+        return model
     counts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order + 1)]
     for lang in model.langs:
         streams = [np.frombuffer(START[:order] + t, np.uint8) for t in texts[lang] if t]

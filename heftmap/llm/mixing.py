@@ -61,7 +61,7 @@ def draws(quotas: np.ndarray, shard_slots: int, seed: int = SEED) -> np.ndarray:
             counts += np.minimum(rng.multinomial(slots - counts.sum(), room / room.sum()), room)
         out.append(counts)
         left -= counts
-    return np.array(out, np.int64).reshape(-1, len(quotas))
+    return np.array(out, np.int64).reshape(len(out), len(quotas))
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
