@@ -93,7 +93,6 @@ WARN_AT = {
     "shader_rhi_redundancy": 200 * MIB, "redist_installer": 10 * MIB, "platform_siblings": 500 * MIB,
     "mod_manager_artifacts": 50 * MIB, "duplicate_content": 100 * MIB, "cef_locales": 5 * MIB,
 }
-EXAMPLES_PER_STATUS = 5
 
 # Bits gathered per container stem: side files, and what opening the container gave.
 SIG, UTOC, UCAS, OPENED, LOCKED = 1, 2, 4, 8, 16
@@ -433,7 +432,7 @@ def _title() -> Column:
 
 def findings_from(at_places: DataFrame) -> DataFrame:
     blocked = _is("encryption") & (F.col("place") != "readable")
-    # Most blocked bytes win; equal bytes fall to the earlier of these statuses.
+    # Most blocked bytes win; equal bytes fall to the earlier of these statuses, and no bytes at all to the first.
     tie_order = first_match(
         (F.col("place") == s, -i) for i, s in enumerate(("unreadable", "signed", "iostore", "encrypted"))
     )
@@ -469,7 +468,7 @@ def findings_from(at_places: DataFrame) -> DataFrame:
         ],
         "info",
     )
-    detail = F.when(_is("encryption"), F.when(F.col("blocked_n") == 0, "clear").otherwise(F.col("dominant.place")))
+    detail = F.when(_is("encryption"), F.when(F.col("blocked_n") == 0, "clear").when(F.col("dominant.total") > 0, F.col("dominant.place")).otherwise("unreadable"))
     shaped = grouped.select(
         "root_id", "detector", F.col("detector").alias("category"), severity.alias("severity"),
         "item_count", "group_count",
@@ -535,13 +534,10 @@ def _folder_evidence(held: DataFrame) -> DataFrame:
 
 
 def _container_evidence(held: DataFrame) -> DataFrame:
-    order = Window.partitionBy("root_id", "place").orderBy("path")
-    return (
-        held.where(F.col("place").isin("encrypted", "iostore"))
-        .select("root_id", "detector", "place", F.concat("unit", F.lit(".pak")).alias("path"), "amount")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= EXAMPLES_PER_STATUS)
-        .select("root_id", "detector", "path", F.col("amount").alias("size_bytes"), F.col("place").alias("note"))
+    """Every container that cannot be read, with its status."""
+    return held.where(F.col("place") != "readable").select(
+        "root_id", "detector", F.concat("unit", F.lit(".pak")).alias("path"), F.col("amount").alias("size_bytes"),
+        F.col("place").alias("note"),
     )
 
 

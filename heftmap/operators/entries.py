@@ -36,11 +36,15 @@ def entry_class_counts(entries: DataFrame) -> DataFrame:
 
 
 def search_entries(entries: DataFrame, query: str = "", entry_class: str = "all", top: int = SHOWN) -> DataFrame:
-    """The largest entries whose path contains the text, ignoring case."""
+    """The ``top`` largest entries of every container whose path contains the text, ignoring case.
+
+    Spark keeps ``top`` rows per container and task before it shuffles.
+    """
     hits = classified(entries)
     if entry_class != "all":
         hits = hits.where(F.col("entry_class") == entry_class)
     text = query.strip().lower()
     if text:
         hits = hits.where(F.lower("path").contains(text))
-    return hits.orderBy(F.desc("size_bytes"), "path", "container_path", "root_id").limit(top)
+    order = Window.partitionBy("root_id", "container_path").orderBy(F.desc("size_bytes"), "path")
+    return hits.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top)

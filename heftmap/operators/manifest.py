@@ -41,17 +41,20 @@ def explode_strips(entries: DataFrame) -> DataFrame:
 def verify_restore(entries: DataFrame, payloads: DataFrame) -> DataFrame:
     """Status of every entry: ok, escapes root, missing payload or hash mismatch.
 
-    ``payloads`` holds (manifest_id, payload, payload_sha256), one row per payload.
+    ``payloads`` holds (manifest_id, payload, payload_sha256), one row per payload.  Created
+    files have no payload, so they and escaping paths need no look-up; sharing one empty
+    key, they would also meet in one task.
     """
-    joined = entries.join(payloads, ["manifest_id", "payload"], "left")
+    settled = F.when(P.path_escapes_root(F.col("path")), "escapes_root").when(F.col("op") == "create", "ok")
+    marked = entries.withColumn("status", settled)
+    known = marked.where(F.col("status").isNotNull()).withColumn("payload_sha256", F.lit(None).cast("string"))
+    looked_up = marked.where(F.col("status").isNull()).drop("status").join(payloads, ["manifest_id", "payload"], "left")
     status = (
-        F.when(P.path_escapes_root(F.col("path")), "escapes_root")
-        .when(F.col("op") == "create", "ok")
-        .when(F.col("payload_sha256").isNull(), "missing_payload")
+        F.when(F.col("payload_sha256").isNull(), "missing_payload")
         .when(F.col("payload_sha256") != F.col("original_sha256"), "hash_mismatch")
         .otherwise("ok")
     )
-    return joined.withColumn("status", status)
+    return known.unionByName(looked_up.withColumn("status", status))
 
 
 def verify_manifest(entries: DataFrame, payloads: DataFrame) -> DataFrame:

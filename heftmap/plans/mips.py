@@ -101,20 +101,30 @@ def restore_counts(routed: DataFrame) -> DataFrame:
     return routed.agg(*[F.count_if(F.col("restore_class") == n).alias(n) for n in names])
 
 
+def _barred(exempt_backup: bool) -> list[str]:
+    return ["no_strip", "exact_backup"] if exempt_backup else ["no_strip"]
+
+
+def strictest_class(classes: DataFrame) -> DataFrame:
+    """One class per asset: the strictest of its exports', as an asset is rewritten as a whole."""
+    order = F.array(*[F.lit(c) for c in ("no_strip", "exact_backup", "ai_upscale")])
+    strictness = F.array_position(order, F.col("restore_class"))
+    return classes.where("restore_class IS NOT NULL").groupBy("asset_path").agg(F.min_by("restore_class", strictness).alias("restore_class"))
+
+
 def route_targets(plan: DataFrame, classes: DataFrame, exempt_backup: bool = True) -> DataFrame:
     """Plan rows that may be stripped; assets without a class stay.
 
-    ``classes`` holds one row per asset_path.
+    ``classes`` holds asset_path and restore_class, a row per export or asset.
     """
-    routed = plan.join(classes.select("asset_path", "restore_class"), "asset_path", "left")
-    barred = ["no_strip", "exact_backup"] if exempt_backup else ["no_strip"]
-    return routed.where(F.col("restore_class").isNull() | ~F.col("restore_class").isin(*barred))
+    routed = plan.join(strictest_class(classes), "asset_path", "left")
+    return routed.where(F.col("restore_class").isNull() | ~F.col("restore_class").isin(*_barred(exempt_backup)))
 
 
 def eligible_targets(textures: DataFrame, cap: int, policy: str = "smart", exempt_backup: bool = True) -> DataFrame:
-    """Re-projected plan rows joined with their own routing."""
-    classes = plan_restore(textures, policy).select("asset_path", "restore_class")
-    return route_targets(reproject(textures, [cap]), classes, exempt_backup)
+    """Re-projected plan rows that their own routing lets through; the class is found in the row."""
+    routed = reproject(plan_restore(textures, policy), [cap])
+    return routed.where(~F.col("restore_class").isin(*_barred(exempt_backup)))
 
 
 def strip_eligibility(textures: DataFrame, cap: int) -> DataFrame:

@@ -42,15 +42,12 @@ def entries_by_status(entries: DataFrame, files: DataFrame, status: str = "reada
     """Entries of the containers that have the given access status.
 
     A container may hold a large share of all entries, so entries meet their container
-    on a salted key.
+    on a salted key; a container is repeated once per salt that its entries use.
     """
     keys = ["root_id", "container_path"]
-    salts = F.sequence(F.lit(0), F.lit(spread.SALTS - 1))
-    wanted = (
-        _all_container_status(files).where(F.col("status") == status).select(*keys)
-        .withColumn("salt", F.explode(salts))
-    )
-    return entries.withColumn("salt", spread.salt_of("path")).join(wanted, [*keys, "salt"], "left_semi").drop("salt")
+    used = entries.groupBy(*keys).agg(spread.salt_mask("path"))
+    wanted = _all_container_status(files).where(F.col("status") == status).select(*keys).join(used, keys)
+    return spread.attach(entries, wanted, keys, ["path"], "left_semi")
 
 
 def plan_strip_containers(entries: DataFrame, files: DataFrame, drop: Sequence[str]) -> DataFrame:

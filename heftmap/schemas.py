@@ -30,13 +30,14 @@ ENTRIES = _fields(
 
 MIP = _fields(("w", T.IntegerType(), True), ("h", T.IntegerType(), True), ("bytes", T.LongType(), True))
 
+# Field names of strip records and entries are part of the manifest's file format.
 STRIP_RECORD = _fields(
     ("asset_path", T.StringType(), True),
     ("export_name", T.StringType(), True),
     ("original_top_dim", T.IntegerType(), True),
-    ("new_top_dim", T.IntegerType(), True),
-    ("original_mip_count", T.IntegerType(), True),
-    ("new_mip_count", T.IntegerType(), True),
+    ("stripped_top_dim", T.IntegerType(), True),
+    ("drop_mip_count", T.IntegerType(), True),
+    ("kept_mip_count", T.IntegerType(), True),
     ("pixel_format", T.StringType(), True),
     ("compression_settings", T.StringType(), True),
     ("saved_bytes", T.LongType(), True),

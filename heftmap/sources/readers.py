@@ -152,11 +152,13 @@ def read_bench(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """Change manifests, one JSON document per file or per line; the root names the manifest.
+    """Change manifests, one JSON document per file or per line.
 
-    A document of another version stops the read.
+    ``manifest_id`` is made of the file, the root and the creation time, as a root may have any
+    number of manifests.  A document of another version stops the read.
     """
     raw = spark.read.schema(schemas.MANIFEST).option("multiLine", not one_per_line).json(path)
     complaint = F.concat(F.lit("unsupported manifest version "), F.coalesce(F.col("version").cast("string"), F.lit("none")))
     checked = F.when(F.col("version") == M.VERSION, F.col("version")).otherwise(F.raise_error(complaint).cast("int"))
-    return raw.select(F.col("root").alias("manifest_id"), checked.alias("version"), "created_at", "root", "mode", "entries")
+    identity = F.concat_ws("#", F.col("_metadata.file_path"), "root", "created_at")
+    return raw.select(identity.alias("manifest_id"), checked.alias("version"), "created_at", "root", "mode", "entries")

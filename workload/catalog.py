@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heftmap import schemas
 from heftmap.functions import numbers as N
 from heftmap.functions import paths as P
 from heftmap.functions import textures as T
@@ -289,10 +291,17 @@ def j3_pair_benchmarks(ben):
     return Q.pair_benchmarks(*_sides(ben)).select("label", "content_class", "a_ratio", "b_ratio", "hp_energy")
 
 
+def _per_predictor(ben, report):
+    """A report over each predictor's runs, with its name beside."""
+    names = ("bilinear", "learned")
+    parts = [report(side).withColumn("predictor", F.lit(name)) for name, side in zip(names, _sides(ben))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("ben")
 def j4_threshold_sweep(ben):
-    grid = Q.grid_counts(_sides(ben)[0], "hp_energy", F.col("ratio") >= 1.0)
-    return _rounded(grid.select("step", "threshold", "correct"), "threshold")
+    grid = _per_predictor(ben, lambda side: Q.grid_counts(side, "hp_energy", F.col("ratio") >= 1.0))
+    return _rounded(grid.select("predictor", "step", "threshold", "correct"), "threshold")
 
 
 @query("near_pixels")
@@ -324,10 +333,15 @@ def j9_entries_by_status(spark, sf_dir):
     return readable.select("root_id", "container_path", "path", "size_bytes")
 
 
+def _payload():
+    """Created files have none."""
+    return F.when(F.col("op") == "create", "").otherwise(F.concat(F.lit("p"), "seq"))
+
+
 def _manifest_tables(spark, sf_dir):
-    man = view(spark, sf_dir, "man").withColumns({"manifest_id": F.lit("m"), "payload": F.concat(F.lit("p"), "seq")})
+    man = view(spark, sf_dir, "man").withColumns({"manifest_id": F.lit("m"), "payload": _payload()})
     # Payload files of every 89th entry are gone.
-    payloads = man.where("seq % 89 <> 0").select("manifest_id", "payload", "payload_sha256")
+    payloads = man.where("seq % 89 <> 0 AND op <> 'create'").select("manifest_id", "payload", "payload_sha256")
     # Every 83rd entry names a path outside its root.
     path = F.when(F.pmod("seq", F.lit(83)) == 0, F.concat(F.lit("../"), "path")).otherwise(F.col("path"))
     entries = man.drop("payload_sha256").withColumn("path", path)
@@ -571,12 +585,16 @@ def p14_snapshot_diff_totals(spark, sf_dir):
 # -- change manifests ----------------------------------------------------------------
 
 
+STRIP_FIELDS = schemas.STRIP_RECORD.names
+
+
 def _manifest_documents(spark, sf_dir):
-    """Manifests of at most 1000 entries each, as JSON documents."""
-    man = view(spark, sf_dir, "man")
-    entry = F.struct("seq", F.struct("path", "op", "original_sha256", "original_size", F.concat(F.lit("p"), "seq").alias("payload")).alias("e"))
-    cut = man.withColumn("root", F.concat_ws("-", "path", F.floor(F.col("seq") / 1000)))
-    docs = cut.groupBy("root").agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.min("seq").alias("created_at"))
+    """Manifests of at most 1000 entries each, several of them per root, as JSON documents."""
+    strips = view(spark, sf_dir, "strips").groupBy("seq").agg(F.collect_list(F.struct(*STRIP_FIELDS)).alias("texture_strips"))
+    man = view(spark, sf_dir, "man").join(strips, "seq", "left")
+    entry = F.struct("seq", F.struct("path", "op", "original_sha256", "original_size", _payload().alias("payload"), "texture_strips").alias("e"))
+    cut = man.withColumns({"root": F.col("path"), "part": F.floor(F.col("seq") / 1000)})
+    docs = cut.groupBy("root", "part").agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.min("seq").alias("created_at"))
     return docs.select(
         F.lit(1).alias("version"), (F.col("created_at") + 1600000000).alias("created_at"), "root",
         F.lit("full").alias("mode"), F.transform("entries", lambda e: e["e"]).alias("entries"),
@@ -589,17 +607,21 @@ def _read_manifests(spark, sf_dir):
     return readers.read_manifest(spark, path, one_per_line=True)
 
 
+def _known_by(manifest_rows):
+    """The part of a manifest's id that does not depend on where the query wrote it: root and creation time."""
+    parts = F.split("manifest_id", "#")
+    return manifest_rows.withColumn("manifest_id", F.concat_ws("#", F.element_at(parts, -2), F.element_at(parts, -1)))
+
+
 @query()
 def b1_manifest_status(spark, sf_dir):
-    return M.manifest_status(_read_manifests(spark, sf_dir)).drop("created_at")
+    return _known_by(M.manifest_status(_read_manifests(spark, sf_dir))).drop("created_at")
 
 
-@query("strips")
-def b2_explode_strips(strips):
-    # Gather the strip rows into their manifest entry first, then take them apart.
-    record = F.struct("asset_path", "export_name", "original_top_dim", "pixel_format", "compression_settings")
-    entries = strips.groupBy("seq", "path", "original_size").agg(F.collect_list(record).alias("texture_strips"))
-    return M.explode_strips(entries.withColumn("manifest_id", F.lit("m"))).drop("manifest_id", "strip_seq")
+@query()
+def b2_explode_strips(spark, sf_dir):
+    strips = M.explode_strips(M.explode_entries(_read_manifests(spark, sf_dir)))
+    return _known_by(strips).select("manifest_id", "seq", "path", "original_size", "strip_seq", *STRIP_FIELDS)
 
 
 @query()
@@ -664,24 +686,20 @@ def q6_best_threshold(ben):
     return _rounded(best, "threshold", "accuracy", "majority")
 
 
-def _codec_costs(ben):
-    return _sides(ben)[0]
-
-
 @query("ben")
 def q7_router_gate(ben):
-    return _rounded(Q.router_gate(_codec_costs(ben)), "always_codec", "perfect", "headroom", "value_vs_backup")
+    return _rounded(_per_predictor(ben, Q.router_gate), "always_codec", "perfect", "headroom", "value_vs_backup")
 
 
 @query("ben")
 def q8_grid_threshold(ben):
-    best = Q.grid_threshold(_codec_costs(ben), "hp_energy", F.col("ratio") >= 1.0)
+    best = _per_predictor(ben, lambda side: Q.grid_threshold(side, "hp_energy", F.col("ratio") >= 1.0))
     return _rounded(best, "threshold", "accuracy", "majority")
 
 
 @query("ben")
 def q9_mean_cost_by_class(ben):
-    return _rounded(Q.mean_cost_by_class(_codec_costs(ben)), "mean_cost")
+    return _rounded(_per_predictor(ben, Q.mean_cost_by_class), "mean_cost")
 
 
 def _residual_runs(ben):
@@ -812,8 +830,9 @@ def e1_entry_class_counts(ent):
 
 @query("ent")
 def e2_search_entries(ent):
-    found = E.search_entries(ent, " L10n/FR ", "package")
-    return found.select("root_id", "container_path", "path", "size_bytes", "entry_class")
+    # A small limit, so that many containers have more hits than are shown.
+    found = E.search_entries(ent, " L10n/FR ", top=2)
+    return found.select("root_id", "container_path", "path", "size_bytes", "entry_class", "position")
 
 
 # -- sources and sinks ---------------------------------------------------------------
@@ -833,7 +852,8 @@ def s2_read_entries(ent):
 
 def _bench_runs(ben):
     ratio = F.col("ratio")
-    return ben.where("predictor = 'bilinear'").select(
+    # Runs of one label lie in one file, the learned run last, so that reading keeps it.
+    return ben.repartition("label").sortWithinPartitions("label", "predictor").select(
         F.concat(F.lit("corpus/"), "label", F.lit(".png")).alias("path"), "label", F.lit(512).alias("w"),
         F.lit(512).alias("h"), F.lit("rgba8").alias("format"), F.lit(1).alias("quant_step"), "baseline_bytes",
         F.floor(ratio * F.col("baseline_bytes")).alias("residual_bytes"), F.lit(65536).cast("bigint").alias("low_mip_bytes"),
@@ -856,7 +876,7 @@ def s3_read_bench(ben):
 @query()
 def s4_read_manifest(spark, sf_dir):
     entries = M.explode_entries(_read_manifests(spark, sf_dir))
-    return entries.select(
+    return _known_by(entries).select(
         "manifest_id", "seq", "path", "op", "original_sha256", "original_size", "payload",
         F.size("texture_strips").alias("strips"),
     )
@@ -873,7 +893,20 @@ def s5_write_report_json(files):
 
 @query("files")
 def s6_render_report_markdown(files):
-    return A.report_markdown(A.report_rows(files))
+    """The documents' lines that carry results, without sizes and texts of our own; "more" lines with their finding."""
+    documents = A.report_markdown(A.report_rows(files))
+    blocks = documents.select("root_id", F.explode(F.split("markdown", "\n\n")).alias("block"))
+    detector = F.regexp_extract("block", r"Detector: `(\w+)`", 1)
+    lines = blocks.select("root_id", detector.alias("detector"), F.explode(F.split("block", "\n")).alias("line"))
+    kinds = {
+        "score": (r"^Score: .*$", F.col("line")),
+        "finding": (r"^### \[", F.regexp_extract("line", r"^(### \[\w+\])", 1)),
+        "category": (r"^\| \w+ \| [\d.]+ \w+ \|$", F.regexp_extract("line", r"^(\| \w+ \|)", 1)),
+        "evidence": (r"^- `", F.regexp_replace("line", r"`: [\d.]+ \w+ _", "` _")),
+        "more": (r"^- … and ", F.concat("line", F.lit(" of "), "detector")),
+    }
+    parts = [lines.where(F.col("line").rlike(pattern)).select("root_id", F.lit(kind).alias("kind"), shown.alias("line")) for kind, (pattern, shown) in kinds.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("ben")

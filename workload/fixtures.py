@@ -61,7 +61,7 @@ SELECT i.root_id, i.path AS container_path, i.probe_error,
 """
 
 TEX = """
-SELECT p_partkey AS tex_id, concat('Game/Content/', p_brand, '/T_', p_partkey, CASE p_partkey % 6 WHEN 0 THEN '_N' WHEN 1 THEN '_lut' ELSE '_d' END) AS asset_path,
+SELECT p_partkey AS tex_id, concat('Game/Content/A', CAST(floor(p_partkey / 2) AS BIGINT)) AS asset_path,
  concat('T_', p_partkey, CASE p_partkey % 6 WHEN 0 THEN '_N' WHEN 1 THEN '_lut' ELSE '_d' END) AS export_name,
  CASE p_type WHEN 'ECONOMY' THEN 'PF_DXT1' WHEN 'STANDARD' THEN 'PF_DXT5' WHEN 'PROMO' THEN 'PF_BC5' WHEN 'LARGE' THEN 'PF_BC7' WHEN 'MEDIUM' THEN 'PF_ASTC_6x6' ELSE 'PF_B8G8R8A8' END AS pixel_format,
  CAST(power(2, 6 + p_size % 7) AS INT) AS size_x, CAST(power(2, 6 + p_partkey % 7) AS INT) AS size_y, CAST(7 + p_size % 6 AS INT) AS num_mips,
@@ -81,7 +81,9 @@ SELECT concat(CASE p_partkey % 4 WHEN 0 THEN 'Wood' WHEN 1 THEN 'Rust' WHEN 2 TH
 """
 
 STRIPS = """
-SELECT m.seq, m.path, m.original_size, t.asset_path, t.export_name, greatest(t.size_x, t.size_y) AS original_top_dim, t.pixel_format, t.compression_settings
+SELECT m.seq, m.path, m.original_size, t.asset_path, t.export_name, greatest(t.size_x, t.size_y) AS original_top_dim,
+ least(greatest(t.size_x, t.size_y), 512) AS stripped_top_dim, CAST(t.tex_id % 3 AS INT) AS drop_mip_count, CAST(t.num_mips - t.tex_id % 3 AS INT) AS kept_mip_count,
+ t.pixel_format, t.compression_settings, CAST(t.size_x AS BIGINT) * t.size_y AS saved_bytes
  FROM {man} m JOIN {tex} t ON m.seq = t.tex_id WHERE m.op = 'replace'
 """
 

@@ -177,11 +177,11 @@ PAIRS = f"""pairs AS (SELECT a.label, {CLASS.replace('label', 'a.label')} AS con
   least(a.ratio, b.ratio) AS oracle_ratio, CASE WHEN a.ratio <= b.ratio THEN 'bilinear' ELSE 'learned' END AS winner
   FROM ben a JOIN ben b ON a.label = b.label WHERE a.predictor = 'bilinear' AND b.predictor = 'learned')"""
 oracle("j3_pair_benchmarks", f"WITH {PAIRS} SELECT label, content_class, a_ratio, b_ratio, hp_energy FROM pairs", "ben")
-GRID = """c AS (SELECT * FROM ben WHERE predictor = 'bilinear'), b AS (SELECT min(hp_energy) AS lo, max(hp_energy) AS hi FROM c),
- g AS (SELECT CAST(i AS INT) AS step, lo + (hi - lo) * (i / 200.0::DOUBLE) AS threshold FROM b, range(0, 201) r(i)),
- grid AS (SELECT step, threshold, count(*) FILTER ((hp_energy >= threshold) = (ratio >= 1.0)) AS correct, count(*) AS total,
-   count(*) FILTER (ratio >= 1.0) AS pos_total FROM g, c GROUP BY step, threshold)"""
-oracle("j4_threshold_sweep", f"WITH {GRID} SELECT step, round(threshold, 6) AS threshold, correct FROM grid", "ben")
+GRID = """b AS (SELECT predictor, min(hp_energy) AS lo, max(hp_energy) AS hi FROM ben GROUP BY predictor),
+ g AS (SELECT predictor, CAST(i AS INT) AS step, lo + (hi - lo) * (i / 200.0::DOUBLE) AS threshold FROM b, range(0, 201) r(i)),
+ grid AS (SELECT predictor, step, threshold, count(*) FILTER ((hp_energy >= threshold) = (ratio >= 1.0)) AS correct, count(*) AS total,
+   count(*) FILTER (ratio >= 1.0) AS pos_total FROM g JOIN ben USING (predictor) GROUP BY predictor, step, threshold)"""
+oracle("j4_threshold_sweep", f"WITH {GRID} SELECT predictor, step, round(threshold, 6) AS threshold, correct FROM grid", "ben")
 HASH = """ah0 AS (SELECT image_id, sum(CASE WHEN r >= m THEN (1::HUGEINT << CAST(y * 8 + x AS INT)) ELSE 0 END)::HUGEINT AS s FROM
    (SELECT *, avg(r) OVER (PARTITION BY image_id) AS m FROM near_pixels) GROUP BY image_id),
  ah AS (SELECT image_id, CAST(CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END AS BIGINT) AS ahash FROM ah0),
@@ -196,8 +196,9 @@ PLAN_SQL = f"""k AS (SELECT tex_id, {_kept('512')} AS kept FROM mip GROUP BY tex
    CAST(count(*) - any_value(kept) AS INT) AS kept_mip_count, CAST(coalesce(sum(bytes) FILTER (level < kept), 0) AS BIGINT) AS save_bytes,
    CAST(sum(bytes) AS BIGINT) AS original_bytes FROM mip m JOIN k USING (tex_id) GROUP BY m.tex_id, m.asset_path)"""
 oracle("j6_route_targets", f"""WITH {MIPS}, {PLAN_SQL}, routed AS (SELECT tex_id, asset_path, save_bytes,
-  CASE WHEN tex_id % 7 <> 0 THEN {SMART} END AS restore_class FROM plan)
-SELECT * FROM routed WHERE restore_class IS NULL OR restore_class = 'ai_upscale'""", "tex")
+  min(CASE WHEN tex_id % 7 <> 0 THEN CASE {SMART} WHEN 'no_strip' THEN '0no_strip' WHEN 'exact_backup' THEN '1exact_backup' ELSE '2ai_upscale' END END)
+    OVER (PARTITION BY asset_path) AS strictest FROM plan)
+SELECT tex_id, asset_path, save_bytes, strictest[2:] AS restore_class FROM routed WHERE strictest IS NULL OR strictest = '2ai_upscale'""", "tex")
 oracle("j7_size_collision_prefilter", """SELECT root_id, path, size_bytes FROM files WHERE size_bytes >= 4194304
 QUALIFY count(*) OVER (PARTITION BY root_id, size_bytes) >= 2""", "files")
 CHUNK = f"""ch AS (SELECT root_id, path, size_bytes, regexp_extract({NAME}, '^pakchunk([^-]+)-(.*)[.]pak$', 1) AS chunk_id,
@@ -328,8 +329,7 @@ EVID = f"""sf AS (SELECT root_id FROM fnd WHERE detector = 'shader_rhi_redundanc
   UNION ALL SELECT root_id, 'stale_version_dir', dir, {BIG('bytes')}, name FROM vd WHERE age > 1
   UNION ALL SELECT root_id, 'sharded_videos', parent, {BIG('bytes')}, n || ' folders' FROM sh
   UNION ALL SELECT root_id, 'large_chunk', path, size_bytes, CASE WHEN size_bytes >= 10737418240 THEN 'critical' ELSE 'oversized' END FROM lc
-  UNION ALL SELECT root_id, 'encryption', path, size_bytes, status FROM (SELECT * FROM acc WHERE status IN ('encrypted', 'iostore')
-    QUALIFY row_number() OVER (PARTITION BY root_id, status ORDER BY path) <= 5)
+  UNION ALL SELECT root_id, 'encryption', path, size_bytes, status FROM acc WHERE status <> 'readable'
   UNION ALL SELECT root_id, 'editor_leftovers', path, size_bytes, label FROM editor_leftovers_v
   UNION ALL SELECT root_id, 'launcher_satellite', dir, {BIG('ds.bytes')}, name FROM ds JOIN st USING (root_id, parent) WHERE dlls > 0 AND {SAT_NAME.format('name')}
   UNION ALL SELECT root_id, 'shader_rhi_redundancy', path, size_bytes, {FAMILY} FROM files JOIN sf USING (root_id) WHERE {FAMILY} IS NOT NULL
@@ -408,10 +408,13 @@ oracle("p14_snapshot_diff_totals", f"WITH {_DIFF} SELECT root_id, change, count(
 
 # -- change manifests ----------------------------------------------------------------
 
-oracle("b1_manifest_status", """SELECT path || '-' || CAST(seq // 1000 AS VARCHAR) AS manifest_id, 1 AS version,
+DOCS = """docs AS (SELECT *, path || '#' || (min(seq) OVER (PARTITION BY path, seq // 1000) + 1600000000) AS manifest_id,
+  row_number() OVER (PARTITION BY path, seq // 1000 ORDER BY seq) - 1 AS place FROM man)"""
+oracle("b1_manifest_status", f"""WITH {DOCS} SELECT manifest_id, 1 AS version,
   strftime(make_timestamp((min(seq) + 1600000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created_text, 'full' AS mode, CAST(count(*) AS INT) AS entry_count
-FROM man GROUP BY path, seq // 1000""", "man")
-oracle("b2_explode_strips", "SELECT seq, path, original_size, asset_path, export_name, original_top_dim, pixel_format, compression_settings FROM strips", "strips")
+FROM docs GROUP BY manifest_id""", "man")
+oracle("b2_explode_strips", f"""WITH {DOCS} SELECT manifest_id, place AS seq, d.path, d.original_size, 0 AS strip_seq, asset_path, export_name, original_top_dim, stripped_top_dim,
+  drop_mip_count, kept_mip_count, pixel_format, compression_settings, saved_bytes FROM docs d JOIN strips s ON s.seq = d.seq""", "man", "strips")
 oracle("b3_replay_restore", f"""WITH {MSTAT}, ok AS (SELECT * FROM mst WHERE status = 'ok' QUALIFY row_number() OVER (PARTITION BY full_path ORDER BY seq) = 1)
 SELECT p.path, CASE WHEN ok.op IS NULL THEN 'unchanged' WHEN ok.op = 'create' THEN 'absent' ELSE 'restored' END AS outcome,
   CASE WHEN ok.op <> 'create' THEN ok.original_sha256 END AS sha256, CASE WHEN ok.op <> 'create' THEN ok.original_size END AS size_bytes
@@ -440,13 +443,14 @@ oracle("q6_best_threshold", f"""WITH {PAIRS}, xs AS (SELECT DISTINCT hp_energy A
  acc AS (SELECT t, count(*) FILTER ((hp_energy >= t) = (winner = 'learned')) / count(*)::DOUBLE AS accuracy,
    greatest(count(*) FILTER (winner = 'learned'), count(*) FILTER (winner <> 'learned')) / count(*)::DOUBLE AS majority FROM md, pairs WHERE t IS NOT NULL GROUP BY t)
 SELECT round(t, 6) AS threshold, round(accuracy, 6) AS accuracy, round(majority, 6) AS majority FROM acc ORDER BY acc.accuracy DESC, t LIMIT 1""", "ben")
-oracle("q7_router_gate", """WITH c AS (SELECT count(*) FILTER (ratio < 1) AS codec_wins, count(*) FILTER (ratio >= 1) AS backup_wins, avg(ratio) AS always_codec, avg(least(ratio, 1.0)) AS perfect
-  FROM ben WHERE predictor = 'bilinear')
-SELECT codec_wins, backup_wins, round(always_codec, 6) AS always_codec, round(perfect, 6) AS perfect, round(always_codec - perfect, 6) AS headroom, round(1 - perfect, 6) AS value_vs_backup,
+oracle("q7_router_gate", """WITH c AS (SELECT predictor, count(*) FILTER (ratio < 1) AS codec_wins, count(*) FILTER (ratio >= 1) AS backup_wins, avg(ratio) AS always_codec, avg(least(ratio, 1.0)) AS perfect
+  FROM ben GROUP BY predictor)
+SELECT predictor, codec_wins, backup_wins, round(always_codec, 6) AS always_codec, round(perfect, 6) AS perfect, round(always_codec - perfect, 6) AS headroom, round(1 - perfect, 6) AS value_vs_backup,
   always_codec - perfect > 0.005 AS headroom_is_real FROM c""", "ben")
-oracle("q8_grid_threshold", f"""WITH {GRID}, best AS (SELECT *, correct / total::DOUBLE AS a, greatest(pos_total, total - pos_total) / total::DOUBLE AS m FROM grid ORDER BY correct DESC, step LIMIT 1)
-SELECT round(threshold, 6) AS threshold, round(a, 6) AS accuracy, round(m, 6) AS majority, CASE WHEN pos_total = 0 THEN 'no_decision' WHEN a > m + 0.02 THEN 'pass' ELSE 'fail' END AS verdict FROM best""", "ben")
-oracle("q9_mean_cost_by_class", f"SELECT {SUFFIX} AS label_class, count(*) AS n, round(avg(ratio), 6) AS mean_cost FROM ben WHERE predictor = 'bilinear' GROUP BY ALL", "ben")
+oracle("q8_grid_threshold", f"""WITH {GRID}, best AS (SELECT *, correct / total::DOUBLE AS a, greatest(pos_total, total - pos_total) / total::DOUBLE AS m FROM grid
+  QUALIFY row_number() OVER (PARTITION BY predictor ORDER BY correct DESC, step) = 1)
+SELECT predictor, round(threshold, 6) AS threshold, round(a, 6) AS accuracy, round(m, 6) AS majority, CASE WHEN pos_total = 0 THEN 'no_decision' WHEN a > m + 0.02 THEN 'pass' ELSE 'fail' END AS verdict FROM best""", "ben")
+oracle("q9_mean_cost_by_class", f"SELECT predictor, {SUFFIX} AS label_class, count(*) AS n, round(avg(ratio), 6) AS mean_cost FROM ben GROUP BY ALL", "ben")
 _RUNS = f"rr AS (SELECT {SUFFIX} AS label_class, baseline_bytes AS top, CAST(floor(ratio * baseline_bytes) AS BIGINT) AS res, lossless FROM ben)"
 _ACCOUNT = f"""count(*) AS n, {SUM('top')} AS top_bytes, {SUM('res')} AS residual_bytes, {SUM('top - res')} AS net_bytes, count(*) FILTER (res < top) AS wins,
   round(avg(res / greatest(top, 1)::DOUBLE), 6) AS mean_sidecar, count(*) FILTER (lossless) AS byte_exact"""
@@ -486,13 +490,13 @@ def _up(name: str, source: str, edge: int) -> str:
     wide = edge * 2
     scale = f"(CAST({edge - 1} AS FLOAT) / CAST({wide - 1} AS FLOAT))"
     one = "CAST(1 AS FLOAT)"
-    return f"""{name}_lo AS (SELECT * FROM {source}),
+    at = lambda x, y: f"CAST(px[{y} * {edge} + {x} + 1] AS FLOAT)"
+    return f"""{name}_lo AS (SELECT image_id, list(r ORDER BY y, x) AS px FROM {source} GROUP BY image_id),
  {name}_t AS (SELECT CAST(t AS INT) AS t, CAST(t AS FLOAT) * {scale} AS f FROM range(0, {wide}) r(t)),
  {name}_a AS (SELECT t, f, CAST(floor(f) AS INT) AS p0, least(CAST(floor(f) AS INT) + 1, {edge - 1}) AS p1, f - CAST(floor(f) AS FLOAT) AS wgt FROM {name}_t),
- {name}_s AS (SELECT a.image_id, xx.t AS x, yy.t AS y, CAST(a.r AS FLOAT) * ({one} - xx.wgt) + CAST(b.r AS FLOAT) * xx.wgt AS top,
-   CAST(c.r AS FLOAT) * ({one} - xx.wgt) + CAST(d.r AS FLOAT) * xx.wgt AS bot, yy.wgt AS wy
-   FROM {name}_a xx CROSS JOIN {name}_a yy JOIN {name}_lo a ON a.x = xx.p0 AND a.y = yy.p0 JOIN {name}_lo b ON b.image_id = a.image_id AND b.x = xx.p1 AND b.y = yy.p0
-   JOIN {name}_lo c ON c.image_id = a.image_id AND c.x = xx.p0 AND c.y = yy.p1 JOIN {name}_lo d ON d.image_id = a.image_id AND d.x = xx.p1 AND d.y = yy.p1),
+ {name}_s AS (SELECT image_id, xx.t AS x, yy.t AS y, {at('xx.p0', 'yy.p0')} * ({one} - xx.wgt) + {at('xx.p1', 'yy.p0')} * xx.wgt AS top,
+   {at('xx.p0', 'yy.p1')} * ({one} - xx.wgt) + {at('xx.p1', 'yy.p1')} * xx.wgt AS bot, yy.wgt AS wy
+   FROM {name}_lo CROSS JOIN {name}_a xx CROSS JOIN {name}_a yy),
  {name} AS (SELECT image_id, x, y, CAST(greatest(0, least(255, floor(CAST(top * ({one} - wy) + bot * wy AS DOUBLE) + 0.5))) AS INT) AS r FROM {name}_s)"""
 
 
@@ -512,8 +516,9 @@ oracle("r14_mip_table", f"""WITH {MIPS} SELECT asset_path, CAST(num_mips AS INT)
 
 oracle("e1_entry_class_counts", f"""SELECT root_id, {ENTRY} AS entry_class, count(*) AS entry_count FROM ent GROUP BY ALL
 UNION ALL SELECT root_id, 'all', count(*) FROM ent GROUP BY root_id""", "ent")
-oracle("e2_search_entries", f"""SELECT root_id, container_path, path, size_bytes, {ENTRY} AS entry_class FROM ent WHERE contains(lower(path), 'l10n/fr') AND {ENTRY} = 'package'
-ORDER BY size_bytes DESC, path, container_path, root_id LIMIT 300""", "ent")
+oracle("e2_search_entries", f"""SELECT root_id, container_path, path, size_bytes, {ENTRY} AS entry_class,
+  CAST(row_number() OVER (PARTITION BY root_id, container_path ORDER BY size_bytes DESC, path) AS INT) AS position
+FROM ent WHERE contains(lower(path), 'l10n/fr') QUALIFY position <= 2""", "ent")
 
 # -- sources and sinks ---------------------------------------------------------------
 
@@ -522,10 +527,17 @@ oracle("s2_read_entries", """SELECT root_id, container_path, path, CAST(position
   (PARTITION BY root_id, container_path ORDER BY path) AS position, count(*) OVER (PARTITION BY root_id, container_path) AS n FROM ent) WHERE position <= 3""", "ent")
 _BENCH = """bench AS (SELECT 'corpus/' || label || '.png' AS path, label, 512 AS w, 512 AS h, 'rgba8' AS format, 1 AS quant_step, baseline_bytes,
   CAST(floor(ratio * baseline_bytes) AS BIGINT) AS residual_bytes, CAST(65536 AS BIGINT) AS low_mip_bytes, CAST(floor(ratio * baseline_bytes + 65536) AS BIGINT) AS total_codec_bytes,
-  ratio AS ratio_vs_baseline, lossless AS lossless_pass, hp_energy, CASE WHEN hp_energy < 25 THEN 'pixel' ELSE 'bc3_byte' END AS recommended_space FROM ben WHERE predictor = 'bilinear')"""
-oracle("s3_read_bench", f"WITH {_BENCH} SELECT * FROM bench", "ben")
-oracle("s4_read_manifest", """SELECT path || '-' || CAST(seq // 1000 AS VARCHAR) AS manifest_id, row_number() OVER (PARTITION BY path, seq // 1000 ORDER BY seq) - 1 AS seq,
-  path, op, original_sha256, original_size, 'p' || seq AS payload, 0 AS strips FROM man""", "man")
+  ratio AS ratio_vs_baseline, lossless AS lossless_pass, hp_energy, CASE WHEN hp_energy < 25 THEN 'pixel' ELSE 'bc3_byte' END AS recommended_space, predictor FROM ben)"""
+oracle("s3_read_bench", f"WITH {_BENCH} SELECT * EXCLUDE (predictor) FROM bench QUALIFY row_number() OVER (PARTITION BY label ORDER BY predictor DESC) = 1", "ben")
+oracle("s4_read_manifest", f"""WITH {DOCS} SELECT manifest_id, place AS seq, d.path, op, original_sha256, d.original_size, CASE WHEN op = 'create' THEN '' ELSE 'p' || d.seq END AS payload,
+  CAST(s.seq IS NOT NULL AS INT) AS strips FROM docs d LEFT JOIN (SELECT DISTINCT seq FROM strips) s ON s.seq = d.seq""", "man", "strips")
 oracle("s5_write_report_json", f"WITH {FOUND}, {_AUD} SELECT root_id, total_bytes, reclaimable_bytes, score, CAST(total_findings AS INT) AS findings FROM rep", "files")
+oracle("s6_render_report_markdown", f"""WITH {FOUND}, {EVID}, {_AUD}, re AS (SELECT *, row_number() OVER (PARTITION BY root_id, detector ORDER BY size_bytes DESC, path) AS rank,
+  count(*) OVER (PARTITION BY root_id, detector) AS n FROM ev)
+SELECT root_id, 'score' AS kind, 'Score: ' || score || '/100 (' || score_label || ')' AS line FROM rep
+UNION ALL SELECT root_id, 'finding', '### [' || severity || ']' FROM fnd
+UNION ALL SELECT root_id, 'category', '| ' || detector || ' |' FROM fnd WHERE reclaimable_bytes IS NOT NULL
+UNION ALL SELECT root_id, 'evidence', '- `' || path || '` _' || note || '_' FROM re WHERE rank <= 5
+UNION ALL SELECT DISTINCT root_id, 'more', '- … and ' || (n - 5) || ' more of ' || detector FROM re WHERE n > 5""", "files")
 oracle("s7_write_bench_csv", f"""WITH {_BENCH} SELECT concat_ws(',', '"' || path || '"', label, w, h, format, quant_step, baseline_bytes, residual_bytes, low_mip_bytes, total_codec_bytes,
   printf('%.6f', ratio_vs_baseline), CAST(lossless_pass AS VARCHAR), printf('%.4f', hp_energy), recommended_space) AS value FROM bench""", "ben")
