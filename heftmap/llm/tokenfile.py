@@ -1,17 +1,19 @@
 """Token ids in Huffman-coded files, and reading them back.
 
-Ids are counted over all documents (a row per id and task, summed), and get canonical codes of at most
-``MAX_BITS`` bits by package-merge.  Documents are range-partitioned by id and sorted; every task writes whole
-documents into blocks of about ``BLOCK_TOKENS`` ids.  A block is decoded alone, with a table of one entry per
-bit pattern, from all of its checkpoints (bit offsets, one every ``STRIDE`` ids) at once.
+Documents are range-partitioned by id, sorted, encoded once and staged in that order with their places.  Ids are
+counted over all of them (a row per id and task, summed) and get canonical codes of at most ``MAX_BITS`` bits by
+package-merge.  Runs of staged documents then go into blocks of about ``BLOCK_TOKENS`` ids, always whole documents.  A block is
+decoded alone, with a table of one entry per bit pattern, from all of its checkpoints (bit offsets, one every ``STRIDE`` ids) at once.
 
 Files of a folder, as Parquet tables so that any file system Spark writes to will do:
-``codes`` (id, bits), ``files`` (file, start: ids of all files before it), ``blocks`` (file, block,
-first: ids before it in its file, tokens, doc_ids, doc_tokens, checkpoints, payload).
+``codes`` (id, bits), ``files`` (file, start: ids of all parts of the order before it), ``blocks`` (file,
+first: ids before it in its part of the order, tokens, doc_ids, doc_tokens, checkpoints, payload).
 """
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +26,18 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from heftmap.llm.common import map_rows
+from heftmap.operators.staging import discard, fresh_path
 
 END_ID = 0
 MAX_BITS = 16
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS = 1 << 18
 STRIDE = 128
 CACHED = 800_000
 # Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PLAIN = regex.compile("[\x00-ɏ]*")
+MARKS = frozenset(".,;:!?")
+# Up to this character, letters and digits mean the same to the pattern's library, the tokenizer's and Python.
+LAST_PLAIN = "\u024f"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -53,7 +58,11 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.code = "I" if wide else "H"
+        self.width = np.dtype("<u4" if wide else "<u2")
+        if sys.byteorder != "little":
+            raise ValueError("ids are kept in little-endian order")
         self.table = dict(zip(range(256), byte_letters()))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts: dict[str, bytes] = {}
@@ -65,12 +74,20 @@ class Encoder(dict):
         if found is None:
             if len(self.parts) >= CACHED:
                 self.parts.clear()
-            letters = part.encode().decode("latin-1").translate(self.table)
-            found = self.parts[part] = np.array([t.id for t in self.model.tokenize(letters)], self.width).tobytes()
+            if part[0] == " " and part[1:].isalpha() and part.isascii():
+                letters = self.table[32] + part[1:]
+            else:
+                letters = part.encode().decode("latin-1").translate(self.table)
+            found = self.parts[part] = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
         return found
 
     def piece(self, piece: str) -> bytes:
-        if PLAIN.fullmatch(piece):
+        if piece.isascii() or max(piece) <= LAST_PLAIN:  # letters with at most one mark behind them need no pattern
+            word = piece[1:] if piece[0] == " " else piece
+            if word.isalpha():
+                return self.part(piece)
+            if word[-1] in MARKS and word[:-1].isalpha():
+                return self.part(piece[:-1]) + self.part(piece[-1])
             return b"".join(map(self.part, PATTERN.findall(piece)))
         return self.whole(piece)
 
@@ -173,22 +190,42 @@ class Code:
         return out.T.ravel()[:n]
 
 
-def token_counts(rows: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """How often every id occurs in all texts (second column of ``rows``) and their ends."""
+def ordered_ids(rows: DataFrame, path: str, end_id: int) -> DataFrame:
+    """(file, place, first, tokens, id, ids) of the rows (id, text) in id order: a part of the order per task, running numbers and ids inside it."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, file, place, first = encoder(path), TaskContext.get().partitionId(), 0, 0
+        end = array(encode.code, [end_id]).tobytes()
+        for batch in batches:
+            ids = [encode.ids(text).tobytes() + end for text in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) // encode.width.itemsize for x in ids], np.int64)
+            ends = first + np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(ids), file, np.int32)), pa.array(np.arange(place, place + len(ids))), pa.array(ends - sizes), pa.array(sizes),
+                batch.column(0), pa.array(ids, pa.binary())], names=["file", "place", "first", "tokens", "id", "ids"])
+            place, first = place + len(ids), int(ends[-1]) if len(ids) else first
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = F.xxhash64("_text")
+    ordered = rows.repartitionByRange(tasks, "_id", hashed).sortWithinPartitions("_id", hashed)
+    return map_rows(ordered, encode, f"file int, place bigint, first bigint, tokens bigint, id {rows.schema[0].dataType.simpleString()}, ids binary")
+
+
+def token_counts(staged: DataFrame, width: str) -> np.ndarray:
+    """How often every id occurs in ``staged`` (ids)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = encoder(path), np.zeros(end_id + 1, np.int64)
+        total = np.zeros(1, np.int64)
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                found = np.bincount(encode.ids(text))
-                if len(found) > len(total):
-                    total = np.pad(total, (0, len(found) - len(total)))
-                total[:len(found)] += found
-                total[end_id] += 1
+            values = batch.column(0)
+            found = np.bincount(np.frombuffer(b"".join(values.to_pylist()), width))
+            if len(found) > len(total):
+                total = np.pad(total, (0, len(found) - len(total)))
+            total[:len(found)] += found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    totals = map_rows(rows, count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    totals = map_rows(staged.select("ids"), count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     counts = np.zeros(max((r.id for r in totals), default=0) + 1, np.int64)
     for r in totals:
         counts[r.id] = r.n
@@ -204,51 +241,48 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_column: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text).cast("string").alias("_text"))
-    code = Code(code_bits(token_counts(rows, tokenizer_path, end_id), max_bits))
+    width = encoder(tokenizer_path).width.str
+    place = fresh_path(spark, "ordered-ids")
+    ordered_ids(rows, tokenizer_path, end_id).write.option("compression", "zstd").parquet(place)
+    staged = spark.read.parquet(place)
+    code = Code(code_bits(token_counts(staged, width), max_bits))
     shared = spark.sparkContext.broadcast(code)
-    id_type = rows.schema[0].dataType
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, code, file = encoder(tokenizer_path), shared.value, TaskContext.get().partitionId()
-        end = np.array([end_id], encode.width)
-        state = {"block": 0, "first": 0}
-        names, ids = [], []
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of rows that follow on each other; a task may read several parts, or a piece of one."""
+        code, names, ids, start, before, held = shared.value, [], [], (0, 0), None, 0
 
         def flush() -> pa.RecordBatch:
-            tokens = np.concatenate(ids)
+            tokens = np.frombuffer(b"".join(ids), width)
             payload, checkpoints = code.pack(tokens)
-            block = pa.RecordBatch.from_arrays([
-                pa.array([file], pa.int32()), pa.array([state["block"]], pa.int64()), pa.array([state["first"]], pa.int64()), pa.array([len(tokens)], pa.int64()),
-                pa.array([names], pa.list_(kind)), pa.array([[len(x) for x in ids]], pa.list_(pa.int64())),
+            return pa.RecordBatch.from_arrays([
+                pa.array([start[0]], pa.int32()), pa.array([start[1]], pa.int64()), pa.array([len(tokens)], pa.int64()),
+                pa.array([names], pa.list_(kind)), pa.array([[len(x) // np.dtype(width).itemsize for x in ids]], pa.list_(pa.int64())),
                 pa.array([checkpoints.astype("<u8").tobytes()], pa.binary()), pa.array([payload], pa.binary())],
-                names=["file", "block", "first", "tokens", "doc_ids", "doc_tokens", "checkpoints", "payload"])
-            state["block"] += 1
-            state["first"] += len(tokens)
-            return block
+                names=["file", "first", "tokens", "doc_ids", "doc_tokens", "checkpoints", "payload"])
 
-        held = 0
         for batch in batches:
-            kind = batch.schema.field(0).type
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                names.append(name)
-                ids.append(np.concatenate([encode.ids(value), end]))
-                held += len(ids[-1])
-                if held >= BLOCK_TOKENS:
+            kind = batch.schema.field(4).type
+            for file, at, first, tokens, name, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if ids and (held >= BLOCK_TOKENS or (file, at - 1) != before):
                     yield flush()
                     names, ids, held = [], [], 0
+                if not ids:
+                    start = file, first
+                names.append(name)
+                ids.append(packed)
+                held += tokens
+                before = file, at
         if ids:
             yield flush()
 
-    schema = (f"file int, block bigint, first bigint, tokens bigint, doc_ids array<{id_type.simpleString()}>, doc_tokens array<bigint>, "
+    schema = (f"file int, first bigint, tokens bigint, doc_ids array<{rows.schema[0].dataType.simpleString()}>, doc_tokens array<bigint>, "
               "checkpoints binary, payload binary")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashed = F.xxhash64("_text")
-    ordered = rows.repartitionByRange(tasks, "_id", hashed).sortWithinPartitions("_id", hashed)
-    map_rows(ordered, write, schema).write.parquet(f"{path}/blocks")
-    sums = spark.read.parquet(f"{path}/blocks").groupBy("file").agg(F.sum("tokens").alias("n"))  # a row per task above
+    map_rows(staged, pack, schema).write.parquet(f"{path}/blocks")
+    sums = staged.groupBy("file").agg(F.sum("tokens").alias("n"))  # a row per task that encoded
     sums.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("start")).write.parquet(f"{path}/files")
-    used = np.flatnonzero(code.bits)
-    listed = ",".join(f"{i}:{code.bits[i]}" for i in used)
+    discard(spark, place)
+    listed = ",".join(f"{i}:{code.bits[i]}" for i in np.flatnonzero(code.bits))
     entries = spark.range(1).select(F.explode(F.split(F.lit(listed), ",")).alias("entry"))
     entries.select(F.split("entry", ":").alias("p")).where("size(p) = 2").select(
         F.col("p")[0].cast("int").alias("id"), F.col("p")[1].cast("int").alias("bits")).write.parquet(f"{path}/codes")
