@@ -136,8 +136,9 @@ def report_rows(files: DataFrame, detectors: Sequence[str] = D.ROSTER, evidence_
     The nested arrays are small by construction: at most one finding per detector and
     ``evidence_rows`` rows per finding.  The complete evidence is ``D.evidence``.
     """
-    found = stage(D.findings(files, detectors), "findings")
-    ranked = rank_evidence(D.evidence(files, detectors), evidence_rows)
+    signals = D.staged_signals(files, detectors)
+    found = stage(D.findings_from(D.places(D.units(signals))), "findings")
+    ranked = rank_evidence(D.evidence_from(signals, detectors), evidence_rows)
     top = ranked.groupBy("root_id", "detector").agg(
         F.sort_array(F.collect_list(F.struct("rank", "path", "size_bytes", "note"))).alias("evidence"),
         F.max("more").alias("more"),

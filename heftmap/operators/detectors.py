@@ -300,14 +300,9 @@ def _is(*detectors: str) -> Column:
     return F.col("detector").isin(*detectors)
 
 
-def units(found: DataFrame, with_paths: bool = False) -> DataFrame:
-    """Signals per unit, with what the unit puts at stake.
-
-    ``with_paths`` adds the smallest path of the unit (a sort-based aggregation, so only
-    taken where a path is shown).
-    """
+def units(found: DataFrame) -> DataFrame:
+    """Signals per unit, with what the unit puts at stake; fixed-width sums only, so a hash aggregation."""
     marked = F.col("mark")
-    first_path = [F.min("path").alias("first_path")] if with_paths else []
     grouped = found.groupBy("root_id", "detector", "parent", "unit").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("size_bytes").alias("bytes"),
@@ -316,7 +311,6 @@ def units(found: DataFrame, with_paths: bool = False) -> DataFrame:
         F.max("size_bytes").alias("largest_file"),
         F.bit_or("bits").alias("bits"),
         spread.salt_mask("path"),
-        *first_path,
     )
     has = lambda bit: F.col("bits").bitwiseAND(F.lit(bit)) != 0
     status = first_match(
@@ -356,7 +350,7 @@ def units(found: DataFrame, with_paths: bool = False) -> DataFrame:
     place = F.when(_is("encryption"), status).when(_is("patch_overlay"), F.col("unit")).otherwise(F.col("parent"))
     return grouped.where(hit).select(
         "root_id", "detector", place.alias("place"), "parent", "unit", "n", "bytes", "largest_file",
-        spread.MASK, amount.alias("amount"), items.alias("items"), *(["first_path"] if with_paths else []),
+        spread.MASK, amount.alias("amount"), items.alias("items"),
     )
 
 
@@ -541,53 +535,64 @@ def _container_evidence(held: DataFrame) -> DataFrame:
     )
 
 
-def _counted_units(found: DataFrame, with_paths: bool) -> tuple[DataFrame, DataFrame]:
-    """Units of the places that count, and those places."""
-    rolled = units(found, with_paths)
-    at_places = places(rolled)
-    keep = at_places.select("root_id", "detector", "place", "newest_unit", spread.MASK)
-    held = spread.attach(
-        rolled.withColumnRenamed(spread.MASK, "file_mask"), keep, ["root_id", "detector", "place"], ["unit"]
-    ).withColumnRenamed("file_mask", spread.MASK)
-    return (held if with_paths else held.withColumn("first_path", F.lit(None).cast("string"))), at_places
+def staged_signals(files: DataFrame, detectors: Sequence[str] = ROSTER) -> DataFrame:
+    """The signals, written once: findings and evidence can both be made from them."""
+    return stage(signals(files, detectors), "signals")
+
+
+WITH_MEMBERS = ("shader_rhi_redundancy", "cef_locales", "duplicate_content")
+WITH_FOLDERS = ("stale_version_dir", "launcher_satellite", "platform_siblings")
+FIRST_PATHS = ("duplicate_content", "platform_siblings")
 
 
 def evidence(files: DataFrame, detectors: Sequence[str] = ROSTER) -> DataFrame:
     """Every file or folder behind the findings of the chosen detectors.
 
-    The signals are written once, in a folder per detector: rollups and the rows of the
-    groups that count are then read from there instead of testing every file again.
+    Runs jobs while it is called: the signals and their rollup are written once and read from there.
+    """
+    chosen = _check(detectors)
+    return evidence_from(staged_signals(files, chosen), chosen)
+
+
+def evidence_from(found: DataFrame, detectors: Sequence[str] = ROSTER) -> DataFrame:
+    """``evidence`` of signals that have been written.
+
+    All detectors share one rollup to units and places; the units of the places that count are
+    written, and members and folders are read from there.
     """
     chosen = _check(detectors)
-    found = stage(signals(files, chosen), "signals", ["detector"])
     of = lambda names: found.where(_is(*names))
     pick = lambda *names: [d for d in chosen if d in names]
     parts = []
-    listed = pick(*FILE_LISTING)
-    if listed:
+    if listed := pick(*FILE_LISTING):
         parts.append(of(listed).select(*EVIDENCE))
     if "patch_overlay" in chosen:
         parts.append(_chunk_evidence(of(["patch_overlay"])))
-    # (detectors shown by their files, detectors shown by folders, smallest path needed)
-    for member_names, folder_names, with_paths in (
-        (("shader_rhi_redundancy", "cef_locales"), ("stale_version_dir", "launcher_satellite"), False),
-        (("duplicate_content",), ("platform_siblings",), True),
-    ):
-        members, folders = pick(*member_names), pick(*folder_names)
-        if members:
-            held, _ = _counted_units(of(members), with_paths)
-            parts.append(_member_evidence(of(members), held))
-        if folders:
-            parts.append(_folder_evidence(_counted_units(of(folders), with_paths)[0]))
-    if "encryption" in chosen:
-        parts.append(_container_evidence(_counted_units(of(["encryption"]), False)[0]))
-    if "sharded_videos" in chosen:
-        parts.append(
-            places(units(of(["sharded_videos"]))).select(
+    if grouped := pick(*WITH_MEMBERS, *WITH_FOLDERS, "encryption", "sharded_videos"):
+        rolled = stage(units(of(grouped)), "units")
+        at_places = places(rolled)
+        keep = at_places.select("root_id", "detector", "place", "newest_unit", spread.MASK)
+        held = spread.attach(
+            rolled.withColumnRenamed(spread.MASK, "file_mask"), keep, ["root_id", "detector", "place"], ["unit"]
+        ).withColumnRenamed("file_mask", spread.MASK)
+        if shown := pick(*FIRST_PATHS):
+            above = F.coalesce("parent", F.lit("")).alias("above")
+            first = of(shown).groupBy("root_id", "detector", above, "unit").agg(F.min("path").alias("first_path"))
+            held = held.withColumn("above", above).join(first, ["root_id", "detector", "above", "unit"], "left").drop("above")
+        else:
+            held = held.withColumn("first_path", F.lit(None).cast("string"))
+        held = stage(held, "held")
+        if members := pick(*WITH_MEMBERS):
+            parts.append(_member_evidence(of(members), held.where(_is(*members))))
+        if folders := pick(*WITH_FOLDERS):
+            parts.append(_folder_evidence(held.where(_is(*folders))))
+        if "encryption" in chosen:
+            parts.append(_container_evidence(held.where(_is("encryption"))))
+        if "sharded_videos" in chosen:
+            parts.append(at_places.where(_is("sharded_videos")).select(
                 "root_id", "detector", F.col("place").alias("path"), F.col("total").alias("size_bytes"),
                 F.format_string("%d folders", F.col("unit_count")).alias("note"),
-            )
-        )
+            ))
     return reduce(DataFrame.unionByName, parts)
 
 

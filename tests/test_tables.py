@@ -139,6 +139,9 @@ def manifest_dir(tmp_path_factory):
 
 def test_manifests(spark, manifest_dir):
     manifests = readers.read_manifest(spark, str(manifest_dir))
+    ids = [r["manifest_id"] for r in manifests.collect()]
+    assert sorted(i.split("/")[-1] for i in ids) == ["r1.json#r1#0", "r2.json#r2#0"]
+    manifests = manifests.withColumn("manifest_id", F.col("root"))
     status = {r["manifest_id"]: (r["entry_count"], r["created_text"]) for r in M.manifest_status(manifests).collect()}
     assert status == {"r1": (8, "1970-01-01T00:00:00Z"), "r2": (1, "1970-01-01T00:00:00Z")}
     entries = M.explode_entries(manifests)
