@@ -224,3 +224,14 @@ def census_report(files: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(language)).alias("languages"),
         _saving(F.count("lang"), F.sum(spoken), F.max(spoken)).alias("l10n_savings"),
     )
+
+
+def full_census(files: DataFrame, n: int = TOP_FILES) -> DataFrame:
+    """``census_report`` with the n largest files of every root and its containers by access status."""
+    largest = top_files(files, n).groupBy("root_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "path", "size_bytes", "kind"))).alias("top_files")
+    )
+    access = container_inventory(files).groupBy("root_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("status", F.struct("container_count", "bytes")))).alias("containers")
+    )
+    return census_report(files).join(largest, "root_id", "left").join(access, "root_id", "left")

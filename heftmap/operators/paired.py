@@ -29,6 +29,13 @@ def pair_benchmarks(a: DataFrame, b: DataFrame, a_name: str = "bilinear", b_name
     )
 
 
+def require_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs; an error where the two benchmarks have no label in common.  Runs a job that stops at the first pair."""
+    if pairs.isEmpty():
+        raise ValueError("the two benchmarks have no label in common")
+    return pairs
+
+
 def oracle_rows(pairs: DataFrame) -> DataFrame:
     """Adds the better ratio and who reached it."""
     winner = F.when(F.col("a_ratio") <= F.col("b_ratio"), F.col("a_name")).otherwise(F.col("b_name"))

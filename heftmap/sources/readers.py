@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heftmap import schemas
+from heftmap.operators import detectors as D
 from heftmap.operators import manifest as M
+from heftmap.operators.audit import audit
 from heftmap.operators.entries import list_entries
+from heftmap.operators.inventory import size_collision_prefilter
+from heftmap.operators.staging import stage
 
 
 def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -26,28 +31,52 @@ def scan_inventory(spark: SparkSession, roots: Sequence[tuple[int, str]], fan_ou
     """List live folder trees: one row per file and folder, links not followed, errors skipped.
 
     Spark's own file listing hides names starting with ``_`` or ``.`` and lists no
-    folders, so folders are walked inside tasks.  The tree is unfolded two levels as
-    ordinary rows first, and every folder found there is a work item of its own.
+    folders, so folders are listed inside tasks, which must see the trees.  Level by level, every
+    folder is a work item of its own; a level is written before the next is made from it, so
+    no folder is listed twice.  Runs a job per level of the deepest tree while it is called.
     """
-    start = spark.createDataFrame(
+    level = spark.createDataFrame(
         [(int(i), os.path.abspath(p), os.path.abspath(p)) for i, p in roots],
         "root_id long, root string, dir string",
     )
     tasks = fan_out or spark.sparkContext.defaultParallelism
     listed = []
-    level = start
-    for _ in range(2):
-        found = level.repartition(tasks, "root_id", "dir").mapInPandas(_list_one, _LISTED)
+    while True:
+        found = stage(level.repartition(tasks, "root_id", "dir").mapInPandas(_list_one, _LISTED), "level")
         listed.append(found)
         level = found.where("is_dir").select("root_id", "root", F.concat("root", F.lit("/"), "path").alias("dir"))
-    listed.append(level.repartition(tasks, "root_id", "dir").mapInPandas(_walk, _LISTED))
-    rows = listed[0].unionByName(listed[1]).unionByName(listed[2])
-    return rows.select(
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, listed).select(
         "root_id", "path", "is_dir", "size_bytes", F.lit(None).cast("string").alias("content_sha256"),
         F.lit(None).cast("string").alias("probe_error"),
     )
 
 
+def hashed_inventory(spark: SparkSession, roots: Sequence[tuple[int, str]], min_size: int = D.MIN_DUPLICATE_SIZE) -> DataFrame:
+    """A live scan in which the files that share their size with another have their hashes."""
+    files = stage(scan_inventory(spark, roots), "scan")
+    where = spark.createDataFrame([(int(i), os.path.abspath(p)) for i, p in roots], "root_id long, root string")
+    hashes = hash_files(size_collision_prefilter(files, min_size), where).select("root_id", "path", "content_sha256")
+    merged = files.drop("content_sha256").join(hashes, ["root_id", "path"], "left")
+    return merged.select(*schemas.FILES.names)
+
+
+def audit_roots(spark: SparkSession, roots: Sequence[tuple[int, str]], detectors: Sequence[str] = D.ROSTER,
+                probes: DataFrame | None = None) -> DataFrame:
+    """From folders to one scored row per root: scan, hash what may be copies, audit.
+
+    ``probes`` (root_id, path, probe_error) holds what opening the containers gave.  Without it nothing is
+    known about access, so the encryption detector is left out.
+    """
+    files = hashed_inventory(spark, roots)
+    if probes is None:
+        detectors = [d for d in detectors if d != "encryption"]
+    else:
+        files = files.drop("probe_error").join(probes.select("root_id", "path", "probe_error"), ["root_id", "path"], "left")
+    return audit(files.select(*schemas.FILES.names), detectors)
+
+
 _LISTED = "root_id long, root string, path string, is_dir boolean, size_bytes long"
 _COLUMNS = ["root_id", "root", "path", "is_dir", "size_bytes"]
 _BATCH = 10_000
@@ -90,22 +119,6 @@ def _list_one(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield from _in_batches(r for r in rows if r is not None)
 
 
-def _walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def below(root_id: int, root: str, folder: str) -> Iterator[tuple]:
-        pending = [folder]
-        while pending:
-            for item in _entries_of(pending.pop()):
-                row = _row(root_id, root, item)
-                if row is not None:
-                    yield row
-                    if row[3]:
-                        pending.append(item.path)
-
-    for part in parts:
-        for root_id, root, folder in part.itertuples(index=False):
-            yield from _in_batches(below(root_id, root, folder))
-
-
 def hash_files(candidates: DataFrame, roots: DataFrame) -> DataFrame:
     """Stream SHA-256 over candidate files inside tasks, in blocks, whatever their size.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heftmap import schemas
 from heftmap.operators import audit as A
+from heftmap.operators import detectors as D
 from heftmap.operators import entries as E
 from heftmap.operators import inventory as I
 from heftmap.operators import manifest as M
@@ -227,3 +228,71 @@ def test_reports_are_written(spark, files, tmp_path):
     writers.render_report_markdown(report, str(tmp_path / "md"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
     assert sorted(n for n in os.listdir(tmp_path / "md") if n.startswith("root_id")) == ["root_id=1", "root_id=2"]
+
+
+def test_live_audit_finds_equal_files(spark, tmp_path):
+    deep = tmp_path.joinpath(*[f"d{i}" for i in range(6)])
+    deep.mkdir(parents=True)
+    (deep / "one.bin").write_bytes(b"x" * (4 << 20))
+    (tmp_path / "two.bin").write_bytes(b"x" * (4 << 20))
+    (tmp_path / "three.bin").write_bytes(b"y" * (4 << 20))
+    (tmp_path / "sealed.pak").write_bytes(b"z")
+    found = {r["detector"]: r for r in D.findings(readers.hashed_inventory(spark, [(7, str(tmp_path))])).collect()}
+    assert found["duplicate_content"]["reclaimable_bytes"] == 4 << 20
+    scored = readers.audit_roots(spark, [(7, str(tmp_path))]).collect()
+    assert [(r["root_id"], r["reclaimable_bytes"], r["access_blocked"]) for r in scored] == [(7, 4 << 20, False)]
+    probes = spark.createDataFrame([(7, "sealed.pak", "pak is encrypted but no key was provided")], "root_id long, path string, probe_error string")
+    assert readers.audit_roots(spark, [(7, str(tmp_path))], probes=probes).collect()[0]["access_blocked"]
+
+
+def test_every_folder_is_a_work_item(spark, tmp_path):
+    for i in range(20):
+        (tmp_path / "top" / f"sub{i}").mkdir(parents=True)
+        (tmp_path / "top" / f"sub{i}" / "f").write_text("a")
+    scanned = readers.scan_inventory(spark, [(1, str(tmp_path))])
+    assert scanned.count() == 41
+    assert scanned.where("path LIKE 'top/sub%/f'").select(F.input_file_name()).distinct().count() > 1
+
+
+def test_assets_take_their_strictest_class(spark):
+    plan = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "asset_path string, save_bytes long")
+    classes = spark.createDataFrame([("a", "ai_upscale"), ("a", "no_strip"), ("b", "exact_backup"), ("b", "ai_upscale"), ("c", "ai_upscale")],
+                                    "asset_path string, restore_class string")
+    assert [r["asset_path"] for r in mips.route_targets(plan, classes).collect()] == ["c"]
+    assert {r["asset_path"] for r in mips.route_targets(plan, classes, exempt_backup=False).collect()} == {"b", "c"}
+
+
+def test_two_manifests_of_one_root_stay_apart(spark, tmp_path):
+    for name in ("x", "y"):
+        doc = {"version": 1, "created_at": 5, "root": "r", "mode": "strip", "entries": [entry("a", "replace", f"h-{name}", 1, "p")]}
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+    assert M.explode_entries(readers.read_manifest(spark, str(tmp_path))).select("manifest_id").distinct().count() == 2
+
+
+def test_strip_records_keep_their_fields(spark, tmp_path):
+    strip_record = {"asset_path": "A", "export_name": "T", "original_top_dim": 4096, "stripped_top_dim": 1024, "drop_mip_count": 2, "kept_mip_count": 9,
+                    "pixel_format": "PF_DXT5", "compression_settings": "TC_Masks", "saved_bytes": 77}
+    doc = {"version": 1, "created_at": 5, "root": "r", "mode": "strip", "entries": [entry("a", "replace", "h", 1, "p", [strip_record])]}
+    (tmp_path / "m.json").write_text(json.dumps(doc))
+    row = M.explode_strips(M.explode_entries(readers.read_manifest(spark, str(tmp_path)))).first().asDict()
+    assert {k: row[k] for k in strip_record} == strip_record
+
+
+def test_search_is_capped_per_container(spark):
+    rows = spark.createDataFrame([(1, c, f"{c}/L10N/fr/{i}.wav", i, False, False) for c in ("p", "q") for i in range(5)], schemas.ENTRIES)
+    shown = E.search_entries(rows, "l10n", top=2).collect()
+    assert sorted((r["container_path"], r["size_bytes"]) for r in shown) == [("p", 3), ("p", 4), ("q", 3), ("q", 4)]
+
+
+def test_every_blocked_container_is_shown(spark):
+    rows = [(1, f"p{i}.pak", False, 10, None, "pak is encrypted but no key was provided" if i % 2 else "unsupported pak version 99") for i in range(18)]
+    files = spark.createDataFrame(rows, schemas.FILES)
+    shown = D.evidence(files, ["encryption"]).collect()
+    assert len(shown) == 18 and {r["note"] for r in shown} == {"encrypted", "unreadable"}
+    ranked = A.rank_evidence(D.evidence(files, ["encryption"]), 3).collect()
+    assert {r["more"] for r in ranked} == {15}
+
+
+def test_access_of_empty_containers(spark):
+    files = spark.createDataFrame([(1, "p.pak", False, 0, None, "pak is encrypted but no key was provided")], schemas.FILES)
+    assert D.findings(files, ["encryption"]).first()["detail"] == "unreadable"

@@ -283,7 +283,7 @@ def _sides(ben):
 
 
 def _pairs(ben):
-    return Q.oracle_rows(Q.pair_benchmarks(*_sides(ben)))
+    return Q.oracle_rows(Q.require_pairs(Q.pair_benchmarks(*_sides(ben))))
 
 
 @query("ben")
@@ -406,6 +406,14 @@ def census_report(files):
     )
 
 
+@query("files")
+def census_full(files):
+    report = I.full_census(files)
+    listed = report.select("root_id", "l10n_savings", "containers", F.explode("top_files").alias("f"))
+    status = lambda s: F.coalesce(F.try_element_at("containers", F.lit(s))["container_count"], F.lit(0)).alias(s)
+    return listed.select("root_id", "l10n_savings", "f.*", *map(status, ("readable", "encrypted", "iostore", "signed", "unreadable")))
+
+
 # -- audit ---------------------------------------------------------------------------
 
 FINDING = ("root_id", "detector", "severity", "item_count", "group_count", "total_bytes", "reclaimable_bytes", "detail")

@@ -238,6 +238,12 @@ oracle("census_report", f"""WITH {LANGS}, {SAVE}, ks AS (SELECT root_id, count(*
   FROM (SELECT *, {KIND} AS kind FROM files) GROUP BY root_id)
 SELECT ks.*, coalesce(languages, 0) AS languages, coalesce(l10n_savings, 0) AS l10n_savings FROM ks LEFT JOIN ls USING (root_id)""", "files")
 
+oracle("census_full", f"""WITH {LANGS}, {SAVE}, {PAKS}, st AS (SELECT root_id, {STATUS} AS status FROM paks WHERE NOT {CEF}),
+ ca AS (SELECT root_id, {', '.join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ('readable', 'encrypted', 'iostore', 'signed', 'unreadable'))} FROM st GROUP BY root_id),
+ tf AS (SELECT root_id, path, size_bytes, {KIND} AS kind, CAST(row_number() OVER (PARTITION BY root_id ORDER BY size_bytes DESC, path DESC) AS INT) AS rank FROM files)
+SELECT tf.*, coalesce(l10n_savings, 0) AS l10n_savings, coalesce(readable, 0) AS readable, coalesce(encrypted, 0) AS encrypted, coalesce(iostore, 0) AS iostore,
+  coalesce(signed, 0) AS signed, coalesce(unreadable, 0) AS unreadable FROM tf LEFT JOIN ls USING (root_id) LEFT JOIN ca USING (root_id) WHERE rank <= 50""", "files")
+
 # -- detectors -----------------------------------------------------------------------
 
 MIB = 1048576
