@@ -23,7 +23,7 @@ SYMBOLS = "[#*$%&|<>]"
 MIN_GROUP = 50
 REACH = 3
 #: Rate, its least spread, and whether values below the lower fence fail as well.
-RATES = (("word_length", 100, True), ("symbols", 50, False), ("dup_lines", 100, False))
+RATES = (("word_length", 100, True), ("symbols", 50, False), ("dup_lines", 170, False))
 
 
 def with_measures(docs: DataFrame, text: str) -> DataFrame:

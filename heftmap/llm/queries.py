@@ -97,7 +97,7 @@ WITH texts AS (
 ), long AS (
   SELECT lang, source, failed, r.rate, r.least, r.value
   FROM (SELECT lang, source, failed, unnest([
-    {rate: 'word_length', least: 100, value: word_length}, {rate: 'symbols', least: 50, value: symbols}, {rate: 'dup_lines', least: 100, value: dup_lines}]) AS r
+    {rate: 'word_length', least: 100, value: word_length}, {rate: 'symbols', least: 50, value: symbols}, {rate: 'dup_lines', least: 170, value: dup_lines}]) AS r
     FROM measured)
 ), sketch AS (
   SELECT lang, source, rate, least, (value >> greatest(length(bin(value)) - 7, 0)) << greatest(length(bin(value)) - 7, 0) AS bin, count(*) AS n
