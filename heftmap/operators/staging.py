@@ -67,6 +67,12 @@ def discard(spark: SparkSession, *staged: DataFrame | str) -> None:
         _staged.discard(path)
 
 
+def keep(staged: DataFrame) -> DataFrame:
+    """Leave a staged table out of ``discard_all``: its owner deletes it."""
+    _staged.discard(staged.staged_at)
+    return staged
+
+
 def discard_all(spark: SparkSession) -> None:
     """Delete what this process has staged and not yet deleted; nothing may read it any more."""
     discard(spark, *sorted(_staged))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heftmap.operators.staging import stage
+from heftmap.operators.staging import keep, stage
 
 TABLES = ("orders", "lineitem", "part", "events", "documents", "embeddings")
 
@@ -155,7 +155,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         text = text.replace("{" + token + "}", value)
     derived = spark.sql(text, **frames)
     if name in _STORED:
-        derived = _stored[key] = stage(_in_parallel(derived), name)
+        derived = _stored[key] = keep(stage(_in_parallel(derived), name))
     return derived
 
 
