@@ -9,11 +9,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heftmap.functions.numbers import format_bytes, score_label
+from heftmap.functions.numbers import format_bytes, rfc3339, score_label
+from heftmap.functions.rules import first_match
 from heftmap.operators import detectors as D
 from heftmap.operators import inventory as I
 from heftmap.operators.staging import stage
 
+SCHEMA_VERSION = 1
 MARKDOWN_EVIDENCE = 5
 SCREEN_EVIDENCE = 8
 
@@ -130,10 +132,34 @@ def guarded_findings(files: DataFrame, roster: dict) -> DataFrame:
 # -- report shapes -------------------------------------------------------------------
 
 
-def report_rows(files: DataFrame, detectors: Sequence[str] = D.ROSTER, evidence_rows: int = MARKDOWN_EVIDENCE) -> DataFrame:
-    """One row per root: summary columns plus findings with their largest evidence rows.
+ADVICE = {
+    "patch_overlay": "Fold the overlays into their base chunk with the next full build, so that replaced data is no longer shipped twice.",
+    "stale_version_dir": "Delete all but the newest version folder once the update has been verified.",
+    "sharded_videos": "Pack the videos into fewer containers; each small one costs alignment and index space.",
+    "large_chunk": "Split the chunk, so that a patch of a few files does not move the whole of it.",
+    "encryption": "Provide keys or probe results for these containers; what they hold is not part of the estimate.",
+    "editor_leftovers": "Leave debug symbols and intermediate files out of the shipping build.",
+    "launcher_satellite": "Ship the launcher's language folders on demand and keep the one in use.",
+    "shader_rhi_redundancy": "Keep the shader family that the target machines load and offer the others as an option.",
+    "redist_installer": "Remove the bundled installers after the first start, or fetch them when they are missing.",
+    "platform_siblings": "Ship only the binaries of the platform that is installed.",
+    "mod_manager_artifacts": "Clear what the mod tool has disabled or left behind.",
+    "duplicate_content": "Keep one copy of every file and point the other paths at it.",
+    "cef_locales": "Keep the browser locales of the supported languages and drop the rest.",
+}
 
-    The nested arrays are small by construction: at most one finding per detector and
+
+def _summary() -> Column:
+    saved = F.concat(format_bytes(F.col("reclaimable_bytes")), F.lit(" of them could go"))
+    held = F.format_string("%d items hold %s", F.col("item_count"), format_bytes(F.col("total_bytes")))
+    return F.concat_ws(", ", held, F.when(F.col("reclaimable_bytes") > 0, saved))
+
+
+def report_rows(files: DataFrame, detectors: Sequence[str] = D.ROSTER, evidence_rows: int = MARKDOWN_EVIDENCE,
+                generated_at: int | None = None) -> DataFrame:
+    """One row per root: report meta, summary columns, and findings with their largest evidence rows.
+
+    ``generated_at`` is in seconds since 1970, now where it is left out.  Runs jobs while it is called.  The nested arrays are small by construction: at most one finding per detector and
     ``evidence_rows`` rows per finding.  The complete evidence is ``D.evidence``.
     """
     signals = D.staged_signals(files, detectors)
@@ -144,16 +170,20 @@ def report_rows(files: DataFrame, detectors: Sequence[str] = D.ROSTER, evidence_
         F.max("more").alias("more"),
     )
     full = found.join(top, ["root_id", "detector"], "left")
+    advice = first_match((F.col("detector") == d, text) for d, text in ADVICE.items())
     listed = full.groupBy("root_id").agg(
         F.sort_array(F.collect_list(F.struct(
             (-F.col("severity_rank")).alias("order_key"), "detector_rank", "detector", "category", "severity",
-            "title", "detail", "item_count", "total_bytes", "reclaimable_bytes",
+            "title", _summary().alias("summary"), advice.alias("recommendation"), "detail", "item_count", "total_bytes", "reclaimable_bytes",
             F.coalesce("evidence", F.array().cast("array<struct<rank:int,path:string,size_bytes:bigint,note:string>>"))
             .alias("evidence"),
             F.coalesce(F.col("more"), F.lit(0)).alias("more"),
         ))).alias("findings")
     )
-    return aggregate(found, I.census_totals(files)).join(listed, "root_id", "left")
+    when = F.lit(generated_at).cast("bigint") if generated_at is not None else F.unix_timestamp()
+    return aggregate(found, I.census_totals(files)).join(listed, "root_id", "left").withColumns({
+        "schema_version": F.lit(SCHEMA_VERSION), "generated_at": rfc3339(when), "detectors": F.array(*map(F.lit, detectors)),
+    })
 
 
 def report_json(report: DataFrame) -> DataFrame:
@@ -176,11 +206,11 @@ def _finding_markdown(f: Column) -> Column:
     saved = F.when(f["reclaimable_bytes"].isNotNull(), F.concat(F.lit("Reclaimable: "), format_bytes(f["reclaimable_bytes"])))
     head = F.format_string("### [%s] %s", f["severity"], f["title"])
     kind = F.format_string("Detector: `%s`", f["detector"])
-    return F.concat_ws("\n", head, kind, saved, F.array_join(lines, "\n"), more)
+    return F.concat_ws("\n", head, kind, f["summary"], saved, F.array_join(lines, "\n"), more, F.concat(F.lit("Advice: "), f["recommendation"]))
 
 
 def report_markdown(report: DataFrame) -> DataFrame:
-    """One Markdown document per root: header, categories, findings by falling severity."""
+    """One Markdown document per root: header, categories, findings by falling severity, and a footer on how it was made."""
     categories = F.array_sort(
         F.filter("findings", lambda f: f["reclaimable_bytes"].isNotNull()),
         lambda a, b: F.when(a["reclaimable_bytes"] > b["reclaimable_bytes"], -1)
@@ -209,8 +239,9 @@ def report_markdown(report: DataFrame) -> DataFrame:
         for s in reversed(D.SEVERITIES)
     ]
     body = F.when(F.size("findings") > 0, F.concat_ws("\n\n", *sections)).otherwise("## Findings\n\nNothing found.")
+    footer = F.format_string("---\nGenerated %s, report format %d, detectors: %s.", "generated_at", "schema_version", F.array_join("detectors", ", "))
     by_category = F.when(F.size(categories) > 0, F.concat(
         F.lit("## Reclaimable by category\n\n| Category | Estimated savings |\n|---|---:|\n"), table))
     return report.withColumn(
         "findings", F.coalesce("findings", F.array().cast(report.schema["findings"].dataType))
-    ).select("root_id", F.concat_ws("\n\n", header, by_category, body).alias("markdown"))
+    ).select("root_id", F.concat_ws("\n\n", header, by_category, body, footer).alias("markdown"))

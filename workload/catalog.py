@@ -572,12 +572,14 @@ def p11_eligible_targets(tex):
 
 @query("tex")
 def p12_strip_eligibility(tex):
-    return mips.strip_eligibility(tex, 32).select("tex_id", "status", "saved_bytes")
+    # Two caps, so that both reasons to skip occur.
+    parts = [mips.strip_eligibility(tex, cap).withColumn("cap", F.lit(cap)) for cap in (32, 128)]
+    return parts[0].unionByName(parts[1]).select("cap", "tex_id", "status", "saved_bytes")
 
 
 @query("tex")
 def p13_skip_histogram(tex):
-    return mips.skip_histogram(mips.strip_eligibility(tex, 32))
+    return mips.skip_histogram(mips.strip_eligibility(tex, 32).unionByName(mips.strip_eligibility(tex, 128)))
 
 
 @query()
@@ -894,9 +896,14 @@ def s4_read_manifest(spark, sf_dir):
 def s5_write_report_json(files):
     path = fresh_path(files.sparkSession, "report-json")
     writers.write_report_json(A.report_rows(files), path)
-    return files.sparkSession.read.schema(
-        "root_id long, total_bytes long, reclaimable_bytes long, score int, findings array<struct<detector:string,severity:string>>"
-    ).json(path).select("root_id", "total_bytes", "reclaimable_bytes", "score", F.size("findings").alias("findings"))
+    finding = "struct<detector:string,severity:string,recommendation:string,more:long,evidence:array<struct<rank:int,path:string,size_bytes:long,note:string>>>"
+    back = files.sparkSession.read.schema(
+        f"root_id long, total_bytes long, reclaimable_bytes long, score int, schema_version int, detectors array<string>, findings array<{finding}>"
+    ).json(path)
+    found = back.select("root_id", "total_bytes", "reclaimable_bytes", "score", "schema_version", F.size("detectors").alias("roster"), F.explode("findings").alias("f"))
+    return found.select(
+        *found.columns[:-1], "f.detector", "f.severity", (F.length("f.recommendation") > 0).alias("advised"), "f.more",
+        F.explode_outer("f.evidence").alias("e")).select("*", "e.*").drop("e")
 
 
 @query("files")

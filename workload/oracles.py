@@ -400,9 +400,9 @@ oracle("p10_plan_restore", f"""WITH c AS (SELECT {SMART} AS rc FROM tex) SELECT
   count(*) FILTER (rc = 'exact_backup') AS exact_backup, count(*) FILTER (rc = 'no_strip') AS no_strip FROM c""", "tex")
 oracle("p11_eligible_targets", f"""WITH {MIPS}, {PLAN_SQL} SELECT tex_id, asset_path, {SMART} AS restore_class, save_bytes, kept_mip0_dim FROM plan
 WHERE save_bytes > 0 AND {SMART} = 'ai_upscale'""", "tex")
-_ELIG = """fl AS (SELECT tex_id, min(level) FILTER (greatest(w, h) <= 32) AS fit FROM mip GROUP BY tex_id),
- el AS (SELECT tex_id, CASE WHEN any_value(fit) IS NULL THEN 'no level small enough' WHEN any_value(fit) = 0 THEN 'already at or below cap' ELSE 'strip' END AS status,
-   CAST(coalesce(sum(bytes) FILTER (level < fit), 0) AS BIGINT) AS saved_bytes FROM mip JOIN fl USING (tex_id) GROUP BY tex_id)"""
+_ELIG = """fl AS (SELECT tex_id, cap, min(level) FILTER (greatest(w, h) <= cap) AS fit FROM mip, (SELECT unnest([32, 128]) AS cap) GROUP BY tex_id, cap),
+ el AS (SELECT tex_id, cap, CASE WHEN any_value(fit) IS NULL THEN 'no level small enough' WHEN any_value(fit) = 0 THEN 'already at or below cap' ELSE 'strip' END AS status,
+   CAST(coalesce(sum(bytes) FILTER (level < fit), 0) AS BIGINT) AS saved_bytes FROM mip JOIN fl USING (tex_id) GROUP BY tex_id, cap)"""
 oracle("p12_strip_eligibility", f"WITH {MIPS}, {_ELIG} SELECT * FROM el", "tex")
 oracle("p13_skip_histogram", f"WITH {MIPS}, {_ELIG} SELECT status AS reason, count(*) AS textures FROM el WHERE status <> 'strip' GROUP BY status", "tex")
 _DIFF = """df AS (SELECT coalesce(b.root_id, a.root_id) AS root_id, coalesce(b.path, a.path) AS path, b.size_bytes AS before_bytes, a.size_bytes AS after_bytes,
@@ -537,7 +537,10 @@ _BENCH = """bench AS (SELECT 'corpus/' || label || '.png' AS path, label, 512 AS
 oracle("s3_read_bench", f"WITH {_BENCH} SELECT * EXCLUDE (predictor) FROM bench QUALIFY row_number() OVER (PARTITION BY label ORDER BY predictor DESC) = 1", "ben")
 oracle("s4_read_manifest", f"""WITH {DOCS} SELECT manifest_id, place AS seq, d.path, op, original_sha256, d.original_size, CASE WHEN op = 'create' THEN '' ELSE 'p' || d.seq END AS payload,
   CAST(s.seq IS NOT NULL AS INT) AS strips FROM docs d LEFT JOIN (SELECT DISTINCT seq FROM strips) s ON s.seq = d.seq""", "man", "strips")
-oracle("s5_write_report_json", f"WITH {FOUND}, {_AUD} SELECT root_id, total_bytes, reclaimable_bytes, score, CAST(total_findings AS INT) AS findings FROM rep", "files")
+oracle("s5_write_report_json", f"""WITH {FOUND}, {EVID}, {_AUD}, re AS (SELECT *, CAST(row_number() OVER (PARTITION BY root_id, detector ORDER BY size_bytes DESC, path) AS INT) AS rank,
+  greatest(count(*) OVER (PARTITION BY root_id, detector) - 5, 0) AS more FROM ev)
+SELECT rep.root_id, rep.total_bytes, rep.reclaimable_bytes, score, 1 AS schema_version, 13 AS roster, fnd.detector, fnd.severity, true AS advised, coalesce(more, 0) AS more,
+  rank, path, size_bytes, note FROM rep JOIN fnd USING (root_id) LEFT JOIN re ON re.root_id = rep.root_id AND re.detector = fnd.detector AND rank <= 5""", "files")
 oracle("s6_render_report_markdown", f"""WITH {FOUND}, {EVID}, {_AUD}, re AS (SELECT *, row_number() OVER (PARTITION BY root_id, detector ORDER BY size_bytes DESC, path) AS rank,
   count(*) OVER (PARTITION BY root_id, detector) AS n FROM ev)
 SELECT root_id, 'score' AS kind, 'Score: ' || score || '/100 (' || score_label || ')' AS line FROM rep
