@@ -198,7 +198,8 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
     language, are ``und`` with score 0; ties go to the first language by name.  Repeated rows and null ids give a row each, an empty table none.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).cast("string").alias("_text"), *carry)
+    others = [c for c in carry if c != text]  # the text itself is passed once
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).cast("string").alias("_text"), *others)
     shared = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,15 +210,16 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
             texts = [values[i].encode() for i in scored]
             lengths = batch_lengths(model, texts)
             names, scores, rates = [UNKNOWN] * len(values), [0.0] * len(values), [None] * len(values)
-            for i, text, bits in zip(scored, texts, lengths):
+            for i, data, bits in zip(scored, texts, lengths):
                 best = int(bits.argmin())
                 names[i] = model.langs[best]
                 scores[i] = float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
-                rates[i] = float(bits[best] / len(text))
+                rates[i] = float(bits[best] / len(data))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64()), *batch.columns[2:]],
-                names=[id_column, "lang_pred", "score", "bits_per_byte", *carry])
+                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64()),
+                 *([batch.column(1)] if text in carry else []), *batch.columns[2:]],
+                names=[id_column, "lang_pred", "score", "bits_per_byte", *([text] if text in carry else []), *others])
 
     id_type = rows.schema[0].dataType.simpleString()
-    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
+    carried = f", `{text}` string" * (text in carry) + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
     return map_rows(rows, predict, f"`{id_column}` {id_type}, lang_pred string, score double, bits_per_byte double{carried}")

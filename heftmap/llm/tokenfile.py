@@ -32,7 +32,7 @@ END_ID = 0
 MAX_BITS = 16
 BLOCK_TOKENS = 1 << 18
 STRIDE = 128
-CACHED = 800_000
+CACHED_WORDS, CACHED_PARTS = 500_000, 300_000
 # Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 MARKS = frozenset(".,;:!?")
@@ -72,7 +72,7 @@ class Encoder(dict):
     def part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) >= CACHED:
+            if len(self.parts) >= CACHED_PARTS:
                 self.parts.clear()
             if part[0] == " " and part[1:].isalpha() and part.isascii():
                 letters = self.table[32] + part[1:]
@@ -94,7 +94,7 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes | None:
         if not word or word[0].isspace() or word[-1].isspace():
             return None
-        if len(self) >= CACHED:
+        if len(self) >= CACHED_WORDS:
             self.clear()
         found = self[word] = self.piece(" " + word)
         return found

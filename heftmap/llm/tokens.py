@@ -26,7 +26,7 @@ MARK = "▁"
 FREQUENT = 32_768
 SUMMARY = 16_384
 TRACKED = 300_000
-CACHED = 600_000
+CACHED = 500_000
 LONGEST = 64
 _models: dict[str, sentencepiece.SentencePieceProcessor] = {}
 _caches: dict[str, "Lengths"] = {}
