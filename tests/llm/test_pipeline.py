@@ -48,7 +48,7 @@ def test_tokens_of_the_mix(stages):
 def test_odd_documents(spark, make):
     text = "the quick brown fox jumps over the lazy dog and runs far away from here"
     rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, text, "en", "b"), (None, text, "en", None), (None, "other words that nobody else has in this small table", None, None), (3, None, None, "a"),
-            (4, "", "en", "a"), (5, "123 456", "en", "a")]
+            (4, "", "en", "a"), (5, "123 456", "en", "a"), (6, "текст на другом языке, которого нет среди выученных", None, "a")]
     docs = make(rows).withColumn("score", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(7))
     kept = P.language_id(spark, docs, SMALL)
     assert kept.columns == docs.columns and kept.count() == 5
