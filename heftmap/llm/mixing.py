@@ -152,7 +152,8 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """(_row, _id, _source, _size, _taken, _spans): _spans lists (from, words, times) of the pieces that are taken."""
-        met = self.pieces.join(self.times, ["_source", "_block"], "left")
+        # Both sides grow with the input, so neither is ever broadcast.
+        met = self.pieces.join(self.times.hint("merge"), ["_source", "_block"], "left")
         span = F.when(F.col("_times") > 0, F.struct(F.col("_from").alias("at"), F.col("_words").alias("words"), F.col("_times").alias("times")))
         return met.groupBy("_row").agg(
             F.any_value("_id").alias("_id"), F.any_value("_source").alias("_source"), F.any_value("_size").alias("_size"),
