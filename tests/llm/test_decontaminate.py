@@ -54,3 +54,22 @@ def test_odd_rows(spark, make):
     docs = [(1, None), (2, ""), (3, ITEM), (3, ITEM), (None, ITEM), (4, "1 2 3 4 5 6 7 8 9 10 11 12"), (5, "see only five plain words here now"), (6, f"{ITEM} " * 50)]
     assert set(hits(make, spark, docs, items)) == {(3, 2), (None, 2), (5, 8), (6, 2)}
     assert hits(make, spark, [], items) == {} and hits(make, spark, docs, []) == {}
+
+
+def changed_copies(rng, n_items=45):
+    """Items of 15 to 59 words, and documents that hold one with 1 to 3 of its words changed."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(15 + i))) for i in range(n_items)]
+    docs = []
+    for i, item in items:
+        for n in (1, 2, 3):
+            copy = item.split()
+            for k in rng.sample(range(len(copy)), n) if i % 2 else [len(copy) * (k + 1) // (n + 1) for k in range(n)]:
+                copy[k] = word()
+            docs.append((10 * i + n, " ".join([word() for _ in range(20)] + copy + [word()])))
+    return items, docs
+
+
+def test_items_with_changed_words(spark, make):
+    items, docs = changed_copies(random.Random(5))
+    assert set(hits(make, spark, docs, items)) == {(d, d // 10) for d, _ in docs}
