@@ -73,3 +73,9 @@ def changed_copies(rng, n_items=45):
 def test_items_with_changed_words(spark, make):
     items, docs = changed_copies(random.Random(5))
     assert set(hits(make, spark, docs, items)) == {(d, d // 10) for d, _ in docs}
+
+
+def test_verbatim_copies_of_slots_and_short_items(spark, make):
+    items = [(1, "1 2 3 4 5 6 7 8 9 10 11 12"), (2, "The Old Man And The Sea Of Lost Names And Places"), (3, "5 km 3 kg 7 m 12 cm 8 h"), (4, "tiny item"), (5, "Alone")]
+    docs = [(i, f"some words before that {text} and after that") for i, text in items]
+    assert set(hits(make, spark, docs, items)) == {(i, i) for i, _ in items}
