@@ -79,3 +79,12 @@ def test_verbatim_copies_of_slots_and_short_items(spark, make):
     items = [(1, "1 2 3 4 5 6 7 8 9 10 11 12"), (2, "The Old Man And The Sea Of Lost Names And Places"), (3, "5 km 3 kg 7 m 12 cm 8 h"), (4, "tiny item"), (5, "Alone")]
     docs = [(i, f"some words before that {text} and after that") for i, text in items]
     assert set(hits(make, spark, docs, items)) == {(i, i) for i, _ in items}
+
+
+def test_contradicting_slots_leave_the_rest(spark, make):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(55)]
+    words[5] = words[40] = "Maria"
+    equal = "tom has 3 apples and his sister has 3 oranges so how many pieces of fruit do they both have together at home"
+    items = [(1, " ".join(words)), (2, equal)]
+    docs = [(1, " ".join([*words[:40], "Anna", *words[41:]])), (2, equal.replace("3", "4", 1).replace("3", "5"))]
+    assert set(hits(make, spark, docs, items)) == {(1, 1), (2, 2)}
