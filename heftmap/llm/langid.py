@@ -84,8 +84,8 @@ def packed(data: np.ndarray, order: int) -> np.ndarray:
 
 
 def train(texts: dict[str, list[bytes]], order: int = ORDER) -> Model:
-    model = Model(sorted(texts))
-    if not texts:
+    model = Model(sorted(name for name, parts in texts.items() if any(parts)))  # an empty tree would take 8 bits for any byte
+    if not model.langs:
         return model
     counts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order + 1)]
     for lang in model.langs:
@@ -172,22 +172,28 @@ def held_out(id_column: str):
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", train_bytes: int = TRAIN_BYTES, order: int = ORDER) -> Model:
-    """Learns from non-null texts and languages of rows that are not held out, about ``train_bytes`` bytes per language."""
+    """Learns from non-null texts and languages of rows that are not held out: per language the distinct texts of the lowest hashes, until ``train_bytes`` are filled."""
     usable = docs.select(F.col(id_column).alias("_id"), F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
-    usable = usable.where(F.col("_text").isNotNull() & F.col("_lang").isNotNull() & ~held_out("_id")).select(
+    usable = usable.where((F.octet_length("_text") > 0) & F.col("_lang").isNotNull() & ~held_out("_id")).select(
         "_text", "_lang", F.xxhash64("_text").alias("_hash"))
-    sizes = dict(usable.groupBy("_lang").agg(F.sum(F.octet_length("_text"))).collect())
+    # Copies share a hash; each text counts once, so that a large group of them cannot fill the sample.
+    zeros = (64 - F.length(F.bin("_hash"))).alias("zeros")
+    once = usable.groupBy("_lang", "_hash").agg(F.any_value(F.octet_length("_text").cast("bigint")).alias("n"))
+    sizes: dict[str, dict[int, int]] = {}
+    for name, k, n in once.groupBy("_lang", zeros).agg(F.sum("n")).collect():  # at most 64 rows per language
+        sizes.setdefault(name, {})[k] = n
     texts: dict[str, list[bytes]] = {name: [] for name in sizes}
     if not sizes:
         return train(texts, order)
-    share = F.lit(0.0)
-    for name, size in sizes.items():
-        share = F.when(F.col("_lang") == name, min(1.0, train_bytes / max(size, 1))).otherwise(share)
-    drawn = usable.where(F.call_function("shiftrightunsigned", F.col("_hash"), F.lit(11)) < share * float(1 << 53))
-    # Copies share a hash; each text is taken once, so that a large group of them cannot fill the sample.
-    for row in drawn.dropDuplicates(["_lang", "_hash"]).orderBy("_lang", "_hash").toLocalIterator():
-        room = 2 * train_bytes - sum(map(len, texts[row._lang]))
-        texts[row._lang].append(row._text.encode()[:max(room, 0)])
+    least = F.lit(64)
+    for name, by_zeros in sizes.items():
+        filled = [k for k in by_zeros if sum(n for z, n in by_zeros.items() if z >= k) >= train_bytes]
+        least = F.when(F.col("_lang") == name, max(filled, default=0)).otherwise(least)
+    drawn = usable.where(64 - F.length(F.bin("_hash")) >= least)
+    for row in drawn.dropDuplicates(["_lang", "_hash"]).orderBy("_lang", F.col("_hash") < 0, "_hash").toLocalIterator():
+        held = sum(map(len, texts[row._lang]))
+        if held < train_bytes:
+            texts[row._lang].append(row._text.encode()[:2 * train_bytes - held])
     return train(texts, order)
 
 

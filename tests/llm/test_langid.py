@@ -74,3 +74,14 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = L.identify(docs, L.fit(docs), carry=("lang",)).where(L.held_out("doc_id")).collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
+
+
+def test_a_language_of_one_long_text_is_learned(spark, make):
+    """One 3 MB text, copies of one text, empty texts only; and scripts that nobody taught."""
+    long = " ".join(f"der hund {i} und die katze sind nicht in der kueche oder im garten" for i in range(42_000))
+    rows = [(0, long, "de"), *((i, "the cat sat on the mat with the other cat", "en") for i in range(2, 12)), *((i, "", "xx") for i in range(20, 26))]
+    model = L.fit(make([(i + 1000, t, lang) for i, t, lang in rows]), train_bytes=1000)
+    assert model.langs == ["de", "en"] and all(g.any() for g in model.escapes)
+    asked = make([(1, "die katze und der hund"), (2, "the other cat"), (3, "текст на другом языке")])
+    found = {r.doc_id: r for r in L.identify(asked, model).collect()}
+    assert found[1].lang_pred == "de" and found[2].lang_pred == "en" and found[3].bits_per_byte > 8
