@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heftmap.llm import decontaminate, htmltext, langid, linededup, mixing, quality, sharding, simhash, tokenfile, tokens
+from heftmap.llm import bpe, decontaminate, divergence, htmltext, langid, linededup, mixing, periods, quality, sharding, simhash, tokenfile, tokens
 from heftmap.llm.common import table
 from heftmap.operators.staging import fresh_path
 
@@ -161,3 +161,80 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     texts = htmltext.extract_text(pages, htmltext.fit(pages))
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), words AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), cells AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), totals AS (
+  SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS in_lang, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+  SELECT d.lang, d.source, d.term, d.n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (d.n + 1)) // (d.total + t.v) AS BIGINT) AS p,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (d.in_lang + 1)) // (t.n + t.v) AS BIGINT) AS q
+  FROM dense d JOIN totals t ON d.lang = t.lang
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), all_pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value,
+         CAST(row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // q DESC, term) AS INT) AS rank
+  FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM all_pairs
+UNION ALL SELECT lang, source, 'term', item, value, rank FROM terms WHERE rank <= 200
+"""
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    planted = docs.withColumn("_g", F.call_function("div", h, F.lit(10).cast("bigint"))).withColumn("_words", F.when(h % 10 == 0, words)).withColumn("_n", F.size("_words"))
+    a = F.col("_g") % F.col("_n")
+    period = 1 + F.call_function("div", F.col("_n") - a, 3 + F.col("_g") % 8)
+    at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % period)
+    again = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.get("_words", at(i).cast("int")))
+    found = periods.find_runs(planted.select("doc_id", F.when(F.col("_n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text")))
+
+    def longer(best, run):
+        better = best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"])
+        return F.when(better, run).otherwise(best)
+
+    best = F.aggregate("runs", F.get("runs", F.lit(-1)), longer)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("_best.start").alias("start"), F.col("_best.length").alias("length"),
+        F.col("_best.period").alias("period"), F.call_function("div", F.col("_best.length") * 1000, F.col("_best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
