@@ -127,7 +127,11 @@ def average_hash(pixels: DataFrame) -> DataFrame:
     means = placed.groupBy("image_id", cell.alias("cell")).agg(
         (F.sum("luma") / (F.count(F.lit(1)) * 1000)).alias("mean")
     )
-    # 64 cells per image.
+    return hash_of_means(means)
+
+
+def hash_of_means(means: DataFrame) -> DataFrame:
+    """The fingerprint of an image's 64 cell means (image_id, cell, mean)."""
     gathered = means.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("cell", "mean"))).alias("cells"))
     overall = F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["mean"]) / F.lit(64.0)
     bits = F.aggregate(
@@ -271,7 +275,11 @@ def residual_symbols(residuals: DataFrame, channels: Sequence[str] = COLOUR) ->
 
 def shannon_entropy(symbols: DataFrame) -> DataFrame:
     """Bits per symbol of every image."""
-    counts = symbols.groupBy("image_id", "symbol").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return entropy_of_counts(symbols.groupBy("image_id", "symbol").agg(F.count(F.lit(1)).cast("double").alias("n")))
+
+
+def entropy_of_counts(counts: DataFrame) -> DataFrame:
+    """Bits per symbol of every image, from how often it holds each symbol."""
     total = F.sum("n")
     return counts.groupBy("image_id").agg(
         F.greatest(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, F.lit(0.0)).alias("entropy_bits"),

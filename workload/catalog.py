@@ -20,6 +20,7 @@ from heftmap.operators import manifest as M
 from heftmap.operators import neardup
 from heftmap.operators import paired as Q
 from heftmap.operators import raster as R
+from heftmap.operators import tiles as TI
 from heftmap.operators.staging import fresh_path
 from heftmap.plans import mips, strip
 from heftmap.sources import readers, writers
@@ -830,6 +831,73 @@ def r14_mip_table(tex):
     return mips.mip_table(tex).select("asset_path", "mip_count", "total_bytes", "mip_index", "w", "h", "bytes")
 
 
+# -- rasters as tiles: images of many sizes, three different channels ------------------
+
+
+def _lines(tiles, channels=("r", "g", "b")):
+    """Every line of every image as sums that depend on where each value stands."""
+    pixels = TI.from_tiles(tiles, channels)
+    return pixels.groupBy("image_id", "y").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c) * (F.col("x") + 1)).alias(c) for c in channels])
+
+
+def _tile_prediction(tiles):
+    return TI.bilinear_upsample(TI.box_downsample(tiles), 2)
+
+
+@query("ras")
+def r1_tiles_high_pass_energy(ras):
+    return _rounded(TI.high_pass_energy(TI.to_tiles(ras)), "hp_energy")
+
+
+@query("ras")
+def r2_tiles_patch_variance(ras):
+    """Four patch sizes from one table of summed areas."""
+    return _rounded(TI.patch_variances(TI.summed_area(TI.to_tiles(ras)), (4, 8, 16, 32)), "patch_variance")
+
+
+@query("ras")
+def r4_tiles_average_hash(ras):
+    return TI.average_hash(TI.summed_area(TI.to_tiles(ras), "weighted"))
+
+
+@query("ras")
+def r8_tiles_box_downsample(ras):
+    return _lines(TI.box_downsample(TI.to_tiles(ras)))
+
+
+@query("ras")
+def r8_tiles_box_downsample_4x(ras):
+    return _lines(TI.box_downsample(TI.to_tiles(ras), times=2))
+
+
+@query("ras")
+def r9_tiles_bilinear_upsample(ras):
+    return _lines(_tile_prediction(TI.to_tiles(ras)))
+
+
+@query("ras")
+def r10_tiles_residual(ras):
+    tiles = TI.to_tiles(ras)
+    return _lines(TI.residual(TI.crop_to_multiple(tiles, 2), _tile_prediction(tiles), 2), ("r_pred", "r_q", "g_q", "b_q"))
+
+
+@query("ras")
+def r11_tiles_reconstruct_check(ras):
+    tiles = TI.to_tiles(ras)
+    return TI.reconstruct_check(TI.residual(TI.crop_to_multiple(tiles, 2), _tile_prediction(tiles), 4), 4)
+
+
+@query("ras")
+def r12_tiles_shannon_entropy(ras):
+    tiles = TI.to_tiles(ras)
+    return _rounded(TI.shannon_entropy(TI.residual(TI.crop_to_multiple(tiles, 2), _tile_prediction(tiles))), "entropy_bits")
+
+
+@query("ras")
+def r13_tiles_crop_to_multiple(ras):
+    return _lines(TI.crop_to_multiple(TI.to_tiles(ras), 5))
+
+
 # -- entry browser -------------------------------------------------------------------
 
 

@@ -115,12 +115,25 @@ UNION ALL SELECT root_id, concat(path, '.bak'), is_dir, size_bytes, content_sha2
 PIXELS = "SELECT image_id, CAST(x AS INT) AS x, y, v AS r, v AS g, v AS b FROM {pix}"
 NEAR_PIXELS = "SELECT image_id, CAST(x AS INT) AS x, y, v AS r, v AS g, v AS b FROM {near}"
 
+# Images of many sizes, up to 83 x 79, with three different channels.
+_LEVEL = "CAST(least(255, greatest(0, floor(128 + 256 * CAST({at} AS DOUBLE)))) AS INT) AS {c}"
+_CHANNELS = {"r": "x + 3 * y", "g": "5 * x + y + 7", "b": "x * y + 2 * x"}
+RAS_SPARK = f"""
+SELECT vec_id AS image_id, x, y, {", ".join(_LEVEL.format(at=f"embedding[({i}) % 64]", c=c) for c, i in _CHANNELS.items())}
+FROM {{embeddings}} LATERAL VIEW explode(sequence(0, CAST(vec_id % 83 AS INT))) a AS x LATERAL VIEW explode(sequence(0, CAST((vec_id * 7) % 79 AS INT))) b AS y
+"""
+RAS_DUCK = f"""
+SELECT vec_id AS image_id, x, y, {", ".join(_LEVEL.format(at=f"embedding[CAST(({i}) % 64 AS INT) + 1]", c=c) for c, i in _CHANNELS.items())}
+FROM (SELECT vec_id, embedding, x, CAST(unnest(range(0, 1 + (vec_id * 7) % 79)) AS INT) AS y
+  FROM (SELECT vec_id, embedding, CAST(unnest(range(0, 1 + vec_id % 83)) AS INT) AS x FROM {{embeddings}}))
+"""
+
 # View -> (text for Spark, text for DuckDB), in dependency order.
 _VIEWS = {
     "inv": (INV, INV), "ent": (ENT, ENT), "tex": (TEX, TEX), "man": (MAN, MAN), "ben": (BEN, BEN),
     "strips": (STRIPS, STRIPS), "pix": (PIX_SPARK, PIX_DUCK), "near": (NEAR, NEAR),
     "files": (FILES, FILES), "after_files": (AFTER, AFTER), "pixels": (PIXELS, PIXELS),
-    "near_pixels": (NEAR_PIXELS, NEAR_PIXELS),
+    "near_pixels": (NEAR_PIXELS, NEAR_PIXELS), "ras": (RAS_SPARK, RAS_DUCK),
 }
 _SHA_SPARK = {"sha": "sha2", "sha_bits": ", 256"}
 _SHA_DUCK = {"sha": "sha256", "sha_bits": ""}
@@ -132,7 +145,7 @@ def _needs(text: str) -> list[str]:
 
 # Views that stand for stored tables of an installation; derived once per session and kept
 # as Parquet in the shared folder, so queries scan columns instead of re-deriving them.
-_STORED = ("files", "after_files", "ent", "inv")
+_STORED = ("files", "after_files", "ent", "inv", "ras")
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 

@@ -516,6 +516,72 @@ oracle("r12_shannon_entropy", f"""WITH {_PRED}, d AS (SELECT image_id, p.r - q.r
  pr AS (SELECT image_id, n, n / (sum(n) OVER (PARTITION BY image_id))::DOUBLE AS p FROM ct)
 SELECT image_id, round(abs(sum(p * log2(p))), 6) AS entropy_bits, {SUM('n')} AS symbol_count FROM pr GROUP BY image_id""", "pixels")
 oracle("r13_crop_to_multiple", "SELECT image_id, x, y, r FROM pixels WHERE x < 6 AND y < 6", "pixels")
+_ALL = ("r", "g", "b")
+
+
+def _half_rgb(source: str) -> str:
+    means = ", ".join(f"CAST((sum({c}) + 2) // 4 AS INT) AS {c}" for c in _ALL)
+    return f"(SELECT image_id, CAST(x // 2 AS INT) AS x, CAST(y // 2 AS INT) AS y, {means} FROM {source} GROUP BY image_id, x // 2, y // 2 HAVING count(*) = 4)"
+
+
+def _up_rgb(name: str, source: str) -> str:
+    """Twice the size of images of any size."""
+    def value(c: str) -> str:
+        one, f = "CAST(1 AS FLOAT)", lambda t: f"CAST({t}.{c} AS FLOAT)"
+        top = f"({f('p')} * ({one} - xx.wgt) + {f('q')} * xx.wgt)"
+        low = f"({f('s')} * ({one} - xx.wgt) + {f('u')} * xx.wgt)"
+        return f"CAST(greatest(0, least(255, floor(CAST({top} * ({one} - yy.wgt) + {low} * yy.wgt AS DOUBLE) + 0.5))) AS INT) AS {c}"
+
+    return f"""{name}_lo AS (SELECT * FROM {source}),
+ {name}_z AS (SELECT image_id, CAST(max(x) + 1 AS INT) AS w, CAST(max(y) + 1 AS INT) AS h FROM {name}_lo GROUP BY image_id),
+ {name}_n AS (SELECT w AS n FROM {name}_z UNION SELECT h FROM {name}_z),
+ {name}_f AS (SELECT n, CAST(t AS INT) AS t, CAST(t AS FLOAT) * CAST(CAST(CAST(n AS FLOAT) - CAST(1 AS FLOAT) AS DOUBLE) / CAST(greatest(n * 2 - 1, 1) AS DOUBLE) AS FLOAT) AS f
+   FROM (SELECT n, unnest(range(0, n * 2)) AS t FROM {name}_n)),
+ {name}_a AS (SELECT n, t, CAST(floor(f) AS INT) AS p0, least(CAST(floor(f) AS INT) + 1, n - 1) AS p1, f - CAST(floor(f) AS FLOAT) AS wgt FROM {name}_f),
+ {name} AS (SELECT z.image_id, xx.t AS x, yy.t AS y, {", ".join(map(value, _ALL))}
+   FROM {name}_z z JOIN {name}_a xx ON xx.n = z.w JOIN {name}_a yy ON yy.n = z.h
+   JOIN {name}_lo p ON p.image_id = z.image_id AND p.x = xx.p0 AND p.y = yy.p0 JOIN {name}_lo q ON q.image_id = z.image_id AND q.x = xx.p1 AND q.y = yy.p0
+   JOIN {name}_lo s ON s.image_id = z.image_id AND s.x = xx.p0 AND s.y = yy.p1 JOIN {name}_lo u ON u.image_id = z.image_id AND u.x = xx.p1 AND u.y = yy.p1)"""
+
+
+def _lines(source: str, channels=_ALL) -> str:
+    sums = ", ".join(f"CAST(sum({c} * (x + 1)) AS BIGINT) AS {c}" for c in channels)
+    return f"SELECT image_id, y, count(*) AS n, {sums} FROM {source} GROUP BY image_id, y"
+
+
+_NEXT = ", ".join(f"{f}({c}) OVER {w} AS {c}_{n}" for c in _ALL for n, f, w in (("le", "lag", "xw"), ("ri", "lead", "xw"), ("up", "lag", "yw"), ("dn", "lead", "yw")))
+_GAPS = " + ".join(f"abs({c} - ({c}_up + {c}_dn + {c}_le + {c}_ri) // 4)" for c in _ALL)
+oracle("r1_tiles_high_pass_energy", f"""WITH nb AS (SELECT image_id, r, g, b, {_NEXT} FROM ras
+   WINDOW xw AS (PARTITION BY image_id, y ORDER BY x), yw AS (PARTITION BY image_id, x ORDER BY y))
+SELECT image_id, round(coalesce(avg({_GAPS}) / 3, 0), 6) AS hp_energy FROM nb GROUP BY image_id""", "ras")
+oracle("r2_tiles_patch_variance", """WITH p AS (SELECT CAST(unnest([4, 8, 16, 32]) AS INT) AS patch),
+ t AS (SELECT image_id, patch, y // patch AS ty, x // patch AS tx, sum((299 * r + 587 * g + 114 * b) // 1000) / (patch * patch) AS m FROM ras, p GROUP BY image_id, patch, y // patch, x // patch HAVING count(*) = patch * patch),
+ v AS (SELECT image_id, patch, var_pop(m) AS v FROM t GROUP BY ALL)
+SELECT i.image_id, p.patch, round(coalesce(v, 0), 6) AS patch_variance FROM (SELECT DISTINCT image_id FROM ras) i CROSS JOIN p
+ LEFT JOIN v ON v.image_id = i.image_id AND v.patch = p.patch""", "ras")
+oracle("r4_tiles_average_hash", """WITH z AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM ras GROUP BY image_id), n AS (SELECT w AS n FROM z UNION SELECT h FROM z),
+ c AS (SELECT n, i, i * n // 8 AS lo, least(greatest((i + 1) * n // 8, i * n // 8 + 1), n) AS hi FROM n, range(0, 8) q(i)),
+ m AS (SELECT ras.image_id, cy.i * 8 + cx.i AS cell, sum(299 * r + 587 * g + 114 * b) / (count(*) * 1000) AS m FROM ras JOIN z ON z.image_id = ras.image_id
+   JOIN c cx ON cx.n = z.w AND x >= cx.lo AND x < cx.hi JOIN c cy ON cy.n = z.h AND y >= cy.lo AND y < cy.hi GROUP BY ALL),
+ o AS (SELECT image_id, list_reduce(list(m ORDER BY cell), lambda a, b: a + b) / 64 AS o FROM m GROUP BY image_id),
+ s AS (SELECT m.image_id, sum(CASE WHEN m >= o THEN (1::HUGEINT << CAST(cell AS INT)) ELSE 0 END)::HUGEINT AS s FROM m JOIN o ON o.image_id = m.image_id GROUP BY m.image_id)
+SELECT image_id, CAST(CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END AS BIGINT) AS ahash FROM s""", "ras")
+oracle("r8_tiles_box_downsample", _lines(_half_rgb("ras")), "ras")
+oracle("r8_tiles_box_downsample_4x", _lines(_half_rgb(_half_rgb("ras"))), "ras")
+_PRED_RGB = _up_rgb("pred", _half_rgb("ras"))
+oracle("r9_tiles_bilinear_upsample", f"WITH {_PRED_RGB} {_lines('pred')}", "ras")
+_MINUS = ", ".join(f"p.{c} AS {c}, q.{c} AS {c}_pred, {{{c}}} AS {c}_q" for c in _ALL)
+_DIFF = lambda step: f"d AS (SELECT p.image_id, p.x, p.y, {_MINUS.format(**{c: _quant(f'(p.{c} - q.{c})', step) for c in _ALL})} FROM ras p JOIN pred q USING (image_id, x, y))"
+oracle("r10_tiles_residual", f"WITH {_PRED_RGB}, {_DIFF(2)} {_lines('d', ('r_pred', 'r_q', 'g_q', 'b_q'))}", "ras")
+_ERR = ", ".join(f"abs(greatest(0, least(255, {c}_pred + {c}_q * 4)) - {c})" for c in _ALL)
+oracle("r11_tiles_reconstruct_check", f"""WITH {_PRED_RGB}, {_DIFF(4)}, e AS (SELECT image_id, max(greatest({_ERR})) AS e FROM d GROUP BY image_id)
+SELECT image_id, CAST(e AS INT) AS max_error, e = 0 AS exact FROM e""", "ras")
+oracle("r12_tiles_shannon_entropy", f"""WITH {_PRED_RGB}, {_DIFF(1)}, u AS (SELECT image_id, unnest([r_q, g_q, b_q]) + 65536 AS u FROM d),
+ sy AS (SELECT image_id, unnest([u % 256, (u // 256) % 256]) AS s FROM u), ct AS (SELECT image_id, s, count(*) AS n FROM sy GROUP BY ALL),
+ pr AS (SELECT image_id, n, n / (sum(n) OVER (PARTITION BY image_id))::DOUBLE AS p FROM ct)
+SELECT image_id, round(abs(sum(p * log2(p))), 6) AS entropy_bits, {SUM('n')} AS symbol_count FROM pr GROUP BY image_id""", "ras")
+_SIZES = "z AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM ras GROUP BY image_id)"
+oracle("r13_tiles_crop_to_multiple", f"WITH {_SIZES} " + _lines("(SELECT ras.* FROM ras JOIN z USING (image_id) WHERE x < w - w % 5 AND y < h - h % 5)"), "ras")
 oracle("r14_mip_table", f"""WITH {MIPS} SELECT asset_path, CAST(num_mips AS INT) AS mip_count, CAST(sum(bytes) OVER (PARTITION BY tex_id) AS BIGINT) AS total_bytes, level AS mip_index, w, h, bytes FROM mip""", "tex")
 
 # -- entry browser -------------------------------------------------------------------
