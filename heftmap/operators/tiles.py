@@ -415,8 +415,12 @@ def patch_variances(areas: DataFrame, patches: Sequence[int]) -> DataFrame:
     to = lambda dy, dx, sign: F.struct((F.col("cy") + dy).alias("cy"), (F.col("cx") + dx).alias("cx"), (F.col("s") * sign).alias("v"), F.lit(dy + dx == 0).alias("whole"))
     sent = points.select("image_id", "patch", F.inline(F.array(to(0, 0, 1), to(0, 1, -1), to(1, 0, -1), to(1, 1, 1))))
     cells = sent.groupBy("image_id", "patch", "cy", "cx").agg(F.sum("v").alias("total"), F.max("whole").alias("whole"))
-    mean = F.col("total") / (F.col("patch") * F.col("patch"))
-    measured = cells.where("whole").groupBy("image_id", "patch").agg(F.var_pop(mean).alias("v"))
+    # From whole-number sums, so that the result does not depend on the order of additions.
+    whole = lambda c: c.cast("decimal(38,0)")
+    n, s = whole(F.count(F.lit(1))), whole(F.sum("total"))
+    measured = cells.where("whole").groupBy("image_id", "patch").agg(
+        (n * F.sum(whole(F.col("total") * F.col("total"))) - s * s).cast("double").alias("top"), (F.count(F.lit(1)) * F.count(F.lit(1))).alias("n2"))
+    measured = measured.withColumn("v", F.col("top") / (F.col("n2") * F.col("patch") * F.col("patch") * F.col("patch") * F.col("patch")))
     wanted = areas.select("image_id").distinct().select("image_id", F.explode(F.array(*[F.lit(int(p)).cast("bigint") for p in patches])).alias("patch"))
     return wanted.join(measured, ["image_id", "patch"], "left").select("image_id", F.col("patch").cast("int").alias("patch"), F.coalesce("v", F.lit(0.0)).alias("patch_variance"))
 

@@ -852,7 +852,7 @@ def r1_tiles_high_pass_energy(ras):
 @query("ras")
 def r2_tiles_patch_variance(ras):
     """Four patch sizes from one table of summed areas."""
-    return _rounded(TI.patch_variances(TI.summed_area(TI.to_tiles(ras)), (4, 8, 16, 32)), "patch_variance")
+    return TI.patch_variances(TI.summed_area(TI.to_tiles(ras)), (4, 8, 16, 32))
 
 
 @query("ras")

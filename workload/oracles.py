@@ -555,9 +555,9 @@ oracle("r1_tiles_high_pass_energy", f"""WITH nb AS (SELECT image_id, r, g, b, {_
    WINDOW xw AS (PARTITION BY image_id, y ORDER BY x), yw AS (PARTITION BY image_id, x ORDER BY y))
 SELECT image_id, round(coalesce(avg({_GAPS}) / 3, 0), 6) AS hp_energy FROM nb GROUP BY image_id""", "ras")
 oracle("r2_tiles_patch_variance", """WITH p AS (SELECT CAST(unnest([4, 8, 16, 32]) AS INT) AS patch),
- t AS (SELECT image_id, patch, y // patch AS ty, x // patch AS tx, sum((299 * r + 587 * g + 114 * b) // 1000) / (patch * patch) AS m FROM ras, p GROUP BY image_id, patch, y // patch, x // patch HAVING count(*) = patch * patch),
- v AS (SELECT image_id, patch, var_pop(m) AS v FROM t GROUP BY ALL)
-SELECT i.image_id, p.patch, round(coalesce(v, 0), 6) AS patch_variance FROM (SELECT DISTINCT image_id FROM ras) i CROSS JOIN p
+ t AS (SELECT image_id, patch, y // patch AS ty, x // patch AS tx, sum((299 * r + 587 * g + 114 * b) // 1000) AS m FROM ras, p GROUP BY image_id, patch, y // patch, x // patch HAVING count(*) = patch * patch),
+ v AS (SELECT image_id, patch, CAST(count(*) * sum(m * m) - sum(m) * sum(m) AS DOUBLE) / CAST(count(*) * count(*) * patch * patch * patch * patch AS DOUBLE) AS v FROM t GROUP BY image_id, patch)
+SELECT i.image_id, p.patch, coalesce(v, 0) AS patch_variance FROM (SELECT DISTINCT image_id FROM ras) i CROSS JOIN p
  LEFT JOIN v ON v.image_id = i.image_id AND v.patch = p.patch""", "ras")
 oracle("r4_tiles_average_hash", """WITH z AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM ras GROUP BY image_id), n AS (SELECT w AS n FROM z UNION SELECT h FROM z),
  c AS (SELECT n, i, i * n // 8 AS lo, least(greatest((i + 1) * n // 8, i * n // 8 + 1), n) AS hi FROM n, range(0, 8) q(i)),
