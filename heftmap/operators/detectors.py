@@ -300,10 +300,18 @@ def _is(*detectors: str) -> Column:
     return F.col("detector").isin(*detectors)
 
 
+UNIT_KEYS = ("root_id", "detector", "parent", "unit")
+
+
 def units(found: DataFrame) -> DataFrame:
-    """Signals per unit, with what the unit puts at stake; fixed-width sums only, so a hash aggregation."""
+    """Signals per unit, with what the unit puts at stake."""
+    return units_from(unit_sums(found))
+
+
+def unit_sums(found: DataFrame) -> DataFrame:
+    """Signals per unit; fixed-width sums only, so a hash aggregation."""
     marked = F.col("mark")
-    grouped = found.groupBy("root_id", "detector", "parent", "unit").agg(
+    return found.groupBy(*UNIT_KEYS).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("size_bytes").alias("bytes"),
         F.count_if(marked).alias("marked_n"),
@@ -312,6 +320,10 @@ def units(found: DataFrame) -> DataFrame:
         F.bit_or("bits").alias("bits"),
         spread.salt_mask("path"),
     )
+
+
+def units_from(grouped: DataFrame) -> DataFrame:
+    """What every unit puts at stake; units that count for nothing go."""
     has = lambda bit: F.col("bits").bitwiseAND(F.lit(bit)) != 0
     status = first_match(
         [

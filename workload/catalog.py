@@ -15,6 +15,8 @@ from heftmap.functions import textures as T
 from heftmap.operators import audit as A
 from heftmap.operators import detectors as D
 from heftmap.operators import entries as E
+from heftmap.operators import folders as FO
+from heftmap.operators import incremental as X
 from heftmap.operators import inventory as I
 from heftmap.operators import manifest as M
 from heftmap.operators import neardup
@@ -415,6 +417,16 @@ def census_full(files):
     return listed.select("root_id", "l10n_savings", "f.*", *map(status, ("readable", "encrypted", "iostore", "signed", "unreadable")))
 
 
+@query("tree")
+def folder_sizes(tree):
+    return FO.folder_sizes(tree)
+
+
+@query("tree")
+def heaviest_folders(tree):
+    return FO.heaviest_folders(tree, 10)
+
+
 # -- audit ---------------------------------------------------------------------------
 
 FINDING = ("root_id", "detector", "severity", "item_count", "group_count", "total_bytes", "reclaimable_bytes", "detail")
@@ -492,11 +504,33 @@ def a8_detector_error_finding(files):
     return A.guarded_findings(files, roster).select("root_id", "detector", "category", "severity", "item_count")
 
 
+@query("tree")
+def d2_stale_version_dir_empty(tree):
+    """Version folders that hold no file count through their own rows."""
+    return D.findings(tree, ["stale_version_dir"]).select(*FINDING)
+
+
 @query("files")
 def a9_audit(files):
     return _rounded(A.audit(files), "reclaimable_pct")
 
 
+def _updated(spark, sf_dir):
+    """Audit state of the inventory, brought forward by two sets of changes."""
+    files, after, moved = (view(spark, sf_dir, n) for n in ("files", "after_files", "moved_files"))
+    return X.update(X.update(X.start(files), X.changes(files, after)), X.changes(after, moved))
+
+
+@query()
+def a9_incremental_audit(spark, sf_dir):
+    return _rounded(_updated(spark, sf_dir).audit(), "reclaimable_pct")
+
+
+@query()
+def a1_incremental_findings(spark, sf_dir):
+    return _updated(spark, sf_dir).findings.select(*FINDING)
+
+
 # -- plans ---------------------------------------------------------------------------
 
 

@@ -112,6 +112,24 @@ SELECT root_id, path, is_dir,
 FROM {files} WHERE NOT (path LIKE '%/L10N/fr/%' OR path LIKE '%/L10N/de/%')
 UNION ALL SELECT root_id, concat(path, '.bak'), is_dir, size_bytes, content_sha256, probe_error FROM {files} WHERE path LIKE '%.PNG'
 """
+# With folder rows, some of them empty, and files of unknown size.
+TREE = """
+SELECT root_id, path, is_dir, CASE WHEN path LIKE '%.obj' THEN NULL ELSE size_bytes END AS size_bytes, content_sha256, probe_error FROM {files}
+UNION ALL SELECT root_id, concat('Launcher/downloads/9.', CAST(size_bytes % 3 AS INT), '.', CAST(size_bytes % 4 AS INT)), true, CAST(NULL AS BIGINT), NULL, NULL FROM {files} WHERE path LIKE '%.json'
+  GROUP BY root_id, size_bytes % 3, size_bytes % 4
+UNION ALL SELECT root_id, concat('Game/Saved/Empty/', regexp_replace(path, '^.*/', ''), '/logs'), true, CAST(NULL AS BIGINT), NULL, NULL FROM {files} WHERE path LIKE '%.exe'
+UNION ALL SELECT root_id, 'readme.txt', false, CAST(12 AS BIGINT), NULL, NULL FROM {files} GROUP BY root_id
+"""
+# A later inventory in which every kind of group has lost, gained or resized members, a root is gone and another is new.
+MOVED = """
+SELECT root_id, path, is_dir, CASE WHEN path LIKE '%_P.pak' AND size_bytes % 3 = 0 THEN size_bytes * 4 WHEN path LIKE '%.pdb' AND size_bytes % 5 = 0 THEN NULL ELSE size_bytes END AS size_bytes,
+  content_sha256, CASE WHEN path LIKE '%.pak' AND size_bytes % 7 = 0 THEN NULL ELSE probe_error END AS probe_error
+FROM {files} WHERE NOT (path LIKE '%.sig' AND root_id = 1) AND NOT (path LIKE '%/Win64/%' AND size_bytes % 2 = 0) AND NOT path LIKE '%/downloads/3.2.%'
+  AND NOT (path LIKE '%.bin' AND size_bytes % 11 = 0) AND root_id <> 4
+UNION ALL SELECT root_id + 10, path, is_dir, size_bytes, content_sha256, probe_error FROM {files} WHERE root_id = 2
+UNION ALL SELECT root_id, concat('Launcher/downloads/4.', CAST(size_bytes % 9 AS INT), '/', replace(path, '/', '_')), is_dir, size_bytes, content_sha256, NULL FROM {files} WHERE path LIKE '%.json'
+UNION ALL SELECT root_id, path, is_dir, size_bytes, content_sha256, probe_error FROM {files} WHERE path LIKE '%.ushaderbytecode'
+"""
 PIXELS = "SELECT image_id, CAST(x AS INT) AS x, y, v AS r, v AS g, v AS b FROM {pix}"
 NEAR_PIXELS = "SELECT image_id, CAST(x AS INT) AS x, y, v AS r, v AS g, v AS b FROM {near}"
 
@@ -132,7 +150,7 @@ FROM (SELECT vec_id, embedding, x, CAST(unnest(range(0, 1 + (vec_id * 7) % 79))
 _VIEWS = {
     "inv": (INV, INV), "ent": (ENT, ENT), "tex": (TEX, TEX), "man": (MAN, MAN), "ben": (BEN, BEN),
     "strips": (STRIPS, STRIPS), "pix": (PIX_SPARK, PIX_DUCK), "near": (NEAR, NEAR),
-    "files": (FILES, FILES), "after_files": (AFTER, AFTER), "pixels": (PIXELS, PIXELS),
+    "files": (FILES, FILES), "after_files": (AFTER, AFTER), "moved_files": (MOVED, MOVED), "tree": (TREE, TREE), "pixels": (PIXELS, PIXELS),
     "near_pixels": (NEAR_PIXELS, NEAR_PIXELS), "ras": (RAS_SPARK, RAS_DUCK),
 }
 _SHA_SPARK = {"sha": "sha2", "sha_bits": ", 256"}
@@ -145,7 +163,7 @@ def _needs(text: str) -> list[str]:
 
 # Views that stand for stored tables of an installation; derived once per session and kept
 # as Parquet in the shared folder, so queries scan columns instead of re-deriving them.
-_STORED = ("files", "after_files", "ent", "inv", "ras")
+_STORED = ("files", "after_files", "moved_files", "tree", "ent", "inv", "ras")
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 

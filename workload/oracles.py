@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from workload.fixtures import duck_views
 
 ORACLES: dict[str, str] = {}
@@ -371,6 +373,21 @@ oracle("a8_detector_error_finding", f"""WITH {FOUND} SELECT root_id, detector, d
 UNION ALL SELECT DISTINCT root_id, 'duplicate_content', 'chunking_quality', 'warning', CAST(0 AS BIGINT) FROM files""", "files")
 oracle("a9_audit", f"WITH {FOUND}, {_AUD} SELECT * FROM rep", "files")
 
+_DIRS_TREE = DIRS.replace("FROM files", "FROM tree").replace("range(1, len(parts))", "range(1, len(parts) + CASE WHEN is_dir THEN 1 ELSE 0 END)").replace(
+    "SELECT root_id, size_bytes, path, array", "SELECT root_id, coalesce(size_bytes, 0) AS size_bytes, path, array")
+oracle("d2_stale_version_dir_empty", f"WITH {_DIRS_TREE}, {FIND['stale_version_dir'][0][1]} SELECT {_FCOLS} FROM ({FIND['stale_version_dir'][1]})", "tree")
+_FOLDERS = """up AS (SELECT root_id, is_dir, size_bytes, folder AS own, unnest(list_concat([''], list_transform(range(1, CASE WHEN folder = '' THEN 1 ELSE len(parts) + 1 END), lambda i: array_to_string(parts[1:i], '/')))) AS folder
+  FROM (SELECT *, string_split(folder, '/') AS parts FROM (SELECT *, CASE WHEN is_dir THEN path ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS folder FROM tree))),
+ fs AS (SELECT root_id, folder, CAST(CASE WHEN folder = '' THEN 0 ELSE len(string_split(folder, '/')) END AS INT) AS depth, count(*) FILTER (NOT is_dir) AS file_count,
+  CAST(coalesce(sum(size_bytes) FILTER (NOT is_dir), 0) AS BIGINT) AS total_bytes, count(*) FILTER (NOT is_dir AND own = folder) AS own_files,
+  CAST(coalesce(sum(size_bytes) FILTER (NOT is_dir AND own = folder), 0) AS BIGINT) AS own_bytes FROM up GROUP BY root_id, folder)"""
+oracle("folder_sizes", f"WITH {_FOLDERS} SELECT * FROM fs", "tree")
+oracle("heaviest_folders", f"""WITH {_FOLDERS} SELECT *, CAST(row_number() OVER (PARTITION BY root_id ORDER BY total_bytes DESC, folder) AS INT) AS rank FROM fs WHERE depth > 0
+  QUALIFY rank <= 10""", "tree")
+_OF_MOVED = lambda text: re.sub(r"\bfiles\b", "moved_files", text)
+oracle("a9_incremental_audit", f"WITH {_OF_MOVED(FOUND)}, {_OF_MOVED(_AUD)} SELECT * FROM rep", "moved_files")
+oracle("a1_incremental_findings", f"WITH {_OF_MOVED(FOUND)} SELECT {_FCOLS} FROM fnd", "moved_files")
+
 # -- plans ---------------------------------------------------------------------------
 
 _LOOSE = f"loose AS (SELECT root_id, path, size_bytes, {LANG} AS lang FROM files WHERE {EXT} <> 'pak' AND {RAW_CODE} IN ('fr', 'de'))"
