@@ -12,19 +12,16 @@ first: ids before it in its part of the order, tokens, doc_ids, doc_tokens, chec
 
 from __future__ import annotations
 
-import sys
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
 
+from heftmap.llm.bpe import in_groups, vocabulary
 from heftmap.llm.common import map_rows
 from heftmap.operators.staging import discard, fresh_path
 
@@ -32,92 +29,12 @@ END_ID = 0
 MAX_BITS = 16
 BLOCK_TOKENS = 1 << 18
 STRIDE = 128
-CACHED_WORDS, CACHED_PARTS = 500_000, 300_000
-# Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-MARKS = frozenset(".,;:!?")
-# Up to this character, letters and digits mean the same to the pattern's library, the tokenizer's and Python.
-LAST_PLAIN = "\u024f"
-_encoders: dict[str, "Encoder"] = {}
 
 
-def byte_letters() -> list[str]:
-    """The printable stand-in of every byte in byte-level vocabularies: itself where it is printable, else the next from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = iter(range(0x100, 0x200))
-    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
-
-
-class Encoder(dict):
-    """Ids of what stands between single spaces, as little-endian bytes; None where its text must be encoded whole.
-
-    The split pattern ties a single space to what follows it, so a text falls apart at every space that has no white space beside it.
-    """
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.code = "I" if wide else "H"
-        self.width = np.dtype("<u4" if wide else "<u2")
-        if sys.byteorder != "little":
-            raise ValueError("ids are kept in little-endian order")
-        self.table = dict(zip(range(256), byte_letters()))
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts: dict[str, bytes] = {}
-        if 'ByteLevel(add_prefix_space=False' not in str(self.tokenizer.pre_tokenizer) or str(self.tokenizer.normalizer) != "None":
-            raise ValueError("only byte-level BPE without normalization and prefix space can be encoded by parts")
-
-    def part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= CACHED_PARTS:
-                self.parts.clear()
-            if part[0] == " " and part[1:].isalpha() and part.isascii():
-                letters = self.table[32] + part[1:]
-            else:
-                letters = part.encode().decode("latin-1").translate(self.table)
-            found = self.parts[part] = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return found
-
-    def piece(self, piece: str) -> bytes:
-        if piece.isascii() or max(piece) <= LAST_PLAIN:  # letters with at most one mark behind them need no pattern
-            word = piece[1:] if piece[0] == " " else piece
-            if word.isalpha():
-                return self.part(piece)
-            if word[-1] in MARKS and word[:-1].isalpha():
-                return self.part(piece[:-1]) + self.part(piece[-1])
-            return b"".join(map(self.part, PATTERN.findall(piece)))
-        return self.whole(piece)
-
-    def __missing__(self, word: str) -> bytes | None:
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        found = self[word] = self.piece(" " + word)
-        return found
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-
-    def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.width)
-        first, *words = text.split(" ")
-        if not first or first[0].isspace() or first[-1].isspace() or any(s in text for s in self.special):
-            return np.frombuffer(self.whole(text), self.width)
-        try:
-            return np.frombuffer(b"".join([self.piece(first), *map(self.__getitem__, words)]), self.width)
-        except TypeError:  # a word without safe borders
-            return np.frombuffer(self.whole(text), self.width)
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def id_type(path: str) -> np.dtype:
+    """Ids are kept in two bytes where the vocabulary allows it."""
+    known = vocabulary(path)
+    return np.dtype("<u4" if max(known.bytes_of, default=0) >= 1 << 16 else "<u2")
 
 
 def code_bits(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -193,17 +110,23 @@ class Code:
 def ordered_ids(rows: DataFrame, path: str, end_id: int) -> DataFrame:
     """(file, place, first, tokens, id, ids) of the rows (id, text) in id order: a part of the order per task, running numbers and ids inside it."""
 
+    width = id_type(path)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file, place, first = encoder(path), TaskContext.get().partitionId(), 0, 0
-        end = array(encode.code, [end_id]).tobytes()
+        known, file, place, first = vocabulary(path), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            ids = [encode.ids(text).tobytes() + end for text in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) // encode.width.itemsize for x in ids], np.int64)
-            ends = first + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(ids), file, np.int32)), pa.array(np.arange(place, place + len(ids))), pa.array(ends - sizes), pa.array(sizes),
-                batch.column(0), pa.array(ids, pa.binary())], names=["file", "place", "first", "tokens", "id", "ids"])
-            place, first = place + len(ids), int(ends[-1]) if len(ids) else first
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in in_groups(texts):
+                ids, ends = known.encode(texts[a:b])
+                ids = np.insert(ids.astype(width), ends, end_id)
+                ends = ends + np.arange(1, len(ends) + 1)
+                sizes = np.diff(ends, prepend=0)
+                offsets = np.concatenate([[0], ends * width.itemsize]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(ends), file, np.int32)), pa.array(np.arange(place, place + len(ends))), pa.array(first + ends - sizes), pa.array(sizes),
+                    batch.column(0).slice(a, b - a), packed], names=["file", "place", "first", "tokens", "id", "ids"])
+                place, first = place + len(ends), first + int(ends[-1])
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = F.xxhash64("_text")
@@ -241,7 +164,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_column: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text).cast("string").alias("_text"))
-    width = encoder(tokenizer_path).width.str
+    width = id_type(tokenizer_path).str
     place = fresh_path(spark, "ordered-ids")
     ordered_ids(rows, tokenizer_path, end_id).write.option("compression", "zstd").parquet(place)
     staged = spark.read.parquet(place)
