@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as P
 from heftmap.llm import langid, simhash
 from heftmap.llm.queries import QUERIES, tokenizer_path
-from tests.llm.test_simhash import reference_components, reference_print
+from tests.llm.test_neardocs import components
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -34,8 +34,8 @@ def test_other_scripts_go(spark, make):
 
 
 def test_one_of_each_group_stays(stages):
-    prints = {r.doc_id: reference_print(r.text) for r in stages[1].collect()}
-    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(set(reference_components(prints).values()))
+    groups = components({r.doc_id: r.text for r in stages[1].collect()})
+    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(set(groups.values()))
 
 
 def test_leaks_go(spark, stages):
@@ -69,5 +69,5 @@ def test_odd_documents(spark, make):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert langid.ORDER == 4 and simhash.SHINGLE == 3 and len(P.STAGES) == 5
