@@ -11,7 +11,7 @@ about eight times the number of distinct keys, up to what an executor can hold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +67,13 @@ class Bits:
             np.bitwise_or.at(self.data, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
 
-def repeat_filter(rows: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """Bits of the merged twice-filter over all rows (id, text)."""
+def repeat_filter(rows: DataFrame, bits: int, hashes_of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Bits of the merged twice-filter over what ``hashes_of`` finds in the batches of all rows."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = Bits(bits), Bits(bits)
         for batch in batches:
-            hashes = [xxhash.xxh64_intdigest(key) for text in batch.column(1).to_pylist() for key in text_keys(text, min_chars)]
-            values, counts = np.unique(np.array(hashes, np.uint64), return_counts=True)
+            values, counts = np.unique(hashes_of(batch), return_counts=True)
             twice.add(values[(counts > 1) | once.has(values)])
             once.add(values)
         yield from segments(once.data, twice.data)
@@ -125,7 +124,11 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text: str =
     """
     rows = docs.select(F.col(id_column), F.col(text).cast("string").alias("_text"))
     id_type = rows.schema[0].dataType.simpleString()
-    repeats = rows.sparkSession.sparkContext.broadcast(repeat_filter(rows, bits, min_chars))
+
+    def hashes_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.array([xxhash.xxh64_intdigest(key) for text in batch.column(1).to_pylist() for key in text_keys(text, min_chars)], np.uint64)
+
+    repeats = rows.sparkSession.sparkContext.broadcast(repeat_filter(rows, bits, hashes_of))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = Bits(bits, repeats.value)
