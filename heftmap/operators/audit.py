@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,7 +100,7 @@ def rank_evidence(shown: DataFrame, k: int) -> DataFrame:
 
 
 def detector_error_finding(roots: DataFrame, detector: str, message: str) -> DataFrame:
-    """A warning for every root saying that a detector could not be planned."""
+    """A warning for every root saying that a detector could not be planned, or failed."""
     return roots.select(
         "root_id", F.lit(detector).alias("detector"), F.lit("chunking_quality").alias("category"),
         F.lit("warning").alias("severity"), F.lit(0).cast("bigint").alias("item_count"),
@@ -129,6 +131,51 @@ def guarded_findings(files: DataFrame, roster: dict) -> DataFrame:
     return union_findings(parts)
 
 
+Detector = Callable[[DataFrame], DataFrame]
+
+
+def _reason(error: Exception) -> str:
+    """The innermost condition of a failed job, in one line."""
+    lines = [x.strip() for x in str(error).splitlines() if x.strip()]
+    conditions = [m.group(0) for x in lines if (m := re.search(r"\[[A-Z][A-Z0-9_.]+\].*", x))]
+    return (conditions or lines or [type(error).__name__])[-1][:300]
+
+
+def isolated_findings(files: DataFrame, roster: Mapping[str, Detector | None] | None = None) -> DataFrame:
+    """Findings of a roster in which a detector that fails, in planning or in its tasks, becomes a warning finding and the others stay whole.
+
+    A roster names detectors of this library (value None) and others (a function of the inventory that gives findings).
+    All run together first, the library's in one scan.  If that job fails, the roster is halved, and so on down to
+    the detectors that fail; every part that succeeds is written and read from there.  Runs jobs while it is called.
+    """
+    roster = dict.fromkeys(D.ROSTER) if roster is None else roster
+    spark = files.sparkSession
+    roots = files.select("root_id").distinct()
+
+    def plan(names: list[str]) -> DataFrame:
+        shared = [n for n in names if roster[n] is None]
+        own = [roster[n](files) for n in names if roster[n] is not None]
+        return union_findings(([D.findings(files, shared)] if shared else []) + own)
+
+    def run(names: list[str]) -> list[DataFrame]:
+        try:
+            return [stage(plan(names), "findings")]
+        except (PySparkException, Py4JJavaError) as error:
+            if spark.sparkContext._jsc.sc().isStopped():
+                raise
+            if len(names) == 1:
+                return [stage(detector_error_finding(roots, names[0], _reason(error)), "findings")]
+            half = len(names) // 2
+            return run(names[:half]) + run(names[half:])
+
+    return union_findings(run(list(roster)))
+
+
+def isolated_audit(files: DataFrame, roster: Mapping[str, Detector | None] | None = None) -> DataFrame:
+    """``audit`` from ``isolated_findings``."""
+    return aggregate(isolated_findings(files, roster), I.census_totals(files))
+
+
 # -- report shapes -------------------------------------------------------------------
 
 

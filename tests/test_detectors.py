@@ -191,3 +191,20 @@ def test_broken_detector_becomes_a_finding(spark):
     got = A.guarded_findings(files, roster).groupBy("detector").count().collect()
     counts = {r["detector"]: r["count"] for r in got}
     assert counts["encryption"] == files.select("root_id").distinct().count() and counts["large_chunk"] >= 2
+
+
+def test_a_detector_that_fails_in_its_tasks_leaves_the_others_whole(spark):
+    rows = [(r, f"Bin/g{i}.pdb", False, 1 << 21, f"h{i % 2}", None) for r in (1, 2) for i in range(6)] + [(1, "Paks/a.pak", False, 3 << 30, None, None)]
+    files = spark.createDataFrame(rows, schemas.FILES)
+    boom = lambda f: D.findings(f.withColumn("size_bytes", F.when(F.col("path") == "Bin/g3.pdb", F.raise_error(F.lit("boom")).cast("bigint")).otherwise(F.col("size_bytes"))), ["editor_leftovers"])
+    missing = lambda f: D.findings(f.drop("content_sha256"), ["duplicate_content"])
+    found = A.isolated_findings(files, {**dict.fromkeys(D.ROSTER), "editor_leftovers": boom, "duplicate_content": missing, "own": lambda f: D.findings(f, ["large_chunk"])})
+    errors = {(r.root_id, r.detector): r.detail for r in found.where("category = 'chunking_quality'").collect()}
+    assert set(errors) == {(r, d) for r in (1, 2) for d in ("editor_leftovers", "duplicate_content")}
+    assert all("boom" in errors[r, "editor_leftovers"] and "content_sha256" in errors[r, "duplicate_content"] for r in (1, 2))
+    names = [c for c in found.columns if c in D.findings(files).columns]
+    others = [d for d in D.ROSTER if d not in ("editor_leftovers", "duplicate_content")]
+    got = found.where("category <> 'chunking_quality'").select(*names).collect()
+    want = D.findings(files, others).select(*names).collect() + D.findings(files, ["large_chunk"]).select(*names).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert A.isolated_audit(files).count() == 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -25,7 +26,8 @@ from heftmap.operators import raster as R
 from heftmap.operators import tiles as TI
 from heftmap.operators.staging import fresh_path
 from heftmap.plans import mips, strip
-from heftmap.sources import readers, writers
+from heftmap.sources import inventory_source, manifest_split, readers, writers
+from workload import fixtures
 from workload.fixtures import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -504,6 +506,14 @@ def a8_detector_error_finding(files):
     return A.guarded_findings(files, roster).select("root_id", "detector", "category", "severity", "item_count")
 
 
+@query("files")
+def a8_isolated_findings(files):
+    """Content hashes of some rows cannot be read: their detector fails in its tasks, the other twelve do not."""
+    spoilt = F.when(F.col("size_bytes") == 4194304 + 7 * 1048576, F.raise_error(F.lit("no hash"))).otherwise(F.col("content_sha256"))
+    roster = {**dict.fromkeys(D.ROSTER), "duplicate_content": lambda f: D.findings(f.withColumn("content_sha256", spoilt), ["duplicate_content"])}
+    return A.isolated_findings(files, roster).select("root_id", "detector", "category", "severity", "item_count", "reclaimable_bytes")
+
+
 @query("tree")
 def d2_stale_version_dir_empty(tree):
     """Version folders that hold no file count through their own rows."""
@@ -633,13 +643,16 @@ def p14_snapshot_diff_totals(spark, sf_dir):
 STRIP_FIELDS = schemas.STRIP_RECORD.names
 
 
-def _manifest_documents(spark, sf_dir):
-    """Manifests of at most 1000 entries each, several of them per root, as JSON documents."""
+def _manifest_entries(spark, sf_dir):
     strips = view(spark, sf_dir, "strips").groupBy("seq").agg(F.collect_list(F.struct(*STRIP_FIELDS)).alias("texture_strips"))
     man = view(spark, sf_dir, "man").join(strips, "seq", "left")
-    entry = F.struct("seq", F.struct("path", "op", "original_sha256", "original_size", _payload().alias("payload"), "texture_strips").alias("e"))
-    cut = man.withColumns({"root": F.col("path"), "part": F.floor(F.col("seq") / 1000)})
-    docs = cut.groupBy("root", "part").agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.min("seq").alias("created_at"))
+    return man.select("seq", "path", F.struct("path", "op", "original_sha256", "original_size", _payload().alias("payload"), "texture_strips").alias("entry"))
+
+
+def _manifest_documents(spark, sf_dir):
+    """Manifests of at most 1000 entries each, several of them per root, as JSON documents."""
+    cut = _manifest_entries(spark, sf_dir).withColumns({"root": F.col("path"), "part": F.floor(F.col("seq") / 1000)})
+    docs = cut.groupBy("root", "part").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("entry").alias("e")))).alias("entries"), F.min("seq").alias("created_at"))
     return docs.select(
         F.lit(1).alias("version"), (F.col("created_at") + 1600000000).alias("created_at"), "root",
         F.lit("full").alias("mode"), F.transform("entries", lambda e: e["e"]).alias("entries"),
@@ -957,6 +970,16 @@ def s1_scan_inventory(spark, sf_dir):
     return readers.read_inventory(spark, path, "csv").select("root_id", "path", "size_bytes", "content_sha256", "probe_error")
 
 
+@query()
+def s1_inventory_source(spark, sf_dir):
+    """Trees of sparse files, written by tasks and read by the data source, filters included."""
+    base = fixtures.folder_tree(view(spark, sf_dir, "tex"))
+    inventory_source.register(spark)
+    files = spark.read.format("inventory").schema("path string, root_id long, is_dir boolean, size_bytes long").option(
+        "roots", json.dumps([[i, f"{base}/{i}"] for i in range(3)])).load()
+    return files.where(F.col("path").startswith("Game/Content/") & (F.col("root_id") < 2) & (F.col("is_dir") | (F.col("size_bytes") >= 1000)))
+
+
 @query("ent")
 def s2_read_entries(ent):
     return readers.read_entries(ent, 3).select("root_id", "container_path", "path", "position", "truncated")
@@ -994,6 +1017,23 @@ def s4_read_manifest(spark, sf_dir):
     )
 
 
+@query()
+def s4_read_manifest_split(spark, sf_dir):
+    """All entries as one document in one file, read in ranges of 128 KiB."""
+    entries = _manifest_entries(spark, sf_dir)
+    lines = entries.select("seq", F.concat(F.when(F.col("seq") == F.lit(entries.agg(F.min("seq")).first()[0]), "").otherwise(","), F.to_json(F.struct("entry.*"))).alias("line"))
+    ends = spark.createDataFrame([(-1, '{"version": 1, "created_at": 7, "root": "r", "notes": [{"a": "]}"}], "mode": "full", "entries": ['), (1 << 60, "]}")], "seq long, line string")
+    path = fresh_path(spark, "one-manifest")
+    lines.unionByName(ends).coalesce(1).sortWithinPartitions("seq").select("line").write.text(path)
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 10))
+    try:
+        rows = manifest_split.read_manifest_entries(spark, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    return rows.select("root", "created_at", "seq", "path", "op", "original_sha256", "original_size", "payload", F.size("texture_strips").alias("strips"))
+
+
 @query("files")
 def s5_write_report_json(files):
     path = fresh_path(files.sparkSession, "report-json")

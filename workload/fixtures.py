@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heftmap.operators.staging import keep, stage
+from heftmap.operators.staging import fresh_path, keep, stage
 
 TABLES = ("orders", "lineitem", "part", "events", "documents", "embeddings")
 
@@ -190,6 +190,26 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return derived
 
 
+def folder_tree(textures: DataFrame) -> str:
+    """A folder in the shared place with three trees of sparse files, one per texture, made inside tasks; returns its path."""
+    base = fresh_path(textures.sparkSession, "trees").removeprefix("file://")
+
+    def make(parts):
+        import os
+
+        for part in parts:
+            for tex_id, asset_path, export_name, size in part.itertuples(index=False):
+                folder = f"{base}/{tex_id % 3}/{asset_path}" + ("/.cache" if tex_id % 7 == 0 else "")
+                os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/{'_' if tex_id % 5 == 0 else ''}{export_name}.bin", "wb") as file:
+                    file.truncate(size)
+                os.makedirs(f"{base}/{tex_id % 3}/Saved/empty{tex_id % 4}", exist_ok=True)
+            yield part[["tex_id"]]
+
+    textures.selectExpr("tex_id", "asset_path", "export_name", "size_x * num_mips AS size").repartition(4).mapInPandas(make, "tex_id long").count()
+    return base
+
+
 def duck_views(*names: str) -> str:
     """``WITH`` list that defines the named views and all they read."""
     order: list[str] = []

@@ -371,6 +371,8 @@ SELECT root_id, detector, path, size_bytes, note, rank, more FROM re WHERE rank
 oracle("a7_category_table", f"WITH {FOUND}, {_CATS} SELECT *, CAST(row_number() OVER (PARTITION BY root_id ORDER BY bytes DESC, category) AS INT) AS rank FROM cat WHERE bytes > 0", "files")
 oracle("a8_detector_error_finding", f"""WITH {FOUND} SELECT root_id, detector, detector AS category, severity, item_count FROM fnd WHERE detector IN ('large_chunk', 'cef_locales')
 UNION ALL SELECT DISTINCT root_id, 'duplicate_content', 'chunking_quality', 'warning', CAST(0 AS BIGINT) FROM files""", "files")
+oracle("a8_isolated_findings", f"""WITH {FOUND} SELECT root_id, detector, detector AS category, severity, item_count, reclaimable_bytes FROM fnd WHERE detector <> 'duplicate_content'
+UNION ALL SELECT DISTINCT root_id, 'duplicate_content', 'chunking_quality', 'warning', CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM files""", "files")
 oracle("a9_audit", f"WITH {FOUND}, {_AUD} SELECT * FROM rep", "files")
 
 _DIRS_TREE = DIRS.replace("FROM files", "FROM tree").replace("range(1, len(parts))", "range(1, len(parts) + CASE WHEN is_dir THEN 1 ELSE 0 END)").replace(
@@ -612,6 +614,11 @@ FROM ent WHERE contains(lower(path), 'l10n/fr') QUALIFY position <= 2""", "ent")
 # -- sources and sinks ---------------------------------------------------------------
 
 oracle("s1_scan_inventory", "SELECT root_id, path, size_bytes, content_sha256, probe_error FROM files", "files")
+oracle("s1_inventory_source", """WITH f AS (SELECT tex_id % 3 AS root_id, asset_path || CASE WHEN tex_id % 7 = 0 THEN '/.cache' ELSE '' END AS folder,
+  CASE WHEN tex_id % 5 = 0 THEN '_' ELSE '' END || export_name || '.bin' AS name, CAST(size_x * num_mips AS BIGINT) AS size_bytes FROM tex),
+ a AS (SELECT root_id, false AS is_dir, folder || '/' || name AS path, size_bytes FROM f
+  UNION SELECT root_id, true, array_to_string(parts[1:i], '/'), 0 FROM (SELECT root_id, string_split(folder, '/') AS parts FROM f), range(1, 9) r(i) WHERE i <= len(parts))
+SELECT CAST(root_id AS BIGINT) AS root_id, path, is_dir, size_bytes FROM a WHERE path LIKE 'Game/Content/%' AND root_id < 2 AND (is_dir OR size_bytes >= 1000)""", "tex")
 oracle("s2_read_entries", """SELECT root_id, container_path, path, CAST(position AS INT) AS position, n > 3 AS truncated FROM (SELECT *, row_number() OVER
   (PARTITION BY root_id, container_path ORDER BY path) AS position, count(*) OVER (PARTITION BY root_id, container_path) AS n FROM ent) WHERE position <= 3""", "ent")
 _BENCH = """bench AS (SELECT 'corpus/' || label || '.png' AS path, label, 512 AS w, 512 AS h, 'rgba8' AS format, 1 AS quant_step, baseline_bytes,
@@ -620,6 +627,8 @@ _BENCH = """bench AS (SELECT 'corpus/' || label || '.png' AS path, label, 512 AS
 oracle("s3_read_bench", f"WITH {_BENCH} SELECT * EXCLUDE (predictor) FROM bench QUALIFY row_number() OVER (PARTITION BY label ORDER BY predictor DESC) = 1", "ben")
 oracle("s4_read_manifest", f"""WITH {DOCS} SELECT manifest_id, place AS seq, d.path, op, original_sha256, d.original_size, CASE WHEN op = 'create' THEN '' ELSE 'p' || d.seq END AS payload,
   CAST(s.seq IS NOT NULL AS INT) AS strips FROM docs d LEFT JOIN (SELECT DISTINCT seq FROM strips) s ON s.seq = d.seq""", "man", "strips")
+oracle("s4_read_manifest_split", """SELECT 'r' AS root, CAST(7 AS BIGINT) AS created_at, row_number() OVER (ORDER BY m.seq) - 1 AS seq, path, op, original_sha256, original_size,
+  CASE WHEN op = 'create' THEN '' ELSE 'p' || m.seq END AS payload, CAST(s.seq IS NOT NULL AS INT) AS strips FROM man m LEFT JOIN (SELECT DISTINCT seq FROM strips) s ON s.seq = m.seq""", "man", "strips")
 oracle("s5_write_report_json", f"""WITH {FOUND}, {EVID}, {_AUD}, re AS (SELECT *, CAST(row_number() OVER (PARTITION BY root_id, detector ORDER BY size_bytes DESC, path) AS INT) AS rank,
   greatest(count(*) OVER (PARTITION BY root_id, detector) - 5, 0) AS more FROM ev)
 SELECT rep.root_id, rep.total_bytes, rep.reclaimable_bytes, score, 1 AS schema_version, 13 AS roster, fnd.detector, fnd.severity, true AS advised, coalesce(more, 0) AS more,
