@@ -60,11 +60,11 @@ LANDMARKS = range(5, 11)
 
 
 class Block:
-    __slots__ = ("parent", "tag", "tokens", "depth", "chars", "own", "linked", "tags", "controls", "blocks", "marks", "below", "hidden")
+    __slots__ = ("parent", "tag", "tokens", "depth", "chars", "own", "linked", "tags", "controls", "blocks", "marks", "below", "hidden", "longest")
 
     def __init__(self, parent: int, tag: str, attrs: list[tuple[str, str | None]], depth: int):
         self.parent, self.tag, self.depth = parent, tag, depth
-        self.chars = self.own = self.linked = self.tags = self.controls = self.blocks = self.marks = 0
+        self.chars = self.own = self.linked = self.tags = self.controls = self.blocks = self.marks = self.longest = 0
         self.below: list[int] = []
         self.tokens: list[int] = []
         self.hidden = False
@@ -180,6 +180,7 @@ class Page(HTMLParser):
         for at in range(len(self.blocks) - 1, 0, -1):
             block, parent = self.blocks[at], self.blocks[self.blocks[at].parent]
             parent.chars += block.chars
+            parent.longest = max(parent.longest, block.chars)
             parent.linked += block.linked
             parent.tags += block.tags
             parent.controls += block.controls
@@ -199,7 +200,7 @@ def features(page: Page) -> np.ndarray:
         above.append(near | marks)
         kin = parent.below or [at]
         place = 0 if not at else (at - kin[0]) / max(1, kin[-1] - kin[0])
-        longest = max(blocks[k].chars for k in (kin if len(kin) < 50 else (kin[0], kin[len(kin) // 2], kin[-1])))
+        longest = parent.longest if at else b.chars
         row = [b.depth, math.log1p(b.chars), math.log1p(b.own), b.linked / (b.chars + 1), math.log1p(b.blocks), math.log1p(b.chars / (b.tags + 1)),
                b.marks / (b.chars + 1), b.chars / total, math.log1p(len(kin)), place, math.log1p(parent.chars / len(kin)), b.chars / (longest + 1),
                parent.linked / (parent.chars + 1), math.log1p(b.controls), b.own / (b.chars + 1), float(b.hidden)]
@@ -397,7 +398,8 @@ def learn(pages: list[str], seed: int = SEED) -> Trees:
     for html in pages:
         page = Page(html)
         sides = semantic_sides(page)
-        content = [t for at, t in page.runs if sides[at]]
+        # Texts only fill the made layouts, so a page without landmarks fills them with what is not known to be boilerplate.
+        content = [t for at, t in page.runs if sides[at]] or [t for at, t in page.runs if sides[at] is None] or [t for _, t in page.runs]
         other = [t for at, t in page.runs if sides[at] is False] or content
         known = [at for at, s in enumerate(sides) if s is not None]
         xs.append(features(page)[known])
@@ -412,16 +414,18 @@ def learn(pages: list[str], seed: int = SEED) -> Trees:
             xs.append(features(made)[known])
             ys.append(np.array([float(made.sides[at] == "1") for at in known]))
     x = np.concatenate(xs) if xs else np.zeros((0, features(Page("")).shape[1]), np.float32)
-    return boost(x, np.concatenate(ys) if ys else np.zeros(0))
+    y = np.concatenate(ys) if ys else np.zeros(0)
+    return boost(x, y) if 0 < y.sum() < len(y) else boost(x[:0], y[:0])  # one side alone teaches nothing
 
 
 def fit(pages: DataFrame, html: str = "html", train_pages: int = TRAIN_PAGES) -> Trees:
-    """Learns from about ``train_pages`` pages, chosen by a hash of their text; copies count once."""
-    rows = pages.select(F.col(html).cast("string").alias("_html")).where("_html is not null")
-    n = rows.count()
-    hashed = F.xxhash64("_html")
-    drawn = rows.where(F.call_function("shiftrightunsigned", hashed, F.lit(11)) < F.lit(float(1 << 53)) * min(1.0, train_pages / max(n, 1)))
-    return learn([r[0] for r in drawn.distinct().orderBy(hashed, "_html").limit(2 * train_pages).collect()])
+    """Learns from the ``train_pages`` pages of the lowest hashes; copies count once, however many there are."""
+    rows = pages.select(F.col(html).cast("string").alias("_html")).where("_html is not null").withColumn("h", F.xxhash64("_html"))
+    lowest = [r.h for r in rows.select("h").distinct().orderBy("h").limit(train_pages).collect()]
+    if not lowest:
+        return learn([])
+    drawn = rows.where(F.col("h") <= lowest[-1]).groupBy("h").agg(F.min("_html").alias("_html"))
+    return learn([r._html for r in drawn.orderBy("h").collect()])
 
 
 def extract_text(pages: DataFrame, trees: Trees, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

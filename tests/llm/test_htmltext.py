@@ -1,7 +1,9 @@
+import itertools
 import random
 import re
 from html import unescape
 
+import numpy as np
 import pytest
 
 from heftmap.llm import htmltext as H
@@ -80,3 +82,72 @@ def test_markup_without_head_end_or_body():
                  "<head><title>T</title>a", "<html><head><style>no</style></head><body>a", "<head><link rel=x><b>a</b>"):
         assert [t for _, t in H.Page(html).runs] == ["a"], html
     assert H.Page("<head><noscript><p>no</p></noscript><title>no</title></head>").runs == []
+
+
+def test_a_block_means_the_same_among_any_number_of_siblings():
+    def row(n):
+        page = H.Page("<body>" + "".join(f"<p>{'long ' * 40 if i == 7 else 'short'}</p>" for i in range(n)))
+        return {round(float(x), 4) for x in H.features(page)[4 + np.arange(2), 11]}
+
+    assert row(20) == row(49) == row(50) == row(400) == {round(5 / 200, 4)}
+
+
+def test_pages_without_any_landmark(spark):
+    rng = random.Random(8)
+    words = "alder birch cedar dogwood elm fir ginkgo hazel ivy juniper".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = []
+    for i in range(120):
+        parts = [say(rng.randrange(20, 60)) for _ in range(rng.randrange(3, 8))]
+        menu = "".join(f'<li><a href="/{k}">{say(2)}</a></li>' for k in range(6))
+        rows.append((i, "\n".join(parts), f'<html><body><ul class="menu">{menu}</ul><div>' + "".join(f"<p>{t}</p>" for t in parts) + f'</div><div class="bottom1">{say(4)}</div></body></html>'))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_text(pages, H.fit(pages)).collect()}
+    assert sum(want in got[i] for i, want, _ in rows) >= 0.95 * len(rows)
+    assert sum(len(got[i]) <= len(want) + 60 for i, want, _ in rows) >= 0.95 * len(rows)
+
+
+def test_many_copies_teach_as_one_page(spark):
+    others = [r.html for r in spark.read.parquet(SMALL).limit(4).collect()]
+    pages = spark.createDataFrame([(i, "u", others[0] if i >= 4 else others[i]) for i in range(3000)], "page_id bigint, url string, html string")
+    found = H.fit(pages)
+    assert len(found.leaf) > 0
+    assert np.array_equal(found.leaf, H.fit(pages.limit(4)).leaf)
+    right = sum(r.text == article(others[r.page_id]) for r in H.extract_text(pages.where("page_id < 4"), found).collect())
+    assert right >= 3
+
+
+def test_pages_held_out_from_the_fit(spark):
+    pages = spark.read.parquet(SMALL)
+    inside = "crc32(html) % 2 = 0"
+    trees = H.fit(pages.where(inside))
+    held = pages.where(f"NOT {inside}")
+    html = {r.page_id: r.html for r in held.collect()}
+    assert sum(r.text == article(html[r.page_id]) for r in H.extract_text(held, trees).collect()) >= 0.98 * len(html)
+
+
+def test_decoding_is_the_best_of_all_consistent_assignments():
+    rng = random.Random(4)
+    below = {H.MIXED: (0, 1, 2), H.CONTENT: (1, 2), H.BOILERPLATE: (2,)}
+    for _ in range(60):
+        html = "<body>"
+        for _ in range(rng.randrange(1, 4)):
+            html += "<div>" + rng.choice(("", "own")) + "".join(f"<p>{rng.choice(('', 'x'))}</p>" for _ in range(rng.randrange(3))) + "</div>"
+        page = H.Page(html)
+        score = [rng.uniform(-8, 8) for _ in page.blocks]
+        worth = [max(-6, min(6, s)) for s in score]
+
+        def value(states):
+            total = 0.0
+            for at, (state, block) in enumerate(zip(states, page.blocks)):
+                if at and state not in below[states[block.parent]]:
+                    return None
+                total += worth[at] if state == H.CONTENT else -worth[at] if state == H.BOILERPLATE else -(12 + abs(worth[at])) * bool(block.own)
+            return total
+
+        best = {}
+        for states in itertools.product((0, 1, 2), repeat=len(page.blocks)):
+            if (v := value(states)) is not None:
+                chosen = tuple(s == H.CONTENT for s in states)
+                best[chosen] = max(v, best.get(chosen, -1e9))
+        assert best[tuple(H.decode(page, score))] == pytest.approx(max(best.values()))
