@@ -105,13 +105,16 @@ class Mix:
         listed = sorted((not r[0], r[0], r[1]) for r in listed)
         keys, sizes = [r[1] for r in listed], [r[2] for r in listed]
         goals = targets(sizes, weights, cap)
-        blocks = [-(-s // block) for s in sizes]
+        # A hundredth of what a source has or gives, so that whole blocks come near any target.
+        words = [min(block, max(1, int(min(s, g)) // 100)) for s, g in zip(sizes, goals)]
+        blocks = [-(-s // w) for s, w in zip(sizes, words)]
         quotas = np.array([min(round(g * b / s), int(cap * b)) if s else 0 for g, b, s in zip(goals, blocks, sizes)], np.int64)
-        frame = pd.DataFrame({"_source": keys, "source_size": np.array(sizes, np.int64), "target": np.array(goals, float)})
-        self.sources = stage(spark.createDataFrame(frame, "_source string, source_size bigint, target double"), "sources")
+        frame = pd.DataFrame({"_source": keys, "source_size": np.array(sizes, np.int64), "target": np.array(goals, float), "_length": np.array(words, np.int64)})
+        lengths = stage(spark.createDataFrame(frame, "_source string, source_size bigint, target double, _length bigint"), "sources")
+        self.sources = lengths.drop("_length")
         self.slots = self._slots(spark, keys, blocks, draws(quotas, shard_slots, seed), seed)
         self.times = self.slots.groupBy("_source", "_block").agg(F.count("*").alias("_times"))
-        self.pieces = self._pieces(block)
+        self.pieces = self._pieces(lengths.select("_source", "_length"))
 
     def _slots(self, spark, keys: list[str], blocks: list[int], counts: np.ndarray, seed: int) -> DataFrame:
         """(shard, _source, _block) of every slot."""
@@ -134,16 +137,17 @@ class Mix:
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return map_rows(table.repartition(tasks), fill, "shard bigint, _source string, _block bigint")
 
-    def _pieces(self, block: int) -> DataFrame:
+    def _pieces(self, lengths: DataFrame) -> DataFrame:
         """Rows cut at block borders: (_row, _id, _source, _size, _block, _from, _words); rows without words have one piece without a block."""
         bucket = Window.partitionBy("_source", "_bucket")
         placed = self.rows.drop("_carried").withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)))
         whole = placed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("all"))
-        whole = whole.withColumn("_before", F.sum("all").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("all")).drop("all")
+        whole = whole.withColumn("_before", F.sum("all").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("all")).drop("all").join(lengths, "_source")
         inside = F.sum("_size").over(bucket.orderBy("_hash", "_row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
         placed = placed.withColumn("_inside", inside).join(whole, ["_source", "_bucket"])
         start = F.col("_before") + F.col("_inside")
-        placed = placed.select("_row", "_id", "_source", "_size", start.alias("_start"))
+        placed = placed.select("_row", "_id", "_source", "_size", "_length", start.alias("_start"))
+        block = F.col("_length")
         cut = F.when(F.col("_size") > 0, F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("_size") - 1) / block)))
         cut = placed.withColumn("_block", F.explode_outer(cut))
         low = F.greatest(F.col("_block") * block, F.col("_start"))

@@ -1,10 +1,10 @@
 """Shards of nearly equal bytes by sampled splitters.
 
 Records are ordered by (hash of the text, hash of the id), so equal texts lie together.  A size-weighted
-sample of about ``OVERSAMPLE`` keys per unit, at most a few ten thousand whatever the input, gives quantile
+sample of about ``OVERSAMPLE`` keys per unit - the driver gets these and a row per range, one for a million rows or fewer - gives quantile
 boundaries; records are range-partitioned into units of about 1/``units`` of a shard's bytes.  A range over
-``OVERFULL`` units by bytes or rows (a hot text, or many short ones) is subdivided by the hash of the
-id.  Consecutive units form shards by their cumulative bytes, and slots run on from unit to
+``OVERFULL`` units by bytes or rows (a hot text, or many short ones) is subdivided by a hash of the
+id and, for rows that are equal throughout, of their place.  Consecutive units form shards by their cumulative bytes, and slots run on from unit to
 unit, so that no task ever orders more than a unit.  Column functions only.
 """
 
@@ -76,6 +76,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc
         F.col(id_column), *carry, (F.coalesce(F.octet_length(content), F.lit(0)) + OVERHEAD).cast("bigint").alias("size"),
         F.crc32(F.coalesce(content, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(content).alias("h"),
         F.xxhash64(F.col(id_column), content, F.lit(0)).alias("d")), "records")
+    # Equal rows are told apart by their place in the staged table, which is the same whenever the input comes in the same tasks.
+    task = F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1)
+    records = records.withColumn("d", F.xxhash64("d", task, "_metadata.row_index"))
     rows, total = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     goal = max(shards * units, -(-rows // UNIT_ROWS))
     bounds = splitters(records, max(total, 1), goal)

@@ -47,6 +47,21 @@ def test_copies_stay_together(spark, make):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_equal_rows_are_dealt_out(spark, make):
+    """Most rows are the same throughout, id included."""
+    rng = random.Random(3)
+    rows = [(None, "the same text " * 3)] * 6000 + [(i, "x" * rng.randrange(1, 90)) for i in range(2000)]
+    found = sharding.shard_documents(make(rows).repartition(7), 40).collect()
+    assert len(found) == len(rows)
+    sizes, slots = Counter(), {}
+    for r in found:
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    mean = sum(sizes.values()) / 40
+    assert len(sizes) == 40 and max(sizes.values()) < 1.3 * mean and min(sizes.values()) > 0.7 * mean
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_sharding_of_little(spark, make):
     assert sharding.shard_documents(make([])).count() == 0
     one = sharding.shard_documents(make([(1, None)]), carry=("lang",)).collect()
@@ -105,6 +120,29 @@ def test_mixing(spark, make):
         assert abs(taken[s] - goals[s]) <= 0.05 * goals[s]
 
 
+def test_sources_of_any_size_come_near_their_targets(spark, make):
+    rng = random.Random(12)
+    rows, number = [], 0
+    for source in range(150):
+        left = int(10 ** rng.uniform(0, 4))
+        while left:
+            size = min(left, rng.randrange(1, 700))
+            rows.append((number, "w " * size, None, f"s{source}"))
+            number, left = number + 1, left - size
+    found = mixing.mix_sizes(make(rows)).collect()
+    source_of = {i: s for i, _, _, s in rows}
+    taken, targets = Counter(), {}
+    for r in found:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[source_of[r.doc_id]] += r.taken
+        targets[source_of[r.doc_id]] = r.target
+    assert len(targets) == 150
+    for source, target in targets.items():
+        assert abs(taken[source] - target) <= max(1, 0.02 * target), (source, taken[source], target)
+    hundred = mixing.mix_sizes(make([(i, "w " * 100, None, f"s{i}") for i in range(3)])).collect()
+    assert {r.doc_id: r.taken for r in hundred} == {0: 188, 1: 75, 2: 38}
+
+
 def test_mixed_texts(spark, make):
     rows = mixed_rows()
     wanted = {(r.doc_id, r.size): r.taken for r in mixing.mix_sizes(make(rows), block=16).collect()}
