@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heftmap.functions import textures as T
@@ -76,6 +76,62 @@ def reproject_totals(textures: DataFrame, caps: Sequence[int]) -> DataFrame:
     )
 
 
+def savings_curve(textures: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(cap_from, cap_to, textures, save_bytes, original_bytes): what every cap from 1 to 16384 saves, as ranges of caps that save the same.
+
+    A level goes under every cap below the smallest edge up to it, unless it is the last.  So each level is one event, at that edge, and
+    a cap saves what all events above it hold; events of one edge are summed before anything is ordered, and edges end at
+    the largest cap.  ``textures`` and ``original_bytes`` are of textures that save something, as in ``reproject_totals``.
+    """
+    keys = list(by)
+    edges = F.transform("mips", lambda m: F.least(_edge(m), F.lit(MAX_CAP + 1)))
+    running = F.aggregate(edges, F.array().cast("array<int>"), lambda acc, e: F.array_append(acc, F.least(e, F.coalesce(F.try_element_at(acc, F.lit(-1)), e)).cast("int")))
+    # Negative indexes count from the end: the last level never goes.
+    start = F.when(F.size("mips") > 1, F.sequence(F.lit(0), F.size("mips") - 2)).otherwise(F.array().cast("array<int>"))
+    levels = with_mips(textures).withColumn("smallest", running).withColumn("levels", F.filter(
+        F.transform(start, lambda i: F.struct(F.get("smallest", i).alias("edge"), F.get("mips", i)["bytes"].cast("bigint").alias("bytes"), i.alias("at"))),
+        lambda e: (e["edge"] > MIN_CAP) & (e["bytes"] > 0)))
+    total = T.total_mip_bytes(F.col("mips"))
+    first = lambda e: e["at"] == F.get("levels", F.lit(0))["at"]
+    events = levels.select(*keys, F.inline(F.transform("levels", lambda e: F.struct(
+        e["edge"].alias("edge"), e["bytes"].alias("bytes"), F.when(first(e), 1).otherwise(0).alias("one"), F.when(first(e), total).otherwise(F.lit(0)).alias("original")))))
+    sums = events.groupBy(*keys, "edge").agg(*[F.sum(c).alias(c) for c in ("bytes", "one", "original")])
+    groups = textures.select(*keys).distinct() if keys else textures.sparkSession.range(1).select()
+    start_row = groups.select(*keys, F.lit(MIN_CAP).alias("edge"), *[F.lit(0).cast("bigint").alias(c) for c in ("bytes", "one", "original")])
+    # At most MAX_CAP + 1 rows a group.
+    order = Window.partitionBy(*keys).orderBy("edge")
+    above = order.rowsBetween(1, Window.unboundedFollowing)
+    zero = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0).cast("bigint"))
+    steps = sums.unionByName(start_row).select(
+        *keys, F.col("edge").alias("cap_from"), (F.coalesce(F.lead("edge").over(order), F.lit(MAX_CAP + 1)) - 1).alias("cap_to"),
+        zero("one").alias("textures"), zero("bytes").alias("save_bytes"), zero("original").alias("original_bytes"))
+    return steps.where(F.col("cap_from") <= MAX_CAP)
+
+
+def savings_at(curve: DataFrame, caps: Sequence[int]) -> DataFrame:
+    """The curve's values at some caps: (cap, textures, save_bytes, original_bytes)."""
+    for cap in caps:
+        _check_cap(cap)
+    wanted = F.filter(F.array(*[F.lit(c) for c in caps]), lambda c: (c >= F.col("cap_from")) & (c <= F.col("cap_to")))
+    return curve.withColumn("cap", F.explode(wanted)).drop("cap_from", "cap_to")
+
+
+def mildest_cap(curve: DataFrame, wanted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """For every row (save_at_least, and the columns ``by``) of ``wanted`` the largest cap that saves so much and what it saves; NULLs where none does.
+
+    Savings fall as the cap rises, so this is the inverse of the curve: the last of its ranges that is not below the wish.
+    """
+    keys = list(by)
+    named = curve.select(*keys, "cap_to", F.col("save_bytes").alias("saved"))
+    reach = (wanted[keys[0]] == named[keys[0]]) if keys else F.lit(True)
+    for k in keys[1:]:
+        reach = reach & (wanted[k] == named[k])
+    # The curve has at most MAX_CAP rows a group.
+    met = wanted.join(named, reach & (named["saved"] >= wanted["save_at_least"]), "left")
+    return met.groupBy(*[wanted[k] for k in keys], wanted["save_at_least"]).agg(F.max(F.struct("cap_to", "saved")).alias("best")).select(
+        *keys, "save_at_least", F.col("best.cap_to").alias("cap"), F.col("best.saved").alias("save_bytes"))
+
+
 def format_breakdown(plan: DataFrame) -> DataFrame:
     return plan.groupBy("pixel_format").agg(
         F.count(F.lit(1)).alias("textures"), F.sum("save_bytes").alias("save_bytes")

@@ -593,6 +593,32 @@ def p7_reproject_totals(tex):
     return mips.reproject_totals(tex, CAPS)
 
 
+@query("tex")
+def p7_savings_curve(tex):
+    return mips.savings_curve(tex)
+
+
+@query("tex")
+def p7_savings_curve_by_format(tex):
+    return mips.savings_curve(tex, ["pixel_format"])
+
+
+@query("tex")
+def p7_savings_at(tex):
+    """The curve at the caps of p7_reproject_totals."""
+    return mips.savings_at(mips.savings_curve(tex), CAPS)
+
+
+@query("tex")
+def p7_mildest_cap(tex):
+    """The largest cap of every format that frees a tenth, a half and nine tenths of its bytes, and one byte more than there are."""
+    curve = mips.savings_curve(tex, ["pixel_format"])
+    total = mips.with_mips(tex).groupBy("pixel_format").agg(F.sum(T.total_mip_bytes(F.col("mips"))).alias("total"))
+    shares = F.array(*[F.call_function("div", F.col("total") * k, F.lit(10).cast("bigint")) for k in (1, 5, 9)], F.col("total") + 1)
+    wanted = total.select("pixel_format", F.explode(shares).alias("save_at_least"))
+    return mips.mildest_cap(curve, wanted, ["pixel_format"])
+
+
 @query("tex")
 def p8_format_breakdown(tex):
     return mips.format_breakdown(mips.plan_mip_strip(tex, CAP))

@@ -412,6 +412,23 @@ _SWEEP = f"""ck AS (SELECT tex_id, cap, {_kept('cap')} AS kept FROM mip, (SELECT
 oracle("p7_reproject", f"WITH {MIPS}, {_SWEEP} SELECT cap, {_PCOLS} FROM sw WHERE save_bytes > 0", "tex")
 oracle("p7_reproject_totals", f"""WITH {MIPS}, {_SWEEP} SELECT cap, count(*) AS textures, {SUM('save_bytes')} AS save_bytes, {SUM('original_bytes')} AS original_bytes
 FROM sw WHERE save_bytes > 0 GROUP BY cap""", "tex")
+def _curve(by: str) -> str:
+    """Every cap at which something changes, and what it saves by the definition of the kept level."""
+    k, kk, on = (f"{by}, ", f"b.{by}, ", f"AND m.{by} = b.{by}") if by else ("", "", "")
+    return f"""ed AS (SELECT DISTINCT {k}greatest(w, h) AS cap FROM mip m WHERE level < num_mips - 1 AND greatest(w, h) > 1 UNION SELECT DISTINCT {k}1 FROM mip),
+ kp AS (SELECT {kk}b.cap, m.tex_id, {_kept('b.cap')} AS kept FROM ed b JOIN mip m ON true {on} GROUP BY ALL),
+ sv AS (SELECT kp.*, (SELECT coalesce(sum(bytes), 0) FROM mip m WHERE m.tex_id = kp.tex_id AND m.level < kp.kept) AS save, (SELECT sum(bytes) FROM mip m WHERE m.tex_id = kp.tex_id) AS all_bytes FROM kp),
+ cu AS (SELECT {k}CAST(cap AS INT) AS cap_from, CAST(coalesce(lead(cap) OVER ({"PARTITION BY " + by if by else ""} ORDER BY cap), 16385) - 1 AS INT) AS cap_to,
+  count(*) FILTER (save > 0) AS textures, CAST(sum(save) AS BIGINT) AS save_bytes, CAST(coalesce(sum(all_bytes) FILTER (save > 0), 0) AS BIGINT) AS original_bytes FROM sv GROUP BY {k}cap)"""
+
+
+oracle("p7_savings_curve", f"WITH {MIPS}, {_curve('')} SELECT * FROM cu", "tex")
+oracle("p7_savings_curve_by_format", f"WITH {MIPS}, {_curve('pixel_format')} SELECT * FROM cu", "tex")
+oracle("p7_savings_at", f"""WITH {MIPS}, {_SWEEP} SELECT cap, count(*) FILTER (save_bytes > 0) AS textures, {SUM('save_bytes')} AS save_bytes,
+  CAST(coalesce(sum(original_bytes) FILTER (save_bytes > 0), 0) AS BIGINT) AS original_bytes FROM sw GROUP BY cap""", "tex")
+oracle("p7_mildest_cap", f"""WITH {MIPS}, {_curve('pixel_format')}, t AS (SELECT pixel_format, sum(bytes) AS total FROM mip GROUP BY pixel_format),
+ wa AS (SELECT pixel_format, CAST(unnest([total // 10, total * 5 // 10, total * 9 // 10, total + 1]) AS BIGINT) AS save_at_least FROM t)
+SELECT wa.pixel_format, save_at_least, max(cap_to) AS cap, arg_max(save_bytes, cap_to) AS save_bytes FROM wa LEFT JOIN cu ON cu.pixel_format = wa.pixel_format AND save_bytes >= save_at_least GROUP BY ALL""", "tex")
 oracle("p8_format_breakdown", f"WITH {MIPS}, {PLAN_SQL} SELECT pixel_format, count(*) AS textures, {SUM('save_bytes')} AS save_bytes FROM plan GROUP BY pixel_format", "tex")
 oracle("p9_class_histogram", """SELECT coalesce(compression_settings, 'none') AS class_name, count(*) AS textures FROM tex GROUP BY ALL
 ORDER BY textures DESC, class_name LIMIT 20""", "tex")
