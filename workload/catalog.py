@@ -23,6 +23,7 @@ from heftmap.operators import manifest as M
 from heftmap.operators import neardup
 from heftmap.operators import paired as Q
 from heftmap.operators import raster as R
+from heftmap.operators import table_functions as TF
 from heftmap.operators import tiles as TI
 from heftmap.operators.staging import fresh_path
 from heftmap.plans import mips, strip
@@ -514,6 +515,15 @@ def a8_isolated_findings(files):
     return A.isolated_findings(files, roster).select("root_id", "detector", "category", "severity", "item_count", "reclaimable_bytes")
 
 
+@query("tree")
+def d_rule_from_sql(tree):
+    """A detector of one's own, called from SQL."""
+    spark = tree.sparkSession
+    TF.register(spark, TF.Rule("raw_audio", TF.ends_in("wav", "flac", "obj"), warn_at=schemas.MIB))
+    tree.createOrReplaceTempView("tree_files")
+    return spark.sql("SELECT * FROM audit_rule(TABLE(tree_files) PARTITION BY (root_id), 'raw_audio')")
+
+
 @query("tree")
 def d2_stale_version_dir_empty(tree):
     """Version folders that hold no file count through their own rows."""

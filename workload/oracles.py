@@ -377,6 +377,9 @@ oracle("a9_audit", f"WITH {FOUND}, {_AUD} SELECT * FROM rep", "files")
 
 _DIRS_TREE = DIRS.replace("FROM files", "FROM tree").replace("range(1, len(parts))", "range(1, len(parts) + CASE WHEN is_dir THEN 1 ELSE 0 END)").replace(
     "SELECT root_id, size_bytes, path, array", "SELECT root_id, coalesce(size_bytes, 0) AS size_bytes, path, array")
+oracle("d_rule_from_sql", f"""SELECT root_id, 'raw_audio' AS detector, count(*) AS item_count, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS total_bytes, max(coalesce(size_bytes, 0)) AS largest_bytes,
+  min_by(path, (-coalesce(size_bytes, 0), path)) AS largest_path, CASE WHEN coalesce(sum(size_bytes), 0) >= {MIB} THEN 'warning' ELSE 'info' END AS severity
+FROM tree WHERE NOT is_dir AND regexp_matches(lower(path), '[^/][.](wav|flac|obj)$') GROUP BY root_id""", "tree")
 oracle("d2_stale_version_dir_empty", f"WITH {_DIRS_TREE}, {FIND['stale_version_dir'][0][1]} SELECT {_FCOLS} FROM ({FIND['stale_version_dir'][1]})", "tree")
 _FOLDERS = """up AS (SELECT root_id, is_dir, size_bytes, folder AS own, unnest(list_concat([''], list_transform(range(1, CASE WHEN folder = '' THEN 1 ELSE len(parts) + 1 END), lambda i: array_to_string(parts[1:i], '/')))) AS folder
   FROM (SELECT *, string_split(folder, '/') AS parts FROM (SELECT *, CASE WHEN is_dir THEN path ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS folder FROM tree))),
