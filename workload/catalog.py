@@ -27,7 +27,7 @@ from heftmap.operators import table_functions as TF
 from heftmap.operators import tiles as TI
 from heftmap.operators.staging import fresh_path
 from heftmap.plans import mips, strip
-from heftmap.sources import inventory_source, manifest_split, readers, writers
+from heftmap.sources import inventory_source, manifest_split, manifest_versions, readers, writers
 from workload import fixtures
 from workload.fixtures import view
 
@@ -1053,6 +1053,29 @@ def s4_read_manifest(spark, sf_dir):
     )
 
 
+def _mixed_documents(spark, sf_dir):
+    """The manifests, every third of a later version with a field of its own, and one text per manifest that is none."""
+    path = fresh_path(spark, "mixed-manifests")
+    docs = _manifest_documents(spark, sf_dir)
+    later = F.pmod("created_at", F.lit(3)) == 0
+    texts = docs.select(F.when(later, F.to_json(F.struct(F.lit(3).alias("version"), *docs.columns[1:], F.lit("new").alias("tool")))).otherwise(F.to_json(F.struct("*"))).alias("value"))
+    broken = docs.select(F.concat(F.lit('{"version": 1, "root": "'), "root", F.lit('", "created_at": '), "created_at", F.lit(', "entries": [{"op": 1}]}')).alias("value"))
+    texts.unionByName(broken).write.text(path)
+    return manifest_versions.read_documents(spark, path, one_per_line=True)
+
+
+@query()
+def s4_mixed_versions(spark, sf_dir):
+    good = manifest_versions.good_manifests(_mixed_documents(spark, sf_dir))
+    tool = F.variant_get("document", "$.tool", "string").alias("tool")
+    return _known_by(good).select("manifest_id", "version", "mode", tool, F.size("entries").alias("entry_count"))
+
+
+@query()
+def s4_refused_documents(spark, sf_dir):
+    return manifest_versions.refused_documents(_mixed_documents(spark, sf_dir)).groupBy("version", "reason").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @query()
 def s4_read_manifest_split(spark, sf_dir):
     """All entries as one document in one file, read in ranges of 128 KiB."""

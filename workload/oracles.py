@@ -647,6 +647,9 @@ _BENCH = """bench AS (SELECT 'corpus/' || label || '.png' AS path, label, 512 AS
 oracle("s3_read_bench", f"WITH {_BENCH} SELECT * EXCLUDE (predictor) FROM bench QUALIFY row_number() OVER (PARTITION BY label ORDER BY predictor DESC) = 1", "ben")
 oracle("s4_read_manifest", f"""WITH {DOCS} SELECT manifest_id, place AS seq, d.path, op, original_sha256, d.original_size, CASE WHEN op = 'create' THEN '' ELSE 'p' || d.seq END AS payload,
   CAST(s.seq IS NOT NULL AS INT) AS strips FROM docs d LEFT JOIN (SELECT DISTINCT seq FROM strips) s ON s.seq = d.seq""", "man", "strips")
+oracle("s4_mixed_versions", f"""WITH {DOCS}, d AS (SELECT manifest_id, min(seq) + 1600000000 AS created_at, count(*) AS n FROM docs GROUP BY manifest_id)
+SELECT manifest_id, CASE WHEN created_at % 3 = 0 THEN 3 ELSE 1 END AS version, 'full' AS mode, CASE WHEN created_at % 3 = 0 THEN 'new' END AS tool, CAST(n AS INT) AS entry_count FROM d""", "man")
+oracle("s4_refused_documents", f"WITH {DOCS} SELECT 1 AS version, 'entry 0 cannot be read' AS reason, count(DISTINCT manifest_id) AS documents FROM docs", "man")
 oracle("s4_read_manifest_split", """SELECT 'r' AS root, CAST(7 AS BIGINT) AS created_at, row_number() OVER (ORDER BY m.seq) - 1 AS seq, path, op, original_sha256, original_size,
   CASE WHEN op = 'create' THEN '' ELSE 'p' || m.seq END AS payload, CAST(s.seq IS NOT NULL AS INT) AS strips FROM man m LEFT JOIN (SELECT DISTINCT seq FROM strips) s ON s.seq = m.seq""", "man", "strips")
 oracle("s5_write_report_json", f"""WITH {FOUND}, {EVID}, {_AUD}, re AS (SELECT *, CAST(row_number() OVER (PARTITION BY root_id, detector ORDER BY size_bytes DESC, path) AS INT) AS rank,
