@@ -51,6 +51,11 @@ def distinct_hashes(hashes: DataFrame) -> DataFrame:
     return hashes.where(F.col("ahash").isNotNull()).groupBy("ahash").agg(F.count(F.lit(1)).alias("images"))
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Rows that are joined by a shuffle.  The planner takes a filed value for one row, not for one a drawer, and would send all drawers through the driver."""
+    return rows.hint("merge")
+
+
 def _file(values: DataFrame, masks: list[int]) -> DataFrame:
     """One row per value and drawer: the mask and the value's bits under it."""
     mask = F.explode(F.array(*[F.lit(_signed(m)).cast("bigint") for m in masks])).alias("mask")
@@ -90,7 +95,7 @@ def _refile(filed: DataFrame, drawers: DataFrame, radius: int, agreeing: int) ->
         for chosen in combinations(range(radius + agreeing), agreeing)
     ])
     finer = banded.select("mask", "bits", spread.MASK, F.array_distinct(picks).alias("finer"))
-    members = spread.attach(filed, finer, ["mask", "bits"], ["ahash"])
+    members = spread.attach(filed, _shuffled(finer), ["mask", "bits"], ["ahash"])
     mask = F.explode_outer("finer").alias("mask")
     return (
         members.select("ahash", "images", mask)
@@ -107,7 +112,7 @@ def _pairs_in(filed: DataFrame, radius: int) -> DataFrame:
     right = filed.select("mask", "bits", F.col("ahash").alias("hash_b"), F.col("images").alias("images_b"))
     distance = _close(F.col("hash_a"), F.col("hash_b"))
     return (
-        left.join(right, ["mask", "bits"])
+        left.join(_shuffled(right), ["mask", "bits"])
         .where((F.col("hash_a") < F.col("hash_b")) & (distance <= radius))
         .select("hash_a", "hash_b", distance.cast("int").alias("distance"), "images_a", "images_b")
     )
@@ -117,7 +122,7 @@ def _pairs_in_blocks(filed: DataFrame, drawers: DataFrame, radius: int, block: i
     """Pairs of large drawers, block against block; every block pair is a join key of its own."""
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     sized = drawers.select("mask", "bits", spread.MASK, blocks.alias("blocks"))
-    members = spread.attach(filed, sized, ["mask", "bits"], ["ahash"]).withColumn(
+    members = spread.attach(filed, _shuffled(sized), ["mask", "bits"], ["ahash"]).withColumn(
         "own", F.pmod(F.xxhash64("ahash"), F.col("blocks")).cast("int")
     )
     keys = ["mask", "bits", "low", "high"]
@@ -133,7 +138,7 @@ def _pairs_in_blocks(filed: DataFrame, drawers: DataFrame, radius: int, block: i
     once = (F.col("low") < F.col("high")) | (F.col("x") < F.col("y"))
     ordered = F.col("x") < F.col("y")
     pick = lambda a, b: F.when(ordered, F.col(a)).otherwise(F.col(b))
-    return left.join(right, keys).where(once & distance.between(1, radius)).select(
+    return left.join(_shuffled(right), keys).where(once & distance.between(1, radius)).select(
         pick("x", "y").alias("hash_a"), pick("y", "x").alias("hash_b"), distance.cast("int").alias("distance"),
         pick("x_images", "y_images").alias("images_a"), pick("y_images", "x_images").alias("images_b"),
     )
@@ -156,7 +161,7 @@ def near_hash_pairs(
         if full.isEmpty():
             break
         keys = ["mask", "bits"]
-        found.append(_pairs_in(spread.attach(filed, full.select(*keys, spread.MASK), keys, ["ahash"], "left_anti"), radius))
+        found.append(_pairs_in(spread.attach(filed, _shuffled(full.select(*keys, spread.MASK)), keys, ["ahash"], "left_anti"), radius))
         full = full.dropDuplicates(["members"])
         dense = F.bit_count("differ") < REFILE_BITS if refiles < MAX_REFILES else F.lit(True)
         found.append(_pairs_in_blocks(filed, full.where(dense), radius, crowded))

@@ -31,7 +31,8 @@ def with_size(pixels: DataFrame) -> DataFrame:
     """Pixels with the width and height of their image; rows of one image stay spread out."""
     if {"w", "h"} <= set(pixels.columns):
         return pixels
-    return spread.attach(pixels, image_sizes(pixels), ["image_id"], ["y"])
+    # Joined by a shuffle: the planner counts an image's sizes once, not once per salt, and would send all of them through the driver.
+    return spread.attach(pixels, image_sizes(pixels).hint("merge"), ["image_id"], ["y"])
 
 
 def high_pass_energy(pixels: DataFrame, channels: Sequence[str] = COLOUR) -> DataFrame:
