@@ -30,7 +30,11 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+BATCH_BYTES = 8 << 20
+
+
 def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Like ``mapInArrow``, with the package at hand."""
+    """Like ``mapInArrow``, with the package at hand; batches end at ``BATCH_BYTES`` for the rest of the session, as rows may hold long arrays or texts."""
     ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(make, schema)

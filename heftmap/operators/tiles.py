@@ -23,6 +23,8 @@ from heftmap.operators.staging import stage
 from heftmap.operators.tasks import map_batches
 
 PLACE = ("image_id", "w", "h", "ty", "tx")
+#: Pixels that a task packs at once, and values of a channel in a batch that it gives out.
+PACK, GIVEN = 1 << 18, 1 << 18
 #: Values a summed-area table can be taken of, from r, g and b.
 MEASURES = {
     "luma": lambda r, g, b: (299 * r + 587 * g + 114 * b) // 1000,
@@ -36,16 +38,95 @@ def edge_of(extent: Column, at: Column) -> Column:
 
 
 def to_tiles(pixels: DataFrame, channels: Sequence[str] = COLOUR) -> DataFrame:
-    """Tiles of a pixel table whose images are complete; an image with a pixel missing or twice is an error."""
-    x, y = F.col("x"), F.col("y")
-    ty, tx = int_div(y, TILE).cast("int"), int_div(x, TILE).cast("int")
-    placed = raster.with_size(pixels).select(
-        "image_id", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), ty.alias("ty"), tx.alias("tx"),
-        F.struct((F.pmod(y, F.lit(TILE)) * TILE + F.pmod(x, F.lit(TILE))).cast("int").alias("at"), *[F.col(c).cast("smallint").alias(c) for c in channels]).alias("p"))
-    gathered = placed.groupBy(*PLACE).agg(F.sort_array(F.collect_list("p")).alias("p"), F.count_distinct("p.at").alias("n"))
-    whole = (F.size("p") == edge_of(F.col("w"), F.col("tx")) * edge_of(F.col("h"), F.col("ty"))) & (F.col("n") == F.size("p"))
-    complaint = F.raise_error(F.concat(F.lit("incomplete raster "), F.col("image_id").cast("string"))).cast("array<smallint>")
-    return gathered.select(*PLACE, *[F.when(whole, F.col("p")[c]).otherwise(complaint).alias(c) for c in channels])
+    """Tiles of a pixel table whose images are complete; an image with a pixel missing or twice is an error.
+
+    A task packs the pixels it reads into fragments of tiles, ``PACK`` pixels at a time, so that arrays are shuffled and not rows of pixels.
+    A row with the image's size comes before each tile's fragments.
+    """
+    given = {"w", "h"} <= set(pixels.columns)
+    w, h = (F.max("w"), F.max("h")) if given else (F.max("x") + 1, F.max("y") + 1)
+    one_size = (F.min("w") == F.max("w")) & (F.min("h") == F.max("h")) if given else F.lit(True)
+    sizes = pixels.where(F.col("image_id").isNotNull()).groupBy("image_id").agg(
+        w.cast("int").alias("w"), h.cast("int").alias("h"), F.count(F.lit(1)).alias("n"), one_size.alias("one_size"))
+    whole = (F.col("n") == F.col("w").cast("bigint") * F.col("h")) & F.col("one_size")
+    complaint = F.raise_error(F.concat(F.lit("incomplete raster "), F.col("image_id").cast("string"))).cast("array<int>")
+    places = lambda extent: F.sequence(F.lit(0), int_div(F.col(extent) - 1, TILE).cast("int"))
+    none = F.array().cast("array<smallint>")
+    heads = sizes.select("image_id", "w", "h", F.explode(F.when(whole, places("h")).otherwise(complaint)).alias("ty")).select(
+        "image_id", "ty", F.explode(places("w")).alias("tx"), "w", "h", none.alias("at"), *[none.alias(c) for c in channels])
+
+    placed = pixels.where(F.col("image_id").isNotNull()).select(
+        "image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), *[F.col(c).cast("smallint").alias(c) for c in channels])
+    id_type = placed.schema["image_id"].dataType.simpleString()
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        if any(table.column(k).null_count for k in range(1, table.num_columns)):
+            raise ValueError("incomplete raster: a pixel without a value")
+        ids = table.column(0).combine_chunks()
+        ids = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).dictionary_encode()
+        image = ids.indices.to_numpy()
+        x, y = (table.column(k).to_numpy() for k in (1, 2))
+        ty, tx = y // TILE, x // TILE
+        order = np.lexsort((tx, ty, image))
+        image, ty, tx = image[order], ty[order], tx[order]
+        starts = np.concatenate([[0], np.flatnonzero((np.diff(image) != 0) | (np.diff(ty) != 0) | (np.diff(tx) != 0)) + 1])
+        ends = pa.array(np.append(starts, len(order)), pa.int32())
+        lists = lambda values: pa.ListArray.from_arrays(ends, pa.array(values[order].astype(np.int16)))
+        nothing = pa.nulls(len(starts), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [ids.dictionary.take(pa.array(image[starts])), pa.array(ty[starts].astype(np.int32)), pa.array(tx[starts].astype(np.int32)), nothing, nothing,
+             lists(y % TILE * TILE + x % TILE), *(lists(table.column(3 + k).to_numpy()) for k in range(len(channels)))],
+            names=["image_id", "ty", "tx", "w", "h", "at", *channels])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= PACK:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+
+    arrays = ", ".join(f"`{c}` array<smallint>" for c in channels)
+    fragments = map_batches(placed, pack, f"image_id {id_type}, ty int, tx int, w int, h int, at array<smallint>, {arrays}")
+    met = heads.unionByName(fragments).repartition("image_id", "ty", "tx").sortWithinPartitions("image_id", "ty", "tx", F.asc_nulls_last("w"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, w, h, wide, tile, seen, n = None, 0, 0, 0, [], np.zeros(0, bool), 0
+        made = _Tiles(channels)
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if key is not None:
+                if n != len(seen) or not seen.all():
+                    raise ValueError(f"incomplete raster {key[0]}")
+                yield from made.add((key[0], w, h, *key[1:]), tile)
+
+        for batch in batches:
+            made.id_type = batch.schema.field(0).type
+            ats, held = _arrays(batch.column(5)), [_arrays(batch.column(6 + k)) for k in range(len(channels))]
+            for i, (place, width, height) in enumerate(zip(zip(*(batch.column(k).to_pylist() for k in range(3))), batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                if width is not None:
+                    yield from finish()
+                    key, w, h, n = place, width, height, 0
+                    wide, high = min(TILE, w - key[2] * TILE), min(TILE, h - key[1] * TILE)
+                    tile, seen = [np.zeros(wide * high, np.int16) for _ in channels], np.zeros(wide * high, bool)
+                    continue
+                ys, xs = np.divmod(ats[i].astype(np.int64), TILE)
+                if place != key or xs.max() >= wide or ys.max() * wide >= len(seen):
+                    raise ValueError(f"incomplete raster {place[0]}")
+                to = ys * wide + xs
+                seen[to] = True
+                n += len(to)
+                for c, values in enumerate(held):
+                    tile[c][to] = values[i]
+        yield from finish()
+        yield from made.rest()
+
+    return map_batches(met, join, f"image_id {id_type}, w int, h int, ty int, tx int, {arrays}")
 
 
 def from_tiles(tiles: DataFrame, channels: Sequence[str] = COLOUR) -> DataFrame:
@@ -69,6 +150,29 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(kind.to_pandas_dtype()), kind))
 
 
+class _Tiles:
+    """Collects finished tiles and gives them out as batches of about ``GIVEN`` values a channel."""
+
+    def __init__(self, channels: Sequence[str], keys: Sequence[str] = PLACE):
+        self.channels, self.keys, self.id_type, self.values = channels, keys, None, 0
+        self.places: list[tuple] = []
+        self.tiles: list[Sequence[np.ndarray]] = []
+
+    def add(self, place: tuple, tile: Sequence[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        self.places.append(place)
+        self.tiles.append(tile)
+        self.values += len(tile[0])
+        if self.values >= GIVEN:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.places:
+            ids, *numbers = zip(*self.places)
+            columns = [pa.array(ids, self.id_type), *(pa.array(v, pa.int32()) for v in numbers), *(_lists(list(v), pa.int16()) for v in zip(*self.tiles))]
+            self.places, self.tiles, self.values = [], [], 0
+            yield pa.RecordBatch.from_arrays(columns, names=[*self.keys, *self.channels])
+
+
 def _map_tiles(tiles: DataFrame, kernel: Callable, channels: Sequence[str], out: dict[str, str]) -> DataFrame:
     """``kernel(place, {channel: rows x columns})`` yields the values of ``out`` for any number of rows."""
     names = [*PLACE, *channels]
@@ -162,23 +266,29 @@ def codec_space_route(tiles: DataFrame) -> DataFrame:
 
 def _assembled(pieces: DataFrame, channels: Sequence[str], kernel: Callable, keys: Sequence[str] = PLACE) -> DataFrame:
     """Tiles made of the few pieces sent to their place: ``kernel(place, [(y, x, rows, columns, {channel: values})])`` gives the channels."""
-    gathered = pieces.groupBy(*keys).agg(F.collect_list(F.struct("y", "x", "rows", "cols", *channels)).alias("pieces"))
+    gathered = pieces.select(*keys, "y", "x", "rows", "cols", *channels).repartition(*keys).sortWithinPartitions(*keys)
     id_type = pieces.schema["image_id"].dataType.simpleString()
+    count = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, parts, made = None, [], _Tiles(channels, keys)
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if parts:
+                tile = kernel(place, parts)
+                yield from made.add(place, [tile[c].ravel() for c in channels])
+
         for batch in batches:
-            lists = batch.column(len(keys))
-            flat = lists.flatten()
-            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            at = [flat.field(k).to_numpy() for k in range(4)]
-            held = [_arrays(flat.field(4 + k)) for k in range(len(channels))]
-            out: list[list[np.ndarray]] = [[] for _ in channels]
-            for i, place in enumerate(zip(*(batch.column(k).to_pylist() for k in range(len(keys))))):
-                parts = [(*(int(a[j]) for a in at), {c: held[k][j] for k, c in enumerate(channels)}) for j in range(bounds[i], bounds[i + 1])]
-                made = kernel(place, parts)
-                for k, c in enumerate(channels):
-                    out[k].append(made[c].ravel())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), *(_lists(o, pa.int16()) for o in out)], names=[*keys, *channels])
+            made.id_type = batch.schema.field(0).type
+            at = [batch.column(count + k).to_pylist() for k in range(4)]
+            held = [_arrays(batch.column(count + 4 + k)) for k in range(len(channels))]
+            for i, own in enumerate(zip(*(batch.column(k).to_pylist() for k in range(count)))):
+                if own != place:
+                    yield from finish()
+                    place, parts = own, []
+                parts.append((*(a[i] for a in at), {c: held[k][i] for k, c in enumerate(channels)}))
+        yield from finish()
+        yield from made.rest()
 
     schema = ", ".join([f"image_id {id_type}", *(f"`{k}` int" for k in keys[1:]), *(f"`{c}` array<smallint>" for c in channels)])
     return map_batches(gathered, run, schema)

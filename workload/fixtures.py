@@ -168,7 +168,7 @@ _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _in_parallel(df: DataFrame) -> DataFrame:
-    """Tables of fewer files than cores are dealt out, or one task would do all later scans."""
+    """Tables of fewer files than cores are dealt out before anything is derived from them, or one task would do that and all later scans."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
@@ -181,12 +181,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if key in _stored:
         return _stored[key]
     text = _VIEWS[name][0]
-    frames = {n: view(spark, sf_dir, n) for n in _needs(text)}
+    deal = _in_parallel if name in _STORED else (lambda df: df)
+    frames = {n: deal(view(spark, sf_dir, n)) for n in _needs(text)}
     for token, value in _SHA_SPARK.items():
         text = text.replace("{" + token + "}", value)
     derived = spark.sql(text, **frames)
     if name in _STORED:
-        derived = _stored[key] = keep(stage(_in_parallel(derived), name))
+        derived = _stored[key] = keep(stage(derived, name))
     return derived
 
 
