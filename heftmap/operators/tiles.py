@@ -536,13 +536,42 @@ def patch_variances(areas: DataFrame, patches: Sequence[int]) -> DataFrame:
 
 
 def average_hash(weighted_areas: DataFrame) -> DataFrame:
-    """As ``raster.average_hash``, of the summed areas of ``weighted``: the 64 cells of an image are 64 boxes, whatever its size."""
-    sizes = weighted_areas.where("ty = 0 AND tx = 0").select("image_id", "w", "h")
-    grid = sizes.select("image_id", "w", "h", F.explode(F.sequence(F.lit(0), F.lit(HASH_EDGE * HASH_EDGE - 1))).alias("box"))
-    cy, cx = int_div(F.col("box"), HASH_EDGE), F.pmod("box", F.lit(HASH_EDGE))
-    first = lambda i, extent: int_div(i * F.col(extent), HASH_EDGE)
-    past = lambda i, extent: F.least(F.greatest(int_div((i + 1) * F.col(extent), HASH_EDGE), first(i, extent) + 1), F.col(extent))
-    boxes = grid.select("image_id", "box", first(cx, "w").alias("x0"), first(cy, "h").alias("y0"), past(cx, "w").alias("x1"), past(cy, "h").alias("y1"))
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    met = box_sums(weighted_areas, boxes).join(boxes.select("image_id", "box", area.alias("n")), ["image_id", "box"])
-    return raster.hash_of_means(met.select("image_id", F.col("box").alias("cell"), (F.col("total") / (F.col("n") * 1000)).alias("mean")))
+    """As ``raster.average_hash``, of the summed areas of ``weighted``: the 64 cells of an image are 64 boxes, whatever its size.
+
+    A tile sends, per box, the signed sums of those of its corners that lie in the tile; the tables themselves stay where they are.
+    """
+    id_type = weighted_areas.schema["image_id"].dataType.simpleString()
+
+    def spans(extent: int) -> tuple[np.ndarray, np.ndarray]:
+        cells = np.arange(HASH_EDGE)
+        first = cells * extent // HASH_EDGE
+        return first, np.minimum(np.maximum((cells + 1) * extent // HASH_EDGE, first + 1), extent)
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            places = zip(*(batch.column(k).to_pylist() for k in range(1, len(PLACE))))
+            for i, ((w, h, ty, tx), sums) in enumerate(zip(places, _arrays(batch.column(len(PLACE))))):
+                shape = min(TILE, h - ty * TILE), min(TILE, w - tx * TILE)
+                sums = sums.reshape(shape)
+                (y0, y1), (x0, x1) = spans(h), spans(w)
+                total = np.zeros((HASH_EDGE, HASH_EDGE), np.int64)
+                hit = np.zeros((HASH_EDGE, HASH_EDGE), bool)
+                for y, x, sign in ((y1, x1, 1), (y0, x1, -1), (y1, x0, -1), (y0, x0, 1)):
+                    iy, ix = y - 1 - ty * TILE, x - 1 - tx * TILE
+                    # A corner above or left of the image counts nothing.
+                    cy, cx = np.flatnonzero((y > 0) & (iy >= 0) & (iy < shape[0])), np.flatnonzero((x > 0) & (ix >= 0) & (ix < shape[1]))
+                    total[np.ix_(cy, cx)] += sign * sums[np.ix_(iy[cy], ix[cx])]
+                    hit[np.ix_(cy, cx)] = True
+                box = np.flatnonzero(hit)
+                area = np.outer(y1 - y0, x1 - x0).ravel()
+                for column, values in zip(out, (np.full(len(box), i), box, area[box], total.ravel()[box])):
+                    column.append(values)
+            flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(flat[0], pa.int64())), pa.array(flat[1], pa.int32()), pa.array(flat[2], pa.int64()), pa.array(flat[3], pa.int64())],
+                names=["image_id", "cell", "n", "v"])
+
+    parts = map_batches(weighted_areas.select(*PLACE, "sums"), corners, f"image_id {id_type}, cell int, n bigint, v bigint")
+    means = parts.groupBy("image_id", "cell").agg((F.sum("v") / (F.max("n") * 1000)).alias("mean"))
+    return raster.hash_of_means(means)

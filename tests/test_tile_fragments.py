@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from heftmap.operators import raster as R
 from heftmap.operators import tiles as TI
+from heftmap.operators.staging import stage
 
 SIZES = {"a": (130, 70), "b": (64, 129), "c": (1, 1)}
 
@@ -47,3 +49,12 @@ def test_pixels_are_not_shuffled_one_by_one(spark, pixels):
     plan = tiles._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
+def test_hash_sends_corners_and_joins_no_tables(pixels):
+    areas = stage(TI.summed_area(TI.to_tiles(pixels), "weighted"), "areas")
+    hashes = TI.average_hash(areas)
+    got = {r.image_id: r.ahash for r in hashes.collect()}
+    assert got == {r.image_id: r.ahash for r in R.average_hash(pixels).collect()}
+    plan = hashes._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
