@@ -1082,8 +1082,7 @@ def s4_read_manifest_split(spark, sf_dir):
     entries = _manifest_entries(spark, sf_dir)
     lines = entries.select("seq", F.concat(F.when(F.col("seq") == F.lit(entries.agg(F.min("seq")).first()[0]), "").otherwise(","), F.to_json(F.struct("entry.*"))).alias("line"))
     ends = spark.createDataFrame([(-1, '{"version": 1, "created_at": 7, "root": "r", "notes": [{"a": "]}"}], "mode": "full", "entries": ['), (1 << 60, "]}")], "seq long, line string")
-    path = fresh_path(spark, "one-manifest")
-    lines.unionByName(ends).coalesce(1).sortWithinPartitions("seq").select("line").write.text(path)
+    path = fixtures.one_text_file(lines.unionByName(ends), "seq")
     limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 10))
     try:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heftmap.operators.staging import fresh_path, keep, stage
+from heftmap.operators.staging import discard, fresh_path, keep, stage
 
 TABLES = ("orders", "lineitem", "part", "events", "documents", "embeddings")
 
@@ -211,6 +211,34 @@ def folder_tree(textures: DataFrame) -> str:
     return base
 
 
+def one_text_file(lines: DataFrame, order: str) -> str:
+    """A folder in the shared place with one file of the column ``line`` in the given order; returns its path.
+
+    Many tasks sort and write a range each; one task then appends these, so none sorts or holds the whole.
+    """
+    spark = lines.sparkSession
+    parts, folder = fresh_path(spark, "text-parts"), fresh_path(spark, "one-text")
+    lines.orderBy(order).select("line").write.text(parts)
+    source, target = parts.removeprefix("file://"), folder.removeprefix("file://")
+
+    def append(batches):
+        import os
+        import shutil
+
+        for batch in batches:
+            if len(batch):
+                os.makedirs(target, exist_ok=True)
+                with open(f"{target}/whole.txt", "wb") as out:
+                    for name in sorted(n for n in os.listdir(source) if n.startswith("part-")):
+                        with open(f"{source}/{name}", "rb") as part:
+                            shutil.copyfileobj(part, out, 1 << 20)
+            yield batch
+
+    spark.range(1).coalesce(1).mapInPandas(append, "id long").count()
+    discard(spark, parts)
+    return folder
+
+
 def duck_views(*names: str) -> str:
     """``WITH`` list that defines the named views and all they read."""
     order: list[str] = []
