@@ -28,8 +28,13 @@ def _given(of: Column, name: str) -> Column:
 
 
 def _wrong(of: Column, name: str, kind: T.DataType | str) -> Column:
-    """There, but not of its kind."""
-    return _given(of, name) & _take(of, name, kind).isNull()
+    """There, but not of its kind.  Most fields can be taken, which settles it in one look."""
+    return _take(of, name, kind).isNull() & _given(of, name)
+
+
+def _once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row.  A filter on a plain column moves below it, and there every mention is computed again."""
+    return rows.select("*", F.inline_outer(F.array(F.struct(*columns))))
 
 
 def read_documents(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
@@ -38,8 +43,8 @@ def read_documents(spark: SparkSession, path: str, one_per_line: bool = False) -
     Refused are texts that are no JSON object, versions below 1 or not whole numbers, known fields of another kind, and entries without
     a path.  Later versions are read like the known one.  ``entries`` holds the known fields and, in ``fields``, the whole entry.
     """
-    raw = spark.read.text(path, wholetext=not one_per_line).select(
-        F.col("_metadata.file_path").alias("file"), F.try_parse_json(F.col("value")).alias("document"))
+    texts = spark.read.text(path, wholetext=not one_per_line).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = _once(texts, F.try_parse_json(F.col("value")).alias("document")).drop("value")
     doc = F.col("document")
     is_object = F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False))
     listed = _take(doc, "entries", "array<variant>")
@@ -56,9 +61,9 @@ def read_documents(spark: SparkSession, path: str, one_per_line: bool = False) -
         .when(_wrong(doc, "created_at", "bigint") | _wrong(doc, "root", "string") | _wrong(doc, "mode", "string"), "a field is of another kind")
         .when(_wrong(doc, "entries", "array<variant>"), "entries are no list")
         .when(first_bad > 0, F.concat(F.lit("entry "), (first_bad - 1).cast("string"), F.lit(" cannot be read"))))
-    known = raw.select(
+    known = _once(raw, reason.alias("reason")).select(
         "file", version.alias("version"), _take(doc, "created_at", "bigint").alias("created_at"), _take(doc, "root", "string").alias("root"),
-        F.coalesce(_take(doc, "mode", "string"), F.lit("full")).alias("mode"), F.transform(entries, entry).alias("entries"), doc.alias("document"), reason.alias("reason"))
+        F.coalesce(_take(doc, "mode", "string"), F.lit("full")).alias("mode"), F.transform(entries, entry).alias("entries"), doc.alias("document"), "reason")
     return known.withColumn("manifest_id", F.concat_ws("#", "file", "root", "created_at"))
 
 
