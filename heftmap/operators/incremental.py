@@ -33,9 +33,14 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
     A file whose size, hash or access changed is taken away and added; equal rows of both do not appear, however often they repeat.
     """
-    signed = lambda files, sign: files.select(*FILES.names, F.lit(sign).cast("bigint").alias(TIMES))
+    # Hashes are most of what is shuffled: lower-case hex digits go as the bytes they stand for, any other text as it is.
+    text = F.col("content_sha256")
+    digits = F.coalesce(F.lower(F.hex(F.unhex(text))) == text, F.lit(False))
+    packed = {"content_sha256": F.when(~digits, text), "_bytes": F.when(digits, F.unhex(text))}
+    signed = lambda files, sign: files.select(*FILES.names, F.lit(sign).cast("bigint").alias(TIMES)).withColumns(packed)
     both = signed(before, -1).unionByName(signed(after, 1))
-    return both.groupBy(*FILES.names).agg(F.sum(TIMES).alias(TIMES)).where(F.col(TIMES) != 0)
+    changed = both.groupBy(*FILES.names, "_bytes").agg(F.sum(TIMES).alias(TIMES)).where(F.col(TIMES) != 0)
+    return changed.withColumn("content_sha256", F.coalesce("content_sha256", F.lower(F.hex("_bytes")))).select(*FILES.names, TIMES)
 
 
 @dataclass(frozen=True)

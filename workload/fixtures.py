@@ -163,7 +163,7 @@ def _needs(text: str) -> list[str]:
 
 # Views that stand for stored tables of an installation; derived once per session and kept
 # as Parquet in the shared folder, so queries scan columns instead of re-deriving them.
-_STORED = ("files", "after_files", "moved_files", "tree", "ent", "inv", "ras")
+_STORED = ("files", "tree", "ent", "ras")
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
