@@ -3,7 +3,9 @@
 Two sets whose similarity is at least ``SIMILARITY`` share one of the first ``n - ceil(SIMILARITY * n) + 1`` members of each in any
 common order (prefix filtering), so documents are filed under those only.  The order puts shingles that are frequent in a sample of
 the documents last, which keeps common passages out of the prefixes; it only balances work, results do not depend on it.  Most keys are
-in one document only: once- and twice-seen Bloom filters over all of them leave those out before anything is filed.  Under
+in one document only: once- and twice-seen Bloom filters over all of them leave those out before anything is filed.  Before that,
+the trie self-join of ``simhash`` links fingerprints of at most three differing bits, and these pairs are compared first: a large group of near copies
+is mostly one component before a prefix is looked at.  Fingerprints miss similar pairs that differ in more bits, which the prefixes find.  Under
 every key each document is first compared with the smallest one and with its neighbour, the most promising first and in two rounds;
 then all documents that share a key and are still in different components are, where the smaller set needs only its even shorter index prefix.  So no pair is
 left out, and a large group of near copies needs no square of pairs.
@@ -21,10 +23,12 @@ from functools import partial, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from heftmap.llm import simhash
 from heftmap.llm.common import map_rows
 from heftmap.llm.linededup import Bits, repeat_filter
 from heftmap.llm.simhash import SEED, components
@@ -88,14 +92,13 @@ def _may_overlap(a: bytes | None, b: bytes | None, sizes: int) -> bool:
     return (OF + OVER) * shared >= OVER * sizes
 
 
-def _prefixes(rows: DataFrame) -> DataFrame:
-    """(id, node, size, bins, keys): a document's set of shingles as its hash, the set's size and bins and its first members in the common order."""
-    shared = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
+def _prefixes(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """(id, node, print, size, bins, keys): a document's set of shingles as its hash, its fingerprint, the set's size and bins and its first members in the common order."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
         for batch in batches:
-            nodes, sizes, bins, keys = [], [], [], []
+            nodes, prints, sizes, bins, keys = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text)
                 n = len(found)
@@ -105,27 +108,41 @@ def _prefixes(rows: DataFrame) -> DataFrame:
                     rank = np.where(known[at] == found, counts[at], 0)
                 first = found[np.argsort(rank, kind="stable")][:n + (-OVER * n) // OF + 1]
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), seed=SEED))
+                prints.append(simhash.fingerprint(text))
                 sizes.append(n)
                 bins.append(_bins(found))
                 keys.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()),
-                pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "size", "bins", "keys"])
+                batch.column(0), *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in (nodes, prints)), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()),
+                pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "print", "size", "bins", "keys"])
 
-    return map_rows(rows, take, f"id {rows.schema[0].dataType.simpleString()}, node bigint, size int, bins binary, keys array<bigint>")
+    return map_rows(rows, take, f"id {rows.schema[0].dataType.simpleString()}, node bigint, print bigint, size int, bins binary, keys array<bigint>")
 
 
-def _filed(distinct: DataFrame) -> DataFrame:
-    """(key, at, node, size) of the prefix members that may be in another prefix as well."""
-    keys_of = lambda batch: batch.column(2).flatten().to_numpy().view(np.uint64)
-    rows = distinct.select("node", "size", "keys")
-    twice = distinct.sparkSession.sparkContext.broadcast(repeat_filter(rows, KEY_BITS, keys_of))
+def _by_prints(distinct: DataFrame) -> DataFrame:
+    """(a, b, sizes): the sets of one fingerprint with their smallest, and the smallest ones of fingerprints that the tries link, where the sizes allow similarity."""
+    own = distinct.select("print", F.struct("size", "node").alias("x"))
+    least = stage(own.groupBy("print").agg(F.min("x").alias("x")), "prints")
+    alike = own.withColumnRenamed("x", "y").join(least, "print").where("x <> y").select("x", "y")
+    ends = lambda print_, name: least.select(F.col("print").alias(print_), F.col("x").alias(name))
+    linked = simhash.links(least.select("print")).join(ends("a", "x"), "a").join(ends("b", "y"), "b").select("x", "y")
+    small, large = F.least("x", "y"), F.greatest("x", "y")
+    return alike.unionByName(linked).select(small.alias("x"), large.alias("y")).where(OF * F.col("x.size") >= OVER * F.col("y.size")).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), (F.col("x.size") + F.col("y.size")).alias("sizes"))
+
+
+def _keys_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(2).flatten().to_numpy().view(np.uint64)
+
+
+def _filed(rows: DataFrame, twice: Broadcast) -> DataFrame:
+    """(key, at, node, size) of the prefix members of ``rows`` (node, size, keys) that may be in another prefix as well."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Bits(KEY_BITS, twice.value)
         for batch in batches:
             lists = batch.column(2)
-            flat, bounds = keys_of(batch), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat, bounds = _keys_of(batch), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             row = np.repeat(np.arange(len(lists)), np.diff(bounds))
             chosen = np.flatnonzero(known.has(flat))
             row, at = row[chosen], chosen - bounds[row[chosen]]
@@ -157,11 +174,14 @@ def _overlapping(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return map_rows(met, check, "a bigint, b bigint")
 
 
-def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the wanted (node, id); a Bloom filter of their ids keeps the texts of most others from being shuffled."""
-    hashed = wanted.select(F.xxhash64("id").alias("h"))
+def _ids(wanted: DataFrame) -> np.ndarray:
+    """Bits of a filter of the ids."""
     doubled = lambda batch: np.repeat(batch.column(0).to_numpy().view(np.uint64), 2)
-    known = rows.sparkSession.sparkContext.broadcast(repeat_filter(hashed, ID_BITS, doubled))
+    return repeat_filter(wanted.select(F.xxhash64("id").alias("h")), ID_BITS, doubled)
+
+
+def _texts_of(rows: DataFrame, wanted: DataFrame, known: Broadcast) -> DataFrame:
+    """(node, text) of the wanted (node, id); the filter ``known`` of their ids keeps the texts of most others from being shuffled."""
     id_type = rows.schema["id"].dataType.simpleString()
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,22 +221,30 @@ def near_copies(docs: DataFrame, id_column: str, text: str = "text") -> DataFram
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("_text"))
-    whole = stage(_prefixes(rows), "prefixes")
-    distinct = stage(whole.groupBy("node").agg(F.min("id").alias("first"), F.max(F.struct("size", "bins", "keys")).alias("v")).select("node", "first", "v.*"), "sets")
+    # Broadcasts are destroyed once what needs them is written, so that executors do not hold those of earlier steps.
+    frequent = spark.sparkContext.broadcast(_frequent(rows))
+    whole = stage(_prefixes(rows, frequent), "prefixes")
+    frequent.destroy()
+    distinct = stage(whole.groupBy("node").agg(F.min("id").alias("first"), F.max(F.struct("size", "print", "bins", "keys")).alias("v")).select("node", "first", "v.*"), "sets")
     held = stage(whole.select("id", "node"), "nodes")
     discard(spark, whole)
     # Sets of one size are told apart by their hash, so of every pair one is the smaller.
     by_size = Window.partitionBy("key").orderBy("size", "node")
     mine_names = ("node", "size", "at")
     mine = F.struct(*mine_names)
-    shared = stage(_filed(distinct).select("key", "at", "node", "size", F.lag("node").over(by_size).alias("before"), F.lead("node").over(by_size).alias("after"))
+    keyed = distinct.select("node", "size", "keys")
+    twice = spark.sparkContext.broadcast(repeat_filter(keyed, KEY_BITS, _keys_of))
+    shared = stage(_filed(keyed, twice).select("key", "at", "node", "size", F.lag("node").over(by_size).alias("before"), F.lead("node").over(by_size).alias("after"))
                    .where(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("before", "after"), "shared")
+    twice.destroy()
 
     def verify(candidates: DataFrame) -> DataFrame:
         likely = stage(_overlapping(candidates, distinct), "pairs")
         wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", F.col("first").alias("id")), "node")
         wanted = stage(wanted, "wanted")
-        texts = stage(_texts_of(rows, wanted), "texts")
+        known = spark.sparkContext.broadcast(_ids(wanted))
+        texts = stage(_texts_of(rows, wanted, known), "texts")
+        known.destroy()
         links = stage(_verified(likely, texts), "links")
         discard(spark, likely, wanted, texts)
         return links
@@ -237,18 +265,18 @@ def near_copies(docs: DataFrame, id_column: str, text: str = "text") -> DataFram
         order = Window.partitionBy("b").orderBy(F.desc(F.col("overlap") / F.col("sizes")), "a")
         return best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TRIES).drop("nth", "overlap")
 
-    nodes = spark.createDataFrame([], "node bigint, root bigint")
-    links = tried = None
+    tried = stage(_by_prints(distinct), "tries")
+    links = verify(tried)
+    nodes = stage(components(links), "components")
     for _ in range(ROUNDS):
         open_ = stage(apart(nodes), "apart")
-        tries = first_tries(open_)
-        tries = stage(tries if tried is None else tries.join(tried, ["a", "b"], "left_anti"), "tries")
+        tries = stage(first_tries(open_).join(tried, ["a", "b"], "left_anti"), "tries")
         discard(spark, open_)
-        tried = tries if tried is None else stage(tried.unionByName(tries), "tries")
+        tried = stage(tried.unionByName(tries), "tries")
         new = verify(tries)
-        if links is not None and new.isEmpty():
+        if new.isEmpty():
             break
-        links = new if links is None else stage(links.unionByName(new), "links")
+        links = stage(links.unionByName(new), "links")
         nodes = stage(components(links), "components")
     rest_rows = stage(apart(nodes), "apart")
     # Of the smaller set the first n - ceil(2 s / (1 + s) n) + 1 members will do.

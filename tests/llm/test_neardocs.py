@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline as P
-from heftmap.llm import neardocs
+from heftmap.llm import neardocs, simhash
 
 
 def shingle_set(text):
@@ -83,3 +83,26 @@ def test_bounds_refuse_no_similar_pair():
         refused += not may
     assert refused > 50 and neardocs._may_overlap(None, b"", 10)
     assert neardocs._bins(np.arange(300, dtype=np.uint64)) is None
+
+
+def test_tries_of_fingerprints_come_first(spark, make, monkeypatch):
+    """Long copies with one changed word differ in few bits: the tries find most pairs, the prefixes the rest, and every pair is compared."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(300)]
+    texts = {i: list(passage) for i in range(60)}
+    for t in texts.values():
+        t[rng.randrange(300)] = word()
+    texts |= {100 + i: [word() for _ in range(40)] for i in range(20)}
+    texts |= {200 + i: [*t, word()] for i, t in enumerate(list(texts.values())[60:])}  # similar, but far apart in bits
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    tried, made = [], []
+    by_prints, whole = neardocs._by_prints, neardocs._overlapping
+    monkeypatch.setattr(neardocs, "_by_prints", lambda distinct: tried.append(by_prints(distinct)) or tried[0])
+    monkeypatch.setattr(neardocs, "_overlapping", lambda pairs, distinct: made.append(pairs.count()) or whole(pairs, distinct))
+    got = {r.doc_id: r.component_id for r in neardocs.near_copies(make(list(texts.items())), "doc_id").collect()}
+    assert got == components(texts)
+    pairs = tried[0].collect()
+    assert len(pairs) == made[0] >= 30 and sum(made) < 300
+    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    assert any((prints[100 + i] ^ prints[200 + i]).bit_count() > 3 for i in range(20))
