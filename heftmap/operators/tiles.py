@@ -40,7 +40,7 @@ def edge_of(extent: Column, at: Column) -> Column:
 def to_tiles(pixels: DataFrame, channels: Sequence[str] = COLOUR) -> DataFrame:
     """Tiles of a pixel table whose images are complete; an image with a pixel missing or twice is an error.
 
-    A task packs the pixels it reads into fragments of tiles, ``PACK`` pixels at a time, so that arrays are shuffled and not rows of pixels.
+    A task packs the pixels it reads into fragments of tiles, ``PACK`` pixels at a time, so that compressed bytes are shuffled and not rows of pixels.
     A row with the image's size comes before each tile's fragments.
     """
     given = {"w", "h"} <= set(pixels.columns)
@@ -51,9 +51,8 @@ def to_tiles(pixels: DataFrame, channels: Sequence[str] = COLOUR) -> DataFrame:
     whole = (F.col("n") == F.col("w").cast("bigint") * F.col("h")) & F.col("one_size")
     complaint = F.raise_error(F.concat(F.lit("incomplete raster "), F.col("image_id").cast("string"))).cast("array<int>")
     places = lambda extent: F.sequence(F.lit(0), int_div(F.col(extent) - 1, TILE).cast("int"))
-    none = F.array().cast("array<smallint>")
     heads = sizes.select("image_id", "w", "h", F.explode(F.when(whole, places("h")).otherwise(complaint)).alias("ty")).select(
-        "image_id", "ty", F.explode(places("w")).alias("tx"), "w", "h", none.alias("at"), *[none.alias(c) for c in channels])
+        "image_id", "ty", F.explode(places("w")).alias("tx"), "w", "h", F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("cells"))
 
     placed = pixels.where(F.col("image_id").isNotNull()).select(
         "image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), *[F.col(c).cast("smallint").alias(c) for c in channels])
@@ -68,16 +67,18 @@ def to_tiles(pixels: DataFrame, channels: Sequence[str] = COLOUR) -> DataFrame:
         image = ids.indices.to_numpy()
         x, y = (table.column(k).to_numpy() for k in (1, 2))
         ty, tx = y // TILE, x // TILE
-        order = np.lexsort((tx, ty, image))
+        order = np.lexsort((x, y, tx, ty, image))
         image, ty, tx = image[order], ty[order], tx[order]
         starts = np.concatenate([[0], np.flatnonzero((np.diff(image) != 0) | (np.diff(ty) != 0) | (np.diff(tx) != 0)) + 1])
-        ends = pa.array(np.append(starts, len(order)), pa.int32())
-        lists = lambda values: pa.ListArray.from_arrays(ends, pa.array(values[order].astype(np.int16)))
+        ends = np.append(starts[1:], len(order))
+        cells = np.stack([y % TILE * TILE + x % TILE, *(table.column(3 + k).to_numpy() for k in range(len(channels)))]).astype(np.int16)[:, order]
+        cells[0, 1:] = np.diff(cells[0])  # places in order are mostly 1 apart
+        cells[0, starts] = (y % TILE * TILE + x % TILE)[order][starts]
         nothing = pa.nulls(len(starts), pa.int32())
         return pa.RecordBatch.from_arrays(
             [ids.dictionary.take(pa.array(image[starts])), pa.array(ty[starts].astype(np.int32)), pa.array(tx[starts].astype(np.int32)), nothing, nothing,
-             lists(y % TILE * TILE + x % TILE), *(lists(table.column(3 + k).to_numpy()) for k in range(len(channels)))],
-            names=["image_id", "ty", "tx", "w", "h", "at", *channels])
+             pa.array((ends - starts).astype(np.int32)), pa.array([_shut(cells[:, a:b]) for a, b in zip(starts, ends)], pa.binary())],
+            names=["image_id", "ty", "tx", "w", "h", "n", "cells"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -92,7 +93,7 @@ def to_tiles(pixels: DataFrame, channels: Sequence[str] = COLOUR) -> DataFrame:
             yield packed(held)
 
     arrays = ", ".join(f"`{c}` array<smallint>" for c in channels)
-    fragments = map_batches(placed, pack, f"image_id {id_type}, ty int, tx int, w int, h int, at array<smallint>, {arrays}")
+    fragments = map_batches(placed, pack, f"image_id {id_type}, ty int, tx int, w int, h int, n int, cells binary")
     met = heads.unionByName(fragments).repartition("image_id", "ty", "tx").sortWithinPartitions("image_id", "ty", "tx", F.asc_nulls_last("w"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,22 +108,22 @@ def to_tiles(pixels: DataFrame, channels: Sequence[str] = COLOUR) -> DataFrame:
 
         for batch in batches:
             made.id_type = batch.schema.field(0).type
-            ats, held = _arrays(batch.column(5)), [_arrays(batch.column(6 + k)) for k in range(len(channels))]
-            for i, (place, width, height) in enumerate(zip(zip(*(batch.column(k).to_pylist() for k in range(3))), batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+            for place, width, height, many, cells in zip(zip(*(batch.column(k).to_pylist() for k in range(3))), *(batch.column(k).to_pylist() for k in range(3, 7))):
                 if width is not None:
                     yield from finish()
                     key, w, h, n = place, width, height, 0
                     wide, high = min(TILE, w - key[2] * TILE), min(TILE, h - key[1] * TILE)
                     tile, seen = [np.zeros(wide * high, np.int16) for _ in channels], np.zeros(wide * high, bool)
                     continue
-                ys, xs = np.divmod(ats[i].astype(np.int64), TILE)
+                at, *held = _opened(cells, many, 1 + len(channels))
+                ys, xs = np.divmod(np.cumsum(at, dtype=np.int64), TILE)
                 if place != key or xs.max() >= wide or ys.max() * wide >= len(seen):
                     raise ValueError(f"incomplete raster {place[0]}")
                 to = ys * wide + xs
                 seen[to] = True
                 n += len(to)
                 for c, values in enumerate(held):
-                    tile[c][to] = values[i]
+                    tile[c][to] = values
         yield from finish()
         yield from made.rest()
 
@@ -138,6 +139,17 @@ def from_tiles(tiles: DataFrame, channels: Sequence[str] = COLOUR) -> DataFrame:
         *[F.col(f"p.{c}").cast("int").alias(c) for c in channels])
 
 
+def _shut(cells: np.ndarray) -> bytes:
+    """Rows of SMALLINT, compressed, the low bytes before the high bytes."""
+    stored = np.ascontiguousarray(cells, np.int16)
+    return pa.compress(np.ascontiguousarray(stored.view(np.uint8).reshape(*stored.shape, 2).transpose(2, 0, 1)).tobytes(), "zstd", asbytes=True)
+
+
+def _opened(shut: bytes, n: int, rows: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(shut, 2 * rows * n, "zstd", asbytes=True), np.uint8).reshape(2, rows, n)
+    return np.ascontiguousarray(planes.transpose(1, 2, 0)).view(np.int16)[..., 0]
+
+
 def _arrays(column: pa.Array) -> list[np.ndarray]:
     offsets = column.offsets.to_numpy()
     values = column.values.to_numpy(zero_copy_only=False)
@@ -176,7 +188,7 @@ class _Tiles:
 def _map_tiles(tiles: DataFrame, kernel: Callable, channels: Sequence[str], out: dict[str, str]) -> DataFrame:
     """``kernel(place, {channel: rows x columns})`` yields the values of ``out`` for any number of rows."""
     names = [*PLACE, *channels]
-    arrow = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "array<smallint>": pa.list_(pa.int16()), "array<bigint>": pa.list_(pa.int64())}
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<smallint>": pa.list_(pa.int16()), "array<bigint>": pa.list_(pa.int64())}
     id_type = tiles.schema["image_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,36 +234,88 @@ def with_borders(tiles: DataFrame, channels: Sequence[str] = COLOUR) -> DataFram
 
 def high_pass_energy(tiles: DataFrame, channels: Sequence[str] = COLOUR) -> DataFrame:
     """As ``raster.high_pass_energy``: mean absolute difference between a pixel and its four neighbours, 0 for images below 3 x 3."""
-    sides = ("up", "below", "left", "right")
-    names = [*channels, *(f"{c}_{s}" for s in sides for c in channels)]
-    met = with_borders(tiles, channels)
-    filled = met.select(*PLACE, *[F.coalesce(c, F.array().cast("array<smallint>")).alias(c) for c in names])
-    count = len(PLACE)
+    id_type = tiles.schema["image_id"].dataType.simpleString()
+    empty = np.zeros((len(channels), 0), np.int16)
+
+    def facing(w: int, h: int, ty: int, tx: int) -> dict[str, bool]:
+        return {"up": ty > 0, "below": (ty + 1) * TILE < h, "left": tx > 0, "right": (tx + 1) * TILE < w}
+
+    def gaps(around: np.ndarray, chosen: np.ndarray) -> int:
+        """Sum over the chosen of the tile's pixels; ``around`` has a border of one."""
+        mean = (around[:, :-2, 1:-1] + around[:, 2:, 1:-1] + around[:, 1:-1, :-2] + around[:, 1:-1, 2:]) // 4
+        return int(np.abs(around[:, 1:-1, 1:-1] - mean)[:, chosen].sum())
+
+    def within(w: int, h: int, ty: int, tx: int) -> tuple[np.ndarray, np.ndarray]:
+        """Inner pixels of the image in a tile, and which of them have a neighbour in another tile."""
+        ys, xs = np.arange(ty * TILE, min(h, (ty + 1) * TILE)), np.arange(tx * TILE, min(w, (tx + 1) * TILE))
+        inner = ((ys > 0) & (ys < h - 1))[:, None] & ((xs > 0) & (xs < w - 1))
+        edge = np.zeros_like(inner)
+        for side, at in (("up", np.s_[0]), ("below", np.s_[-1]), ("left", np.s_[:, 0]), ("right", np.s_[:, -1])):
+            edge[at] |= facing(w, h, ty, tx)[side]
+        return inner, inner & edge
+
+    def send(place, held):
+        """The sum over pixels whose neighbours are in the tile, with the two outer lines of every side that faces a tile; and a line to each of those tiles."""
+        _, w, h, ty, tx = place
+        cells = np.stack([held[c] for c in channels])
+        inner, edge = within(*place[1:])
+        total = gaps(np.pad(cells, ((0, 0), (1, 1), (1, 1))), inner & ~edge)
+        faces = facing(*place[1:])
+        lines = {"up": cells[:, :2], "below": cells[:, -2:], "left": cells[:, :, :2], "right": cells[:, :, -2:]}
+        own = np.concatenate([empty, *(v.reshape(len(channels), -1) for side, v in lines.items() if faces[side])], axis=1)
+        yield (w, h, ty, tx, 0, total, int(inner.sum()), *own)
+        for number, side, to_y, to_x, line in ((1, "below", 1, 0, cells[:, -1]), (2, "up", -1, 0, cells[:, 0]), (3, "right", 0, 1, cells[:, :, -1]), (4, "left", 0, -1, cells[:, :, 0])):
+            if faces[side]:
+                yield (w, h, ty + to_y, tx + to_x, number, 0, 0, *line)
+
+    sent = _map_tiles(tiles, send, channels, {**{k: "int" for k in PLACE[1:]}, "part": "int", "total": "bigint", "n": "bigint", **{c: "array<smallint>" for c in channels}})
+    met = sent.repartition("image_id", "ty", "tx").sortWithinPartitions("image_id", "ty", "tx", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A tile's own row comes first, then the lines of the tiles above, below, left and right."""
+        key, shape, around, total, n = None, (), None, 0, 0
+        ids, totals, numbers = [], [], []
+
+        def finish() -> None:
+            if key is not None:
+                ids.append(key[0])
+                totals.append(total + (gaps(around, within(*shape)[1]) if around is not None else 0))
+                numbers.append(n)
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(totals, pa.int64()), pa.array(numbers, pa.int64())], names=["image_id", "total", "n"])
+            for v in (ids, totals, numbers):
+                v.clear()
+            return out
+
         for batch in batches:
-            places = list(zip(*(batch.column(k).to_pylist() for k in range(1, count))))
-            held = {n: _arrays(batch.column(count + k)) for k, n in enumerate(names)}
-            totals, numbers = [], []
-            for i, (w, h, ty, tx) in enumerate(places):
-                shape = min(TILE, h - ty * TILE), min(TILE, w - tx * TILE)
-                ys, xs = ty * TILE + np.arange(shape[0]), tx * TILE + np.arange(shape[1])
-                inner = ((ys > 0) & (ys < h - 1))[:, None] & ((xs > 0) & (xs < w - 1))
-                total = 0
-                for c in channels:
-                    around = np.zeros((shape[0] + 2, shape[1] + 2), np.int64)
-                    around[1:-1, 1:-1] = held[c][i].reshape(shape)
-                    for side, at in (("up", np.s_[0, 1:-1]), ("below", np.s_[-1, 1:-1]), ("left", np.s_[1:-1, 0]), ("right", np.s_[1:-1, -1])):
-                        strip = held[f"{c}_{side}"][i]
-                        if len(strip):
-                            around[at] = strip
-                    mean = (around[:-2, 1:-1] + around[2:, 1:-1] + around[1:-1, :-2] + around[1:-1, 2:]) // 4
-                    total += int(np.abs(around[1:-1, 1:-1] - mean)[inner].sum())
-                totals.append(total)
-                numbers.append(int(inner.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(numbers, pa.int64())], names=["image_id", "total", "n"])
-
-    parts = map_batches(filled, run, f"image_id {tiles.schema['image_id'].dataType.simpleString()}, total bigint, n bigint")
+            kind = batch.schema.field(0).type
+            held = [_arrays(batch.column(8 + k)) for k in range(len(channels))]
+            for i, (image, w, h, ty, tx, part, own, many) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(8)))):
+                cells = np.stack([v[i] for v in held])
+                if part:
+                    if (image, ty, tx) != key:
+                        raise ValueError(f"incomplete raster {image}")
+                    around[:, *{1: np.s_[0, 1:-1], 2: np.s_[-1, 1:-1], 3: np.s_[1:-1, 0], 4: np.s_[1:-1, -1]}[part]] = cells
+                    continue
+                finish()
+                key, shape, total, n, around = (image, ty, tx), (w, h, ty, tx), own, many, None
+                if cells.size:
+                    high, wide = min(TILE, h - ty * TILE), min(TILE, w - tx * TILE)
+                    around = np.zeros((len(channels), high + 2, wide + 2), np.int64)
+                    tile, faces, at = around[:, 1:-1, 1:-1], facing(*shape), 0
+                    for side, target in (("up", tile[:, :2]), ("below", tile[:, -2:]), ("left", tile[:, :, :2]), ("right", tile[:, :, -2:])):
+                        if faces[side]:
+                            size = target[0].size
+                            target[...] = cells[:, at:at + size].reshape(target.shape)
+                            at += size
+            if ids:
+                yield given()
+        finish()
+        if ids:
+            yield given()
+
+    parts = map_batches(met.select(*PLACE, "part", "total", "n", *channels), run, f"image_id {id_type}, total bigint, n bigint")
     sums = parts.groupBy("image_id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     energy = F.when(F.col("n") > 0, F.col("total") / (F.col("n") * len(channels))).otherwise(F.lit(0.0))
     return sums.select("image_id", energy.alias("hp_energy"))
@@ -266,7 +330,7 @@ def codec_space_route(tiles: DataFrame) -> DataFrame:
 
 def _assembled(pieces: DataFrame, channels: Sequence[str], kernel: Callable, keys: Sequence[str] = PLACE) -> DataFrame:
     """Tiles made of the few pieces sent to their place: ``kernel(place, [(y, x, rows, columns, {channel: values})])`` gives the channels."""
-    gathered = pieces.select(*keys, "y", "x", "rows", "cols", *channels).repartition(*keys).sortWithinPartitions(*keys)
+    gathered = pieces.select(*keys, "y", "x", "rows", "cols", "cells").repartition(*keys).sortWithinPartitions(*keys)
     id_type = pieces.schema["image_id"].dataType.simpleString()
     count = len(keys)
 
@@ -281,12 +345,12 @@ def _assembled(pieces: DataFrame, channels: Sequence[str], kernel: Callable, key
         for batch in batches:
             made.id_type = batch.schema.field(0).type
             at = [batch.column(count + k).to_pylist() for k in range(4)]
-            held = [_arrays(batch.column(count + 4 + k)) for k in range(len(channels))]
+            held = batch.column(count + 4).to_pylist()
             for i, own in enumerate(zip(*(batch.column(k).to_pylist() for k in range(count)))):
                 if own != place:
                     yield from finish()
                     place, parts = own, []
-                parts.append((*(a[i] for a in at), {c: held[k][i] for k, c in enumerate(channels)}))
+                parts.append((*(a[i] for a in at), dict(zip(channels, _opened(held[i], at[2][i] * at[3][i], len(channels))))))
         yield from finish()
         yield from made.rest()
 
@@ -294,8 +358,8 @@ def _assembled(pieces: DataFrame, channels: Sequence[str], kernel: Callable, key
     return map_batches(gathered, run, schema)
 
 
-def _piece_columns(channels: Sequence[str]) -> dict[str, str]:
-    return {**{k: "int" for k in ("w", "h", "ty", "tx", "y", "x", "rows", "cols")}, **{c: "array<smallint>" for c in channels}}
+#: What a kernel yields of a piece; its values are compressed, as they are shuffled.
+PIECE = {**{k: "int" for k in ("w", "h", "ty", "tx", "y", "x", "rows", "cols")}, "cells": "binary"}
 
 
 def box_downsample(tiles: DataFrame, channels: Sequence[str] = COLOUR, times: int = 1) -> DataFrame:
@@ -311,7 +375,7 @@ def box_downsample(tiles: DataFrame, channels: Sequence[str] = COLOUR, times: in
             small = {c: (v[:2 * rows:2, :2 * cols:2] + v[1:2 * rows:2, :2 * cols:2] + v[:2 * rows:2, 1:2 * cols:2] + v[1:2 * rows:2, 1:2 * cols:2] + 2) // 4
                      for c, v in held.items()}
             half = TILE // 2
-            yield (w // 2, h // 2, ty // 2, tx // 2, ty % 2 * half, tx % 2 * half, rows, cols, *(small[c].ravel() for c in channels))
+            yield (w // 2, h // 2, ty // 2, tx // 2, ty % 2 * half, tx % 2 * half, rows, cols, _shut(np.stack([small[c].ravel() for c in channels])))
 
     def put(place, parts):
         _, w, h, ty, tx = place
@@ -322,7 +386,7 @@ def box_downsample(tiles: DataFrame, channels: Sequence[str] = COLOUR, times: in
         return out
 
     for _ in range(times):
-        tiles = _assembled(_map_tiles(tiles, halve, channels, _piece_columns(channels)), channels, put)
+        tiles = _assembled(_map_tiles(tiles, halve, channels, PIECE), channels, put)
     return tiles
 
 
@@ -363,7 +427,7 @@ def bilinear_upsample(tiles: DataFrame, scale: int, channels: Sequence[str] = CO
         for to_y, y0, y1 in spans(ty, rows, h):
             for to_x, x0, x1 in across:
                 part = np.s_[y0 - ty * TILE:y1 - ty * TILE, x0 - tx * TILE:x1 - tx * TILE]
-                yield (w * scale, h * scale, to_y, to_x, y0, x0, y1 - y0, x1 - x0, *(held[c][part].ravel() for c in channels))
+                yield (w * scale, h * scale, to_y, to_x, y0, x0, y1 - y0, x1 - x0, _shut(np.stack([held[c][part].ravel() for c in channels])))
 
     def sample(place, parts):
         _, w, h, ty, tx = place
@@ -384,7 +448,7 @@ def bilinear_upsample(tiles: DataFrame, scale: int, channels: Sequence[str] = CO
             out[c] = np.clip(np.floor(value.astype(np.float64) + 0.5), 0, 255).astype(np.int16)
         return out
 
-    return _assembled(_map_tiles(tiles, cut, channels, _piece_columns(channels)), channels, sample)
+    return _assembled(_map_tiles(tiles, cut, channels, PIECE), channels, sample)
 
 
 def crop_to_multiple(tiles: DataFrame, m: int, channels: Sequence[str] = COLOUR) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,31 @@ def test_hash_sends_corners_and_joins_no_tables(pixels):
     assert got == {r.image_id: r.ahash for r in R.average_hash(pixels).collect()}
     plan = hashes._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_cells_are_shuffled_compressed(pixels):
+    rng = np.random.default_rng(3)
+    cells = rng.integers(-300, 300, (3, 500)).astype(np.int16)
+    assert (TI._opened(TI._shut(cells), 500, 3) == cells).all()
+    flat = np.tile(np.arange(64, dtype=np.int16), (4, 64))
+    assert len(TI._shut(flat)) < flat.nbytes / 20
+    for made in (TI.to_tiles(pixels), TI.box_downsample(TI.to_tiles(pixels)), TI.bilinear_upsample(TI.to_tiles(pixels), 2)):
+        made.collect()
+        final = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        exchanges = [line for line in final.splitlines() if "Exchange hashpartitioning(image_id" in line and "tx#" in line]
+        assert exchanges and "cells#" in final and "at#" not in final
+
+
+def test_high_pass_sends_edges_only(spark, monkeypatch):
+    rng = random.Random(8)
+    sizes = {"a": (130, 70), "b": (65, 129), "c": (2, 200), "d": (66, 66), "e": (64, 64), "f": (1, 1)}
+    rows = [(i, x, y, rng.randrange(256), rng.randrange(256), rng.randrange(256)) for i, (w, h) in sizes.items() for y in range(h) for x in range(w)]
+    pixels = spark.createDataFrame(rows, "image_id string, x int, y int, r int, g int, b int")
+    sent, whole = [], TI._map_tiles
+    monkeypatch.setattr(TI, "_map_tiles", lambda *a: sent.append(whole(*a)) or sent[-1])
+    got = {r.image_id: r.hp_energy for r in TI.high_pass_energy(TI.to_tiles(pixels)).collect()}
+    want = {r.image_id: r.hp_energy for r in R.high_pass_energy(pixels).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    values = sent[0].agg(F.sum(F.size("r"))).first()[0]
+    assert 0 < values < len(rows) / 4
+    assert sent[0].where("image_id = 'e'").select(F.sum(F.size("r"))).first()[0] == 0
