@@ -139,15 +139,16 @@ def from_tiles(tiles: DataFrame, channels: Sequence[str] = COLOUR) -> DataFrame:
         *[F.col(f"p.{c}").cast("int").alias(c) for c in channels])
 
 
-def _shut(cells: np.ndarray) -> bytes:
-    """Rows of SMALLINT, compressed, the low bytes before the high bytes."""
-    stored = np.ascontiguousarray(cells, np.int16)
-    return pa.compress(np.ascontiguousarray(stored.view(np.uint8).reshape(*stored.shape, 2).transpose(2, 0, 1)).tobytes(), "zstd", asbytes=True)
+def _shut(cells: np.ndarray, kind: type = np.int16) -> bytes:
+    """Rows of integers, compressed, the low bytes before the high bytes."""
+    stored = np.ascontiguousarray(cells, kind)
+    return pa.compress(np.ascontiguousarray(stored.view(np.uint8).reshape(*stored.shape, stored.itemsize).transpose(2, 0, 1)).tobytes(), "zstd", asbytes=True)
 
 
-def _opened(shut: bytes, n: int, rows: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(shut, 2 * rows * n, "zstd", asbytes=True), np.uint8).reshape(2, rows, n)
-    return np.ascontiguousarray(planes.transpose(1, 2, 0)).view(np.int16)[..., 0]
+def _opened(shut: bytes, n: int, rows: int, kind: type = np.int16) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(shut, size * rows * n, "zstd", asbytes=True), np.uint8).reshape(size, rows, n)
+    return np.ascontiguousarray(planes.transpose(1, 2, 0)).view(kind)[..., 0]
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray]:
@@ -211,6 +212,55 @@ def _map_tiles(tiles: DataFrame, kernel: Callable, channels: Sequence[str], out:
     return map_batches(tiles.select(*names), run, schema)
 
 
+def line_sums(tiles: DataFrame, channels: Sequence[str] = COLOUR) -> DataFrame:
+    """(image_id, y, n, one sum per channel) of every line of every image: its pixels, and the sum of each value times its place in the line, from 1.
+
+    A tile sends the sums of its lines as one compressed row; the tiles beside each other add theirs up.
+    """
+    id_type = tiles.schema["image_id"].dataType.simpleString()
+
+    def send(place, held):
+        _, _, _, ty, tx = place
+        rows, cols = next(iter(held.values())).shape
+        at = tx * TILE + 1 + np.arange(cols)
+        yield ty, rows, _shut(np.stack([np.full(rows, cols), *(held[c] @ at for c in channels)]), np.int64)
+
+    sent = _map_tiles(tiles, send, channels, {"ty": "int", "rows": "int", "sums": "binary"})
+    met = sent.repartition("image_id", "ty").sortWithinPartitions("image_id", "ty")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, kind, ids, lines, n = None, None, None, [], [], 0
+
+        def given() -> pa.RecordBatch:
+            many = [v.shape[1] for v in lines]
+            sums = np.concatenate(lines, axis=1)
+            y = np.concatenate([ty * TILE + np.arange(k) for (_, ty), k in zip(ids, many)])
+            image = pa.array([i for i, _ in ids], kind).take(pa.array(np.repeat(np.arange(len(ids)), many)))
+            return pa.RecordBatch.from_arrays([image, pa.array(y.astype(np.int32)), *map(pa.array, sums)], names=["image_id", "y", "n", *channels])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for image, ty, rows, shut in zip(*(c.to_pylist() for c in batch.columns)):
+                own = _opened(shut, rows, 1 + len(channels), np.int64)
+                if (image, ty) == key:
+                    total += own
+                    continue
+                if key is not None:
+                    ids.append(key)
+                    lines.append(total)
+                    n += total.shape[1]
+                key, total = (image, ty), own
+                if n >= PACK:
+                    yield given()
+                    ids, lines, n = [], [], 0
+        if key is not None:
+            ids.append(key)
+            lines.append(total)
+            yield given()
+
+    return map_batches(met, add, f"image_id {id_type}, y int, n bigint, " + ", ".join(f"`{c}` bigint" for c in channels))
+
+
 # -- neighbours ------------------------------------------------------------------------
 
 

@@ -87,3 +87,21 @@ def test_high_pass_sends_edges_only(spark, monkeypatch):
     values = sent[0].agg(F.sum(F.size("r"))).first()[0]
     assert 0 < values < len(rows) / 4
     assert sent[0].where("image_id = 'e'").select(F.sum(F.size("r"))).first()[0] == 0
+
+
+def test_line_sums_are_added_up_over_tiles(pixels, monkeypatch):
+    cells = TI.from_tiles(TI.to_tiles(pixels))
+    want = cells.groupBy("image_id", "y").agg(F.count(F.lit(1)), *[F.sum(F.col(c) * (F.col("x") + 1)) for c in ("r", "g", "b")])
+    sums = TI.line_sums(TI.to_tiles(pixels))
+    assert sums.columns == ["image_id", "y", "n", "r", "g", "b"]
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(TI, "PACK", 30)
+    assert sorted(map(tuple, TI.line_sums(TI.to_tiles(pixels)).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pixels_of_the_workload_are_not_written(spark, monkeypatch):
+    from workload import fixtures
+
+    monkeypatch.setattr(fixtures, "stage", lambda *a: pytest.fail("written"))
+    monkeypatch.setattr(fixtures, "_stored", {})
+    assert fixtures.view(spark, "/root/testdata/sf0.001", "ras").columns == ["image_id", "x", "y", "r", "g", "b"]

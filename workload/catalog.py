@@ -919,8 +919,7 @@ def r14_mip_table(tex):
 
 def _lines(tiles, channels=("r", "g", "b")):
     """Every line of every image as sums that depend on where each value stands."""
-    pixels = TI.from_tiles(tiles, channels)
-    return pixels.groupBy("image_id", "y").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c) * (F.col("x") + 1)).alias(c) for c in channels])
+    return TI.line_sums(tiles, channels)
 
 
 def _tile_prediction(tiles):

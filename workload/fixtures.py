@@ -163,7 +163,9 @@ def _needs(text: str) -> list[str]:
 
 # Views that stand for stored tables of an installation; derived once per session and kept
 # as Parquet in the shared folder, so queries scan columns instead of re-deriving them.
-_STORED = ("files", "tree", "ent", "ras")
+_STORED = ("files", "tree", "ent")
+# Pixels are derived where they are read: written, they would be ten times the table they come from.
+_DEALT = (*_STORED, "ras")
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -181,7 +183,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if key in _stored:
         return _stored[key]
     text = _VIEWS[name][0]
-    deal = _in_parallel if name in _STORED else (lambda df: df)
+    deal = _in_parallel if name in _DEALT else (lambda df: df)
     frames = {n: deal(view(spark, sf_dir, n)) for n in _needs(text)}
     for token, value in _SHA_SPARK.items():
         text = text.replace("{" + token + "}", value)
