@@ -42,15 +42,20 @@ def ship_package(spark: SparkSession) -> None:
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Texts differ in length by orders of magnitude: batches for Python end at ``BATCH_BYTES`` or ``BATCH_ROWS``, for the rest of the session."""
+#: Rows that a scan of Parquet decodes at once; Spark's 4,096 long texts take tens of MB a task.
+SCAN_ROWS = 512
+
+
+def bound_batches(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
+    """Texts differ in length by orders of magnitude: batches for Python end at ``batch_bytes`` or ``BATCH_ROWS``, for the rest of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
 
 
-def map_rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     ship_package(df.sparkSession)
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, batch_bytes)
     return df.mapInArrow(make, schema)
 
 

@@ -24,6 +24,8 @@ from heftmap.llm.common import map_rows
 ORDER = 4
 TRAIN_BYTES = 1 << 20
 PIECE = 1 << 19
+#: Of a batch of texts: scoring takes pieces, so longer batches only hold memory.
+BATCH = 2 * PIECE
 UNKNOWN = "und"
 START = b"\n" * ORDER
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -31,33 +33,47 @@ NONE = np.uint64(2**64 - 1)
 
 
 class Index:
-    """Hash table from distinct 64-bit keys to their positions, with linear probing; -1 for other keys."""
+    """Hash table from distinct 64-bit keys to their positions, with linear probing; -1 for other keys.  Slots hold positions, and only the keys are sent to tasks."""
 
     def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, NONE)  # the last one is what position -1 finds
+        self._fill()
+
+    def __getstate__(self) -> np.ndarray:
+        return self.keys
+
+    def __setstate__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self._fill()
+
+    def _fill(self) -> None:
+        keys = self.keys[:-1]
         bits = max(4, int(4 * len(keys) + 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
-        self.keys, self.at = np.full(1 << bits, NONE), np.full(1 << bits, -1, np.int32)
+        self.at = np.full(1 << bits, -1, np.int32)
         left, place = np.arange(len(keys)), (keys * MIX) >> self.shift
         while len(left):
-            free = np.flatnonzero(self.keys[place] == NONE)
+            free = np.flatnonzero(self.at[place] < 0)
             slots, first = np.unique(place[free], return_index=True)
             chosen = free[first]
-            self.keys[slots], self.at[slots] = keys[left[chosen]], left[chosen]
+            self.at[slots] = left[chosen]
             rest = np.ones(len(left), bool)
             rest[chosen] = False
             left, place = left[rest], (place[rest] + np.uint64(1)) & self.mask
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         place = (keys * MIX) >> self.shift
-        seen = self.keys[place]
-        out = np.where(seen == keys, self.at[place], -1)
+        at = self.at[place]
+        seen = self.keys[at]
+        out = np.where(seen == keys, at, -1)
         todo = np.flatnonzero((seen != keys) & (seen != NONE))
         place = place[todo]
         while len(todo):
             place = (place + np.uint64(1)) & self.mask
-            seen, wanted = self.keys[place], keys[todo]
+            at, wanted = self.at[place], keys[todo]
+            seen = self.keys[at]
             hit = seen == wanted
-            out[todo[hit]] = self.at[place[hit]]
+            out[todo[hit]] = at[hit]
             more = ~hit & (seen != NONE)
             todo, place = todo[more], place[more]
         return out
@@ -228,4 +244,4 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
 
     id_type = rows.schema[0].dataType.simpleString()
     carried = f", `{text}` string" * (text in carry) + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
-    return map_rows(rows, predict, f"`{id_column}` {id_type}, lang_pred string, score double, bits_per_byte double{carried}")
+    return map_rows(rows, predict, batch_bytes=BATCH, schema=f"`{id_column}` {id_type}, lang_pred string, score double, bits_per_byte double{carried}")

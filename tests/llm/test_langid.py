@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+
 from heftmap.llm import langid as L
 
 
@@ -85,3 +87,24 @@ def test_a_language_of_one_long_text_is_learned(spark, make):
     asked = make([(1, "die katze und der hund"), (2, "the other cat"), (3, "текст на другом языке")])
     found = {r.doc_id: r for r in L.identify(asked, model).collect()}
     assert found[1].lang_pred == "de" and found[2].lang_pred == "en" and found[3].bits_per_byte > 8
+
+
+def test_model_is_sent_without_its_tables():
+    import pickle
+
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 40, 200_000).astype(np.uint64))
+    index = L.Index(keys)
+    sent = pickle.dumps(index)
+    assert len(sent) < 9 * len(keys) and index.keys.nbytes + index.at.nbytes < 60 * len(keys)
+    for table in (index, pickle.loads(sent)):
+        assert (table.find(keys[::-1]) == np.arange(len(keys))[::-1]).all()
+        assert (table.find(keys + np.uint64(1 << 41)) == -1).all()
+    assert (L.Index(np.zeros(0, np.uint64)).find(keys[:5]) == -1).all()
+
+
+def test_batches_are_as_long_as_scoring_needs(spark, make):
+    docs = make([(i, "some words of a text " * 50, "en", "a") for i in range(50)])
+    found = L.identify(docs, L.fit(docs))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == L.BATCH <= 1 << 20
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512 and found.count() == 50
