@@ -71,8 +71,8 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["key"])
 
     counts = map_rows(drawn, cut, "key bigint").groupBy("key").count().where(F.col("count") >= FREQUENT)
-    found = counts.orderBy(F.desc("count"), "key").limit(MOST).collect()
-    keys, n = np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
+    found = counts.orderBy(F.desc("count"), "key").limit(MOST).toArrow()
+    keys, n = found["key"].to_numpy().view(np.uint64), found["count"].to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
 
@@ -240,6 +240,8 @@ def near_copies(docs: DataFrame, id_column: str, text: str = "text") -> DataFram
 
     def verify(candidates: DataFrame) -> DataFrame:
         likely = stage(_overlapping(candidates, distinct), "pairs")
+        if likely.isEmpty():
+            return likely
         wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", F.col("first").alias("id")), "node")
         wanted = stage(wanted, "wanted")
         known = spark.sparkContext.broadcast(_ids(wanted))
@@ -265,18 +267,23 @@ def near_copies(docs: DataFrame, id_column: str, text: str = "text") -> DataFram
         order = Window.partitionBy("b").orderBy(F.desc(F.col("overlap") / F.col("sizes")), "a")
         return best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TRIES).drop("nth", "overlap")
 
+    # Unions of written tables are not written again: every query takes the driver memory and time.
     tried = stage(_by_prints(distinct), "tries")
+    written = [tried]
     links = verify(tried)
     nodes = stage(components(links), "components")
     for _ in range(ROUNDS):
         open_ = stage(apart(nodes), "apart")
         tries = stage(first_tries(open_).join(tried, ["a", "b"], "left_anti"), "tries")
         discard(spark, open_)
-        tried = stage(tried.unionByName(tries), "tries")
+        written.append(tries)
+        if tries.isEmpty():
+            break
+        tried = tried.unionByName(tries)
         new = verify(tries)
         if new.isEmpty():
             break
-        links = stage(links.unionByName(new), "links")
+        links = links.unionByName(new)
         nodes = stage(components(links), "components")
     rest_rows = stage(apart(nodes), "apart")
     # Of the smaller set the first n - ceil(2 s / (1 + s) n) + 1 members will do.
@@ -287,7 +294,7 @@ def near_copies(docs: DataFrame, id_column: str, text: str = "text") -> DataFram
     discard(spark, shared, rest_rows)
     if not rest.isEmpty():
         nodes = stage(components(links.unionByName(verify(rest))), "components")
-    discard(spark, tried, rest)
+    discard(spark, *written, rest)
     member = nodes.join(distinct.select("node", "first"), "node")
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
     moved = nodes.join(least, "root").select("node", "component_id")

@@ -6,7 +6,8 @@ trie of each block is joined with itself: a pair of nodes is followed to its chi
 pairs, adding up the bits in which they differ, and dropped once that is more than the budget.
 A block with more than ``leaf`` fingerprints is first unfolded, in Spark, into the pairs of its nodes
 eight bits further down that are still within the budget, as often as needed.  Tasks report a spanning
-forest of the links, never all pairs; components come from alternating large-star and small-star rounds.
+forest of the links, never all pairs; components come from alternating large-star and small-star rounds,
+or, where the links are few enough for one small task, from one forest of them.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ STEP = 8
 LEAF = 1 << 18
 FRONTIER = 1 << 19
 CHUNK = 1 << 16
+#: Edges (16 bytes each) that one task takes at once; more go through the rounds, each of them several queries that the driver has to plan.
+FEW = 1 << 17
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -208,10 +211,26 @@ def links(prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFram
     return map_rows(dealt, join, "a bigint, b bigint").where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _forest(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of at most ``FEW`` edges (a, b), in one task."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+        if pairs:
+            nodes, ends = np.unique(np.concatenate(pairs, axis=1), return_inverse=True)
+            forest = Forest(len(nodes))
+            forest.link(*ends.reshape(2, -1))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[forest.root])], names=["node", "root"])
+
+    return map_rows(edges.coalesce(1), link, "node bigint, root bigint")
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the smallest node of its component."""
     spark = edges.sparkSession
     edges = stage(edges.select("a", "b"), "edges")
+    if edges.count() <= few:
+        return _forest(edges)
     before = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))

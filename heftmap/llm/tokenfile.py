@@ -148,10 +148,10 @@ def token_counts(staged: DataFrame, width: str) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    totals = map_rows(staged.select("ids"), count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
-    counts = np.zeros(max((r.id for r in totals), default=0) + 1, np.int64)
-    for r in totals:
-        counts[r.id] = r.n
+    totals = map_rows(staged.select("ids"), count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
+    ids = totals["id"].to_numpy()
+    counts = np.zeros(ids.max(initial=0) + 1, np.int64)
+    counts[ids] = totals["n"].to_numpy()
     return counts
 
 
@@ -213,10 +213,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_column: str =
 
 def read_ids(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
     """(id, start, ids) of every document: ids of all documents before it, and its own as little-endian 32-bit integers."""
-    listed = spark.read.parquet(f"{path}/codes").collect()  # at most the vocabulary
-    bits = np.zeros(max((r.id for r in listed), default=0) + 1, np.uint8)
-    for r in listed:
-        bits[r.id] = r.bits
+    listed = spark.read.parquet(f"{path}/codes").toArrow()  # at most the vocabulary
+    ids = listed["id"].to_numpy()
+    bits = np.zeros(ids.max(initial=0) + 1, np.uint8)
+    bits[ids] = listed["bits"].to_numpy()
     shared = spark.sparkContext.broadcast(Code(bits))
     blocks = spark.read.parquet(f"{path}/blocks").join(spark.read.parquet(f"{path}/files"), "file")
     blocks = blocks.select((F.col("start") + F.col("first")).alias("start"), "tokens", "doc_ids", "doc_tokens", "checkpoints", "payload")

@@ -106,3 +106,14 @@ def test_tries_of_fingerprints_come_first(spark, make, monkeypatch):
     assert len(pairs) == made[0] >= 30 and sum(made) < 300
     prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
     assert any((prints[100 + i] ^ prints[200 + i]).bit_count() > 3 for i in range(20))
+
+
+def test_few_documents_take_few_jobs(spark, make):
+    """Plans, threads and code of every query stay in the driver for a while."""
+    docs = make(list(corpus(1).items()))
+    spark.sparkContext.setJobGroup("near copies", "")
+    try:
+        P.near_duplicates(spark, docs, "").collect()
+    finally:
+        spark.sparkContext.setJobGroup("others", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near copies")) <= 160

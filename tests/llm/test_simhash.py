@@ -96,3 +96,18 @@ def test_long_chain_and_empty(spark, make):
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", "x", 7)], "doc_id bigint, text string, fingerprint string, print int")
     assert S.near_duplicates(docs).columns == ["doc_id", "fingerprint", "component_id"]
+
+
+def test_few_edges_take_few_jobs(spark):
+    """A driver that plans a hundred small queries for a chain of 300 links keeps their plans, threads and code in memory."""
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(300)] + [(-i, -rng.randrange(1, i)) for i in range(2, 60)] + [(2**63 - 1, -2**63), (2**63 - 1, 2**62)]
+    made = spark.createDataFrame(edges, "a bigint, b bigint")
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        found = dict(S.components(made).collect())
+    finally:
+        spark.sparkContext.setJobGroup("others", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 10
+    assert found == dict(S.components(made, few=0).collect())
+    assert found[300] == 0 and found[2**62] == -2**63 and found[-1] == -59
