@@ -46,6 +46,8 @@ PER_BIN = 1
 SALTS = 32
 #: Pairs of a set that are compared first, and how often this is repeated among what is still apart; they only balance work.
 TRIES, ROUNDS = 64, 2
+#: Documents of a key from which on it is crowded: its pairs have to be possible without the other keys.  It only balances work.
+CROWDED = 32
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -153,12 +155,34 @@ def _filed(rows: DataFrame, twice: Broadcast) -> DataFrame:
     return map_rows(rows, file, "key bigint, at int, node bigint, size int")
 
 
-def _possible(found: DataFrame, x: str) -> DataFrame:
-    """(a, b, sizes, overlap): pairs of ``x`` (a struct, the smaller set) and the row's own set that sizes and the shared key's places allow, and the most they can share."""
-    small, size, at = F.col(f"{x}.size"), F.col("size"), F.col("at")
-    overlap = F.least(F.col(f"{x}.at"), at) + 1 + F.least(small - F.col(f"{x}.at"), size - at) - 1
-    return found.where((F.col(f"{x}.node") != F.col("node")) & (OF * small >= OVER * size) & ((OF + OVER) * overlap >= OVER * (small + size))).select(
-        F.col(f"{x}.node").alias("a"), F.col("node").alias("b"), (small + size).alias("sizes"), overlap.alias("overlap"))
+def _possible(found: DataFrame, x: str, before: str = "open") -> DataFrame:
+    """(a, b, sizes, overlap, own): pairs of ``x`` (a struct) and the row's own set, the smaller first, that sizes and the shared key's places allow, and the most they can share.
+
+    What both sets have before the key is in both prefixes; of these members ``before`` counts those that can be shared, for each set."""
+    small, large, at = F.least(f"{x}.size", "size"), F.greatest(f"{x}.size", "size"), F.col("at")
+    overlap = F.least(f"{x}.{before}", before) + F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col("size") - at)
+    ahead = F.struct(f"{x}.size", f"{x}.node") < F.struct("size", "node")
+    return found.where((F.col(f"{x}.node") != F.col("node")) & (OF * small >= OVER * large) & ((OF + OVER) * overlap >= OVER * (small + large))).select(
+        F.when(ahead, F.col(f"{x}.node")).otherwise(F.col("node")).alias("a"), F.when(ahead, F.col("node")).otherwise(F.col(f"{x}.node")).alias("b"),
+        (small + large).alias("sizes"), overlap.alias("overlap"), F.col("node").alias("own"))
+
+
+def _left_over(rows: DataFrame) -> DataFrame:
+    """(a, b, sizes): pairs of different components under a shared key, from ``apart``'s rows; none that can be similar is left out.
+
+    One end of each is outside the key's ``main`` component.  Under a key that is not crowded all are made.  What is found under crowded keys only shares
+    nothing but crowded keys in both prefixes, so there the members of other keys do not count, and a set that has too few for the smallest set it may be
+    similar to does not take part."""
+    least = F.greatest("smallest", F.ceil(F.col("size") * OVER / OF))
+    rows = rows.where(~F.col("crowded") | ((OF + OVER) * (F.col("firm") + F.col("size") - F.col("at")) >= OVER * (F.col("size") + least)))
+    mine = F.struct("node", "size", "at", "open", "firm")
+    outside = rows.where("root <> main").select("key", mine.alias("x"), F.col("root").alias("x_root"))
+    ahead = F.struct("x.size", "x.node") < F.struct("size", "node")
+    met = rows.join(outside, "key").where((F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("main")) | ahead))
+    # Of the smaller set the first n - ceil(2 s / (1 + s) n) + 1 members will do.
+    small, at = F.least("x.size", "size"), F.when(ahead, F.col("x.at")).otherwise(F.col("at"))
+    crowded = _possible(met.where(F.col("crowded") & (at < small - F.ceil(small * (2 * OVER) / (OF + OVER)) + 1)), "x", "firm")
+    return crowded.unionByName(_possible(met.where(~F.col("crowded")), "x")).select("a", "b", "sizes").distinct()
 
 
 def _overlapping(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -230,8 +254,6 @@ def near_copies(docs: DataFrame, id_column: str, text: str = "text") -> DataFram
     discard(spark, whole)
     # Sets of one size are told apart by their hash, so of every pair one is the smaller.
     by_size = Window.partitionBy("key").orderBy("size", "node")
-    mine_names = ("node", "size", "at")
-    mine = F.struct(*mine_names)
     keyed = distinct.select("node", "size", "keys")
     twice = spark.sparkContext.broadcast(repeat_filter(keyed, KEY_BITS, _keys_of))
     shared = stage(_filed(keyed, twice).select("key", "at", "node", "size", F.lag("node").over(by_size).alias("before"), F.lead("node").over(by_size).alias("after"))
@@ -252,20 +274,25 @@ def near_copies(docs: DataFrame, id_column: str, text: str = "text") -> DataFram
         return links
 
     def apart(nodes: DataFrame) -> DataFrame:
-        """Rows of the keys whose documents are in several components."""
+        """Rows of the keys whose documents are in several components.  ``main``: the component of the set with the fewest members before the key;
+        ``open``: the set's rows here with an earlier key, ``firm``: those of crowded keys."""
         rooted = shared.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        return rooted.join(split, "key")
+        split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min("size").alias("smallest"),
+                                           F.min(F.struct("at", "size", "node", "root")).alias("hub"))
+        split = split.where("low <> high").select("key", "smallest", F.col("hub.root").alias("main"), (F.col("n") > CROWDED).alias("crowded"))
+        earlier = Window.partitionBy("node").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rooted.join(split, "key").withColumn("open", F.count("*").over(earlier) - 1).withColumn(
+            "firm", F.count_if("crowded").over(earlier) - F.col("crowded").cast("int"))
 
     def first_tries(open_: DataFrame) -> DataFrame:
-        """(a, b, sizes): under every key each set with the smallest and with its neighbour, the ``TRIES`` of a set that may share most.
+        """(a, b, sizes): under every key each set with the one that has the fewest members before it and with its neighbour, the ``TRIES`` of a set that may share most.
         What is left out here is only put off: in the end all pairs of different components are compared."""
-        whole = F.struct(*mine_names, "root")
-        met = open_.select("*", F.first(whole).over(by_size).alias("least"), F.lag(whole).over(by_size).alias("before"))
-        found = reduce(DataFrame.unionByName, (_possible(met.where(F.col(f"{x}.root") != F.col("root")), x) for x in ("least", "before")))
-        best = found.groupBy("a", "b").agg(F.max("sizes").alias("sizes"), F.max("overlap").alias("overlap"))
-        order = Window.partitionBy("b").orderBy(F.desc(F.col("overlap") / F.col("sizes")), "a")
-        return best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TRIES).drop("nth", "overlap")
+        whole = F.struct("node", "size", "at", "open", "root")
+        met = open_.select("*", F.first(whole).over(Window.partitionBy("key").orderBy("at", "size", "node")).alias("hub"), F.lag(whole).over(by_size).alias("before"))
+        found = reduce(DataFrame.unionByName, (_possible(met.where(F.col(f"{x}.root") != F.col("root")), x) for x in ("hub", "before")))
+        best = found.groupBy("a", "b").agg(F.max("sizes").alias("sizes"), F.max("overlap").alias("overlap"), F.min("own").alias("own"))
+        order = Window.partitionBy("own").orderBy(F.desc(F.col("overlap") / F.col("sizes")), "a", "b")
+        return best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TRIES).select("a", "b", "sizes")
 
     # Unions of written tables are not written again: every query takes the driver memory and time.
     tried = stage(_by_prints(distinct), "tries")
@@ -273,24 +300,18 @@ def near_copies(docs: DataFrame, id_column: str, text: str = "text") -> DataFram
     links = verify(tried)
     nodes = stage(components(links), "components")
     for _ in range(ROUNDS):
-        open_ = stage(apart(nodes), "apart")
-        tries = stage(first_tries(open_).join(tried, ["a", "b"], "left_anti"), "tries")
-        discard(spark, open_)
+        rest_rows = stage(apart(nodes), "apart")
+        tries = stage(first_tries(rest_rows).join(tried, ["a", "b"], "left_anti"), "tries")
         written.append(tries)
-        if tries.isEmpty():
-            break
         tried = tried.unionByName(tries)
-        new = verify(tries)
-        if new.isEmpty():
+        if tries.isEmpty() or (new := verify(tries)).isEmpty():
             break
+        discard(spark, rest_rows)
         links = links.unionByName(new)
         nodes = stage(components(links), "components")
-    rest_rows = stage(apart(nodes), "apart")
-    # Of the smaller set the first n - ceil(2 s / (1 + s) n) + 1 members will do.
-    first = F.col("size") - F.ceil(F.col("size") * (2 * OVER) / (OF + OVER)) + 1
-    other = rest_rows.where(F.col("at") < first).select("key", mine.alias("x"), F.col("root").alias("x_root"))
-    met = rest_rows.join(other, "key").where((F.col("root") != F.col("x_root")) & (F.struct("x.size", "x.node") < F.struct("size", "node")))
-    rest = stage(_possible(met, "x").select("a", "b", "sizes").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    else:
+        rest_rows = stage(apart(nodes), "apart")
+    rest = stage(_left_over(rest_rows).join(tried, ["a", "b"], "left_anti"), "pairs")
     discard(spark, shared, rest_rows)
     if not rest.isEmpty():
         nodes = stage(components(links.unionByName(verify(rest))), "components")

@@ -117,3 +117,50 @@ def test_few_documents_take_few_jobs(spark, make):
     finally:
         spark.sparkContext.setJobGroup("others", "")
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near copies")) <= 160
+
+
+def test_copies_too_far_apart_make_few_pairs(spark, make, monkeypatch):
+    """Copies of one text with more and more changed words: some are one component, the others share most shingles with all and are similar to none."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, spare = [word() for _ in range(150)], [word() for _ in range(40)]
+    texts = {0: list(base)}
+    for i in range(1, 700):
+        texts[i] = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 14)):
+            texts[i][at] = rng.choice(spare) if rng.random() < 0.1 else word()
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    want = components(texts)
+    alone = sum(v == i for i, v in want.items())
+    assert 250 < alone < 600
+    made = []
+    whole = neardocs._overlapping
+    monkeypatch.setattr(neardocs, "_overlapping", lambda pairs, distinct: made.append(pairs.count()) or whole(pairs, distinct))
+    got = {r.doc_id: r.component_id for r in neardocs.near_copies(make(list(texts.items())), "doc_id").collect()}
+    assert got == want
+    assert 0 < sum(made) < 10 * len(texts)
+
+
+def test_pairs_that_share_only_changed_or_crowded_words(spark, make, monkeypatch):
+    """Families of copies around one text, with every limit of a crowded key: a link may be seen under uncrowded keys, crowded ones or both."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(120)]
+    texts = {}
+    for _ in range(60):
+        family = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 9)):
+            family[at] = word()
+        for _ in range(rng.randrange(1, 5)):
+            text = [*family, *(word() for _ in range(rng.randrange(12)))][rng.randrange(9):]
+            for at in rng.sample(range(len(text)), rng.randrange(3)):
+                text[at] = word()
+            texts[len(texts)] = " ".join(text)
+    want = components(texts)
+    assert 10 < len(set(want.values())) < 0.9 * len(texts)
+    monkeypatch.setattr(neardocs, "FREQUENT", 2)
+    for crowded, rounds in ((0, 0), (4, 0), (32, 2), (1 << 20, 0)):
+        monkeypatch.setattr(neardocs, "CROWDED", crowded)
+        monkeypatch.setattr(neardocs, "ROUNDS", rounds)
+        got = {r.doc_id: r.component_id for r in neardocs.near_copies(make(list(texts.items())), "doc_id").collect()}
+        assert got == want
