@@ -6,12 +6,13 @@ the documents last, which keeps common passages out of the prefixes; it only bal
 in one document only: once- and twice-seen Bloom filters over all of them leave those out before anything is filed.  Before that,
 the trie self-join of ``simhash`` links fingerprints of at most three differing bits, and these pairs are compared first: a large group of near copies
 is mostly one component before a prefix is looked at.  Fingerprints miss similar pairs that differ in more bits, which the prefixes find.  Under
-every key each document is first compared with the smallest one and with its neighbour, the most promising first and in two rounds;
-then all documents that share a key and are still in different components are, where the smaller set needs only its even shorter index prefix.  So no pair is
-left out, and a large group of near copies needs no square of pairs.
+every key each document is first compared with the one that has the fewest members before the key and with its neighbour, the most promising first and in two rounds;
+then all documents that share a key and are still in different components are, under crowded keys only those that can be similar by such keys alone, where
+the smaller set needs only its even shorter index prefix.  So no pair is left out, and of a large group of near copies the documents that are similar to none drop out before pairs are made.
 
-A pair is refused without its texts where its sizes, the places of the shared key or the counts of both sets in bins of their hashes
-show that too little is shared; these are upper bounds of the overlap, so no similar pair is refused.  Of what is left, the larger
+A pair is refused without its texts where its sizes, the members of other components before the shared key or the counts of both sets in bins of their hashes
+show that too little is shared; these are upper bounds of the overlap, so no similar pair is refused.  Sets that share nearly enough with each other and
+are in different components are still compared pair by pair.  Of what is left, the larger
 set's text goes to the smaller one's place, where that text comes once for all its pairs.
 """
 
